@@ -266,7 +266,7 @@ def _is_binary(train: DataFrame) -> bool:
 
 
 def _linear_svm(train: DataFrame, config: EngineConfig):
-    machine = LinearSVC(regParam=1.0 / max(1, train.count()))
+    machine = LinearSVC(regParam=1.0 / max(1, train.count()), maxIter=50, tol=1e-4)
     return (machine if _is_binary(train) else OneVsRest(classifier=machine, parallelism=config.parallel_fits)).fit(train)
 
 
