@@ -305,28 +305,28 @@ CLASSIFIERS: dict[str, Callable] = {
 
 
 def _scores(model, data: ModelData, task: str) -> dict[str, float | None]:
+    """Metrics on both parts; the predictions are computed once and kept as three narrow columns."""
     predicted = model.transform(data.rows)
-    if task == "regression":
-        rows = regression_metrics(predicted, "label", by=["is_test"]).collect()
-        names = ("mse", "mae", "r2")
-    else:
-        rows = classification_metrics(predicted, "label", by=["is_test"]).collect()
-        names = ("accuracy", "precision", "recall", "f1")
-    out: dict[str, float | None] = {}
-    for r in rows:
-        out |= {f"{'test' if r['is_test'] else 'train'}_{m}": r[m] for m in names}
-    if task == "classification":
-        for part, flag in (("train", False), ("test", True)):
-            rows_of = predicted.filter(F.col("is_test") == flag)
-            if len(data.classes or []) != 2 or not {"rawPrediction", "probability", "prediction"} & set(predicted.columns):
-                out[f"{part}_roc_auc"] = None
-                continue
-            if "rawPrediction" in predicted.columns:
-                score = vector_to_array("rawPrediction")[1]
-            else:
-                score = F.col("prediction")
-            out[f"{part}_roc_auc"] = roc_auc(rows_of.select("label", score.alias("score")), "label", "score")
-    return out
+    has_score = task == "classification" and len(data.classes or []) == 2
+    score = F.lit(None).cast("double")
+    if has_score:
+        score = vector_to_array("rawPrediction")[1] if "rawPrediction" in predicted.columns else F.col("prediction").cast("double")
+    narrow = predicted.select("label", "is_test", "prediction", score.alias("score")).persist()
+    try:
+        if task == "regression":
+            rows, names = regression_metrics(narrow, "label", by=["is_test"]).collect(), ("mse", "mae", "r2")
+        else:
+            rows = classification_metrics(narrow, "label", by=["is_test"]).collect()
+            names = ("accuracy", "precision", "recall", "f1")
+        out: dict[str, float | None] = {}
+        for r in rows:
+            out |= {f"{'test' if r['is_test'] else 'train'}_{m}": r[m] for m in names}
+        if task == "classification":
+            for part, flag in (("train", False), ("test", True)):
+                out[f"{part}_roc_auc"] = roc_auc(narrow.filter(F.col("is_test") == flag), "label", "score") if has_score else None
+        return out
+    finally:
+        narrow.unpersist()
 
 
 def cross_validate(fit: Callable, data: ModelData, config: EngineConfig) -> tuple[float, float]:

@@ -154,43 +154,63 @@ def describe_by_statistic(described: DataFrame) -> DataFrame:
 def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson matrix in tidy form (a, b, r); NULL for a constant column.
 
-    Two passes whatever the number of columns: null counts and ranges, then all pair moments.
-    A column without nulls needs one variance; only pairs with nulls need their own.
+    Two passes whatever the number of columns: null counts, ranges and means, then plain sums of the
+    centred values and their products. A column without nulls is summed once; only pairs with nulls need
+    sums of their own.
     """
     cols = list(cols if cols is not None else numeric_columns(df))
     value = {c: F.col(quoted(c)).cast("double") for c in cols}
-    first = df.agg(
-        *[F.count_if(v.isNull()).alias(f"nulls{i}") for i, v in enumerate(value.values())],
-        *[F.avg(v).alias(f"mean{i}") for i, v in enumerate(value.values())],
-    ).first()
+    aggs = []
+    for i, v in enumerate(value.values()):
+        aggs += [F.count_if(v.isNull()).alias(f"nulls{i}"), F.avg(v).alias(f"mean{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    first = df.agg(*aggs).first() if cols else {}
     gaps = {c: first[f"nulls{i}"] > 0 for i, c in enumerate(cols)}
-    # Centring first keeps the moments accurate for columns far from zero.
+    varies = {c: first[f"lo{i}"] != first[f"hi{i}"] for i, c in enumerate(cols)}
+    # Centring first keeps the sums accurate for columns far from zero.
     centred = {c: value[c] - F.lit(first[f"mean{i}"] or 0.0) for i, c in enumerate(cols)}
-
-    def masked(c: str, other: str) -> Column:
-        return F.when(value[other].isNotNull(), centred[c]) if gaps[other] else centred[c]
+    place = {c: i for i, c in enumerate(cols)}
+    sums: dict[str, Column] = {}
+
+    def total(name: str, expression: Column) -> Column:
+        sums.setdefault(name, expression.alias(name))
+        return F.col(name)
+
+    def moments(c: str, other: str) -> tuple[Column, Column]:
+        """Sum and sum of squares of ``c`` over the rows where ``other`` is present too."""
+        x, name = (F.when(value[other].isNotNull(), centred[c]), f"{place[c]}_{place[other]}") if gaps[other] else (centred[c], f"{place[c]}")
+        if gaps[other]:
+            # Varying over all rows does not mean varying over the shared ones.
+            spread = total(f"max{name}", F.max(x)) > total(f"min{name}", F.min(x))
+            return total(f"s{name}", F.sum(x)), F.when(spread, total(f"q{name}", F.sum(x * x)))
+        return total(f"s{name}", F.sum(x)), total(f"q{name}", F.sum(x * x))
 
     def r(a: str, b: str) -> Column:
-        x, y = masked(a, b), masked(b, a)
-        flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-        ratio = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-        bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))
-        return F.when(~flat & ratio.isNotNull() & ~F.isnan(ratio), bounded)
+        if not (varies[a] and varies[b]):
+            return F.lit(None).cast("double")
+        i, j = place[a], place[b]
+        both = value[a].isNotNull() & value[b].isNotNull()
+        if gaps[a] or gaps[b]:
+            n = total(f"n{i}_{j}", F.count_if(both))
+        else:
+            n = total("n", F.count("*"))
+        (sa, qa), (sb, qb) = moments(a, b), moments(b, a)
+        shared = total(f"p{i}_{j}", F.sum(centred[a] * centred[b])) - F.try_divide(sa * sb, n)
+        spread = F.sqrt(F.greatest(qa - F.try_divide(sa * sa, n), F.lit(0.0)) * F.greatest(qb - F.try_divide(sb * sb, n), F.lit(0.0)))
+        defined = qa.isNotNull() & qb.isNotNull() & (n > 1)
+        ratio = F.when(defined, F.try_divide(shared, spread))
+        return F.when(ratio.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))
 
     entries = []
     for a in cols:
-        flat = F.min(value[a]) == F.max(value[a])
-        own = F.when((F.count(value[a]) > 1) & ~flat, F.lit(1.0))
-        entries.append(F.array(F.struct(F.lit(a).alias("a"), F.lit(a).alias("b"), own.alias("r"))))
+        own = F.lit(1.0 if varies[a] else None).cast("double")
+        entries.append(F.struct(F.lit(a).alias("a"), F.lit(a).alias("b"), own.alias("r")))
     for a, b in combinations(cols, 2):
         pair = r(a, b)
-        entries.append(
-            F.array(
-                F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pair.alias("r")),
-                F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), pair.alias("r")),
-            )
-        )
-    return df.agg(F.flatten(F.array(*entries)).alias("rows")).select(F.inline("rows"))
+        entries += [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), pair.alias("r")) for x, y in ((a, b), (b, a))]
+    if not entries:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    sums = sums or {"n": F.count("*").alias("n")}
+    return df.agg(*sums.values()).select(F.inline(F.array(*entries)))
 
 
 def target_correlations(matrix: DataFrame, target: str) -> DataFrame:

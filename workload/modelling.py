@@ -1,5 +1,7 @@
 """Queries for splits, folds, models, metrics and sequences."""
 
+from dataclasses import replace
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -122,8 +124,6 @@ QUERIES["leaderboard_trees"] = _leaderboard(["random_forest", "gradient_boosting
 
 def _class_board(names):
     def run(s, d):
-        from dataclasses import replace
-
         config = replace(SMALL, task="classification", forest_trees=5, boosting_stages=5, folds=3)
         vectors = table(s, d, "embeddings")
         # The first coordinates as columns, whole table; ten classes.
@@ -136,8 +136,6 @@ def _class_board(names):
 
 def _binary_board(names):
     def run(s, d):
-        from dataclasses import replace
-
         config = replace(SMALL, task="classification", forest_trees=5, boosting_stages=5, folds=3)
         joined = table(s, d, "labels").join(table(s, d, "documents"), "doc_id").select(
             "doc_id", "quality", "n_chars", F.size(F.split("text", " ")).alias("n_words"), F.size(F.split("text", "\n")).alias("n_lines")
@@ -148,10 +146,28 @@ def _binary_board(names):
     return run
 
 
-QUERIES["leaderboard_multiclass"] = _class_board(["logistic", "decision_tree", "nearest_neighbours", "linear_svm", "random_forest"])
+QUERIES["leaderboard_multiclass"] = _class_board(["logistic", "decision_tree", "nearest_neighbours", "random_forest"])
 QUERIES["leaderboard_binary"] = _binary_board(["logistic", "decision_tree", "linear_svm", "random_forest", "gradient_boosting"])
 
 
+def _one_against_rest(name):
+    """A two-class learner fitted once per class: predicted against true classes."""
+
+    def run(s, d):
+        config = replace(SMALL, task="classification", boosting_stages=3)
+        vectors = table(s, d, "embeddings")
+        wide = vectors.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
+        data = models.prepare(wide, [f"x{i}" for i in range(8)], "label", ["vec_id"], config)
+        predicted = models.CLASSIFIERS[name](data.train, config).transform(data.rows)
+        return predicted.groupBy("label", "prediction", "is_test").agg(F.count("*").alias("n"))
+
+    return run
+
+
+QUERIES["linear_svm_multiclass"] = _one_against_rest("linear_svm")
+QUERIES["gradient_boosting_multiclass"] = _one_against_rest("gradient_boosting")
+
+
 def _rankings(kind):
     def run(s, d):
         data = models.prepare(sales(s, d), FEATURES, "revenue", SALES_KEYS, SMALL)
