@@ -63,17 +63,25 @@ def _measure(df: DataFrame, brackets: Sequence[_Bracket]) -> list[tuple[int, int
 
 
 def _narrow(df: DataFrame, brackets: Sequence[_Bracket]) -> list[_Bracket]:
-    """One round: sketch a tighter bracket around the ranks, keep it only if exact counts confirm it."""
-    aggs = []
-    for i, b in enumerate(brackets):
-        value = F.col(quoted(b.column))
+    """One round: sketch a tighter bracket around the ranks, keep it only if exact counts confirm it.
+
+    Brackets that still share their borders share one sketch.
+    """
+    shared: dict[tuple, tuple[_Bracket, list[float]]] = {}
+    slots = []
+    for b in brackets:
         lo = max(0.0, (b.first - b.below) / b.inside - _MARGIN)
         hi = min(1.0, (b.last + 1 - b.below) / b.inside + _MARGIN)
-        aggs.append(
-            F.percentile_approx(F.when(b.holds(value), value), [lo, hi], SKETCH_ACCURACY).alias(f"b{i}")
-        )
+        _, fractions = shared.setdefault((b.column, b.low, b.high), (b, []))
+        slots.append((list(shared).index((b.column, b.low, b.high)), len(fractions)))
+        fractions += [lo, hi]
+    aggs = []
+    for i, (b, fractions) in enumerate(shared.values()):
+        value = F.col(quoted(b.column))
+        aggs.append(F.percentile_approx(F.when(b.holds(value), value), fractions, SKETCH_ACCURACY).alias(f"b{i}"))
     row = df.agg(*aggs).first()
-    tried = [replace(b, low=row[f"b{i}"][0], high=row[f"b{i}"][1]) for i, b in enumerate(brackets)]
+    sketched = [row[f"b{i}"][at : at + 2] for i, at in slots]
+    tried = [replace(b, low=low, high=high) for b, (low, high) in zip(brackets, sketched)]
     out = []
     for old, new, (below, inside, distinct) in zip(brackets, tried, _measure(df, tried)):
         confirmed = below <= old.first and below + inside > old.last

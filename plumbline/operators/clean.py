@@ -182,7 +182,7 @@ def coerce_datetimes(
 
     Candidates: columns with a datetime name; with ``by_content`` also columns whose sampled value (the
     smallest, so the choice is repeatable) has 8 to 20 characters. ``name_parts`` replaces the name rule
-    by a contained-in-name rule. All candidates are judged in one pass.
+    by a contained-in-name rule. Two passes judge all candidates.
     """
     strings = string_columns(df)
     if name_parts is not None:
@@ -193,17 +193,15 @@ def coerce_datetimes(
     tested = named + others
     if not tested:
         return df
-    row = df.agg(
-        *[unparsed(c, formats).alias(f"bad{i}") for i, c in enumerate(tested)],
-        *[F.count(F.col(quoted(c))).alias(f"n{i}") for i, c in enumerate(tested)],
-        *[F.length(F.min(F.col(quoted(c)))).alias(f"len{i}") for i, c in enumerate(tested)],
-    ).first()
+    # All values parse only if the smallest does: one cheap pass leaves few columns to read in full.
+    samples = df.agg(*[F.min(F.col(quoted(c))).alias(c) for c in tested])
+    probe = samples.select(*[F.col(quoted(c)) for c in tested], *[parsed_datetime(c, formats).isNotNull().alias(f"_ok{i}") for i, c in enumerate(tested)]).first()
     low, high = fixed.DATETIME_LENGTHS
-    chosen = {
-        c
-        for i, c in enumerate(tested)
-        if row[f"bad{i}"] == 0 and row[f"n{i}"] and (c in named or low <= row[f"len{i}"] <= high)
-    }
+    likely = [c for i, c in enumerate(tested) if probe[f"_ok{i}"] and (c in named or low <= len(probe[c]) <= high)]
+    if not likely:
+        return df
+    row = df.agg(*[unparsed(c, formats).alias(f"bad{i}") for i, c in enumerate(likely)]).first()
+    chosen = {c for i, c in enumerate(likely) if row[f"bad{i}"] == 0}
     return df.select(*[parsed_datetime(c, formats).alias(c) if c in chosen else F.col(quoted(c)) for c in df.columns])
 
 

@@ -99,7 +99,8 @@ def knn_join(
     Base rows fall into the cells of a few pivot vectors. The triangle inequality bounds each probe's
     k-th distance and drops every cell that cannot hold a nearer row. What remains meets in blocks of at
     most about ``block_rows`` rows per side: a full cell is split, so a cell with a third of all rows is
-    many tasks. Blocks keep k rows per probe and never emit all pairs.
+    many tasks. Copies of one vector are thinned to the k that can matter before they are shuffled.
+    Blocks keep k rows per probe and never emit all pairs.
     """
     spark = base.sparkSession
     id_kind = base.schema[base_id].dataType.simpleString()
@@ -108,6 +109,10 @@ def knn_join(
     probes = probes.select(F.col(quoted(probe_id)).alias("query_id"), F.col(quoted(vector)).cast("array<double>").alias("v")).dropna()
     result = f"query_id {probe_kind}, id {id_kind}, distance double"
 
+    # Of the copies of one vector only the k smallest ids can be among the k nearest.
+    copies = Window.partitionBy("v").orderBy("id")
+    base = base.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k).drop("copy")
+
     # Any rows do as pivots; a hash order makes the choice repeatable.
     chosen = base.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(pivots).toPandas()
     if not len(chosen):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -20,10 +21,23 @@ from plumbline.plans.roles import (
 QUARTILES = (0.25, 0.5, 0.75)
 
 
+def _plain_length(fmt: str) -> int | None:
+    """Length of every text a purely numeric pattern can parse; None for other patterns."""
+    fields = re.findall(r"[A-Za-z]+", fmt.replace("'T'", " "))
+    return len(fmt.replace("'T'", "T")) if set(fields) <= {"yyyy", "MM", "dd", "HH", "mm", "ss", "yyyyMMdd"} else None
+
+
 def parsed_datetime(column: str, formats: Sequence[str] = fixed.DATETIME_FORMATS) -> Column:
-    """The first accepted pattern that parses; NULL when none does. Leap of a bad value never raises."""
+    """The first accepted pattern that parses; NULL when none does, never an error.
+
+    A failed parse is costly, so a pattern is only tried on texts of its length.
+    """
     text = F.trim(F.col(quoted(column)))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    tries = []
+    for f in formats:
+        parsed, length = F.try_to_timestamp(text, F.lit(f)), _plain_length(f)
+        tries.append(F.when(F.length(text) == length, parsed) if length else parsed)
+    return F.coalesce(*tries).cast("timestamp_ntz")
 
 
 def unparsed(column: str, formats: Sequence[str] = fixed.DATETIME_FORMATS) -> Column:

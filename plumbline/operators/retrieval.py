@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline import fixed_values as fixed
 from plumbline.plans.roles import quoted
 
+# Texts split before their chunks are sent on.
+_SPLIT_ROWS = 256
+
 
 def chunk_windows(
     df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",),
@@ -113,10 +116,12 @@ def chunk_recursive(
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            chunks = batch["_text"].map(lambda t: split_text(t, size, overlap, separators))
-            out = batch[keep].assign(chunk=chunks, chunk_no=chunks.map(lambda c: list(range(len(c)))))
-            out = out[chunks.map(len) > 0].explode(["chunk", "chunk_no"])
-            yield out.assign(chunk_no=out["chunk_no"].astype("int32"))[[*keep, "chunk_no", "chunk"]]
+            for start in range(0, len(batch), _SPLIT_ROWS):
+                part = batch.iloc[start : start + _SPLIT_ROWS]
+                chunks = part["_text"].map(lambda t: split_text(t, size, overlap, separators))
+                out = part[keep].assign(chunk=chunks, chunk_no=chunks.map(lambda c: list(range(len(c)))))
+                out = out[chunks.map(len) > 0].explode(["chunk", "chunk_no"])
+                yield out.assign(chunk_no=out["chunk_no"].astype("int32"))[[*keep, "chunk_no", "chunk"]]
 
     return source.mapInPandas(split, f"{kinds}, chunk_no int, chunk string")
 

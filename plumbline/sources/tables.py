@@ -33,11 +33,13 @@ def load_table(
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
     config: EngineConfig = EngineConfig(),
+    normalise_nan: bool = True,
 ) -> DataFrame:
     """A table from CSV (header, types inferred unless ``schema`` is given) or Parquet.
 
-    Pass ``schema`` for large CSV inputs: inference reads them once more. Parquet carries its own
-    types, so the lazy ``nan_to_null`` is all that is added and column pruning still reaches the scan.
+    Pass ``schema`` for large CSV inputs: inference reads them once more. NaN becomes NULL on the way in;
+    for a table known to hold none, ``normalise_nan=False`` lets range filters on floating columns reach
+    the scan, which they cannot do through the replacing expression.
     """
     path = path or config.raw_path
     if not _exists(spark, path):
@@ -50,7 +52,8 @@ def load_table(
         reader = reader.option("header", True)
         if schema is None:
             reader = reader.option("inferSchema", True)
-    return nan_to_null(reader.format(fmt).load(path))
+    df = reader.format(fmt).load(path)
+    return nan_to_null(df) if normalise_nan else df
 
 
 def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:

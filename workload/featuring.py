@@ -61,11 +61,18 @@ SQL["feature_table"] = f"""WITH {SALES_SQL} SELECT round(price, 4) AS price, rou
 
 
 def _components(s, d):
-    out, ratios = features.principal_components(sales(s, d), ["price", "quantity", "discount"], 2, SALES_KEYS[:-1])
-    return out.withColumns({f"ratio{i + 1}": F.lit(r) for i, r in enumerate(ratios)})
+    out, ratios = features.principal_components(sales(s, d), ["quantity", "discount"], 2, SALES_KEYS[:-1])
+    parts = [F.abs(f"PC{i}").alias(f"size{i}") for i in (1, 2)]  # the sign of a component is arbitrary
+    return rounded(out.select(*SALES_KEYS[:-1], *parts, *[F.lit(r).alias(f"ratio{i + 1}") for i, r in enumerate(ratios)]), 5)
 
 
 QUERIES["principal_components"] = _components
+SQL["principal_components"] = f"""WITH {SALES_SQL}, m AS (SELECT avg(quantity) AS mx, avg(discount) AS my, var_samp(quantity) AS a,
+    covar_samp(quantity, discount) AS b, var_samp(discount) AS c FROM sales),
+  e AS (SELECT *, 0.5 * atan2(2 * b, a - c) AS t, (a + c + sqrt(pow(a - c, 2) + 4 * b * b)) / 2 AS top FROM m)
+  SELECT {', '.join(SALES_KEYS[:-1])}, round(abs((quantity - mx) * cos(t) + (discount - my) * sin(t)), 5) AS size1,
+  round(abs((discount - my) * cos(t) - (quantity - mx) * sin(t)), 5) AS size2,
+  round(top / (a + c), 5) AS ratio1, round(1 - top / (a + c), 5) AS ratio2 FROM sales, e"""
 
 
 def _elimination(s, d):

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import profile
+from plumbline.sources.tables import load_table
 from workload.tables import HOLED_SQL, SALES_NUMBERS, SALES_SQL, holed_orders, rounded, sales, table
 
 QUERIES, SQL = {}, {}
 
-QUERIES["load_table"] = lambda s, d: table(s, d, "customer")
+QUERIES["load_table"] = lambda s, d: load_table(s, f"{d}/customer.parquet")
 SQL["load_table"] = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
 QUERIES["load_documents"] = lambda s, d: table(s, d, "documents").select(
