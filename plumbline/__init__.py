@@ -1,0 +1,11 @@
+"""Tabular analytics on Spark: profile, clean, derive, test, model, chart, plan and retrieve."""
+
+from plumbline.config import EngineConfig
+from plumbline.plans import flows, roles
+from plumbline.session import build_session, materialise
+from plumbline.sources.tables import load_documents, load_model, load_table, save_model, save_results, save_table
+
+__all__ = [
+    "EngineConfig", "build_session", "flows", "load_documents", "load_model", "load_table", "materialise", "roles",
+    "save_model", "save_results", "save_table",
+]

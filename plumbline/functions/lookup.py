@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.session import materialise
+
 # A lookup is broadcast only when it was seen to stay within both bounds.
 BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 64 << 20
@@ -39,6 +41,7 @@ def attach(
     if small is not None:
         return facts.join(F.broadcast(small.drop(weight)), keys, "left")
 
+    lookup = materialise(lookup, "lookup")  # read several times from here on
     total = lookup.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) > max(1, int(total * HOT_SHARE))
     hot = bounded_copy(lookup.filter(is_hot), int(1 / HOT_SHARE) + 1).drop(weight)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -19,33 +20,46 @@ def _require_method(method: str) -> None:
         raise ValueError(f"unknown outlier method {method!r}; use one of {OUTLIER_METHODS}")
 
 
-def null_ratios(df: DataFrame) -> dict[str, float]:
+@dataclass(frozen=True)
+class MissingSummary:
+    """Null counts of all columns and means of the numeric ones, from one pass."""
+
+    rows: int
+    nulls: dict[str, int]
+    means: dict[str, float | None]
+
+    def ratio(self, column: str) -> float:
+        return self.nulls[column] / self.rows if self.rows else 0.0
+
+
+def summarise_missing(df: DataFrame) -> MissingSummary:
+    numeric = numeric_columns(df)
     row = df.agg(
-        *[F.avg(F.col(quoted(c)).isNull().cast("double")).alias(f"r{i}") for i, c in enumerate(df.columns)]
+        F.count("*").alias("rows"),
+        *[F.count_if(F.col(quoted(c)).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)],
+        *[F.avg(F.col(quoted(c)).cast("double")).alias(f"m{i}") for i, c in enumerate(numeric)],
     ).first()
-    return {c: row[f"r{i}"] or 0.0 for i, c in enumerate(df.columns)}
+    return MissingSummary(
+        row["rows"], {c: row[f"n{i}"] for i, c in enumerate(df.columns)}, {c: row[f"m{i}"] for i, c in enumerate(numeric)}
+    )
 
 
-def drop_sparse_columns(df: DataFrame, limit: float = 0.3) -> DataFrame:
+def drop_sparse_columns(df: DataFrame, limit: float = 0.3, summary: MissingSummary | None = None) -> DataFrame:
     """Drop columns whose null ratio is strictly above ``limit``."""
-    return df.drop(*[c for c, ratio in null_ratios(df).items() if ratio > limit])
+    summary = summary or summarise_missing(df)
+    return df.drop(*[c for c in df.columns if summary.ratio(c) > limit])
+
+
+def _filled(df: DataFrame, fill: Mapping[str, Column]) -> DataFrame:
+    return df.select(*[fill[c].alias(c) if c in fill else F.col(quoted(c)) for c in df.columns])
 
 
-def fill_means(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def fill_means(df: DataFrame, cols: Sequence[str] | None = None, summary: MissingSummary | None = None) -> DataFrame:
     """Numeric nulls become the column mean; integer columns that had nulls turn double."""
     cols = list(cols if cols is not None else numeric_columns(df))
-    if not cols:
-        return df
-    row = df.agg(
-        *[F.avg(F.col(quoted(c)).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.count_if(F.col(quoted(c)).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
-    ).first()
-    filled = {
-        c: F.coalesce(F.col(quoted(c)).cast("double"), F.lit(row[f"m{i}"]))
-        for i, c in enumerate(cols)
-        if row[f"n{i}"] and row[f"m{i}"] is not None
-    }
-    return df.select(*[filled[c].alias(c) if c in filled else F.col(quoted(c)) for c in df.columns])
+    summary = summary or summarise_missing(df.select(*[F.col(quoted(c)) for c in cols]))
+    holed = [c for c in cols if summary.nulls[c] and summary.means[c] is not None]
+    return _filled(df, {c: F.coalesce(F.col(quoted(c)).cast("double"), F.lit(summary.means[c])) for c in holed})
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
@@ -60,19 +74,19 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
     return {r["column"]: r["best"]["value"] for r in best.collect()}  # one row per column
 
 
-def fill_modes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def fill_modes(df: DataFrame, cols: Sequence[str] | None = None, summary: MissingSummary | None = None) -> DataFrame:
     """String nulls become the column's mode; only columns with nulls are counted."""
     cols = list(cols if cols is not None else string_columns(df))
-    if not cols:
-        return df
-    row = df.agg(*[F.count_if(F.col(quoted(c)).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    found = modes(df, [c for i, c in enumerate(cols) if row[f"n{i}"]])
-    filled = {c: F.coalesce(F.col(quoted(c)), F.lit(v)) for c, v in found.items()}
-    return df.select(*[filled[c].alias(c) if c in filled else F.col(quoted(c)) for c in df.columns])
+    summary = summary or summarise_missing(df.select(*[F.col(quoted(c)) for c in cols]))
+    found = modes(df, [c for c in cols if summary.nulls[c]])
+    return _filled(df, {c: F.coalesce(F.col(quoted(c)), F.lit(v)) for c, v in found.items()})
 
 
 def handle_missing(df: DataFrame, limit: float = 0.3) -> DataFrame:
-    return fill_modes(fill_means(drop_sparse_columns(df, limit)))
+    """Drop sparse columns, fill means and modes: one pass, and one more when strings have nulls."""
+    summary = summarise_missing(df)
+    kept = drop_sparse_columns(df, limit, summary)
+    return fill_modes(fill_means(kept, summary=summary), summary=summary)
 
 
 def outlier_bounds(

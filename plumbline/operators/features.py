@@ -14,27 +14,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.config import EngineConfig
 from plumbline.functions.lookup import BROADCAST_ROWS, attach, bounded_copy
+from plumbline.operators.profile import unpivot
 from plumbline.plans.roles import datetime_columns, numeric_columns, quoted
+from plumbline.session import materialise
 
 # Widest one-hot block written as separate columns; beyond it the sparse vector form applies.
 ONEHOT_COLUMNS = 2_000
 _RANK_BUCKETS = 1_000
 
 
-def category_values(df: DataFrame, column: str, limit: int = ONEHOT_COLUMNS) -> list[str]:
-    """Sorted distinct non-null values of a column known to be narrow."""
-    rows = df.select(F.col(quoted(column)).alias("v")).dropna().distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(
-            f"{column!r} has more than {limit} values: use encode_label, or encode_onehot_vector for a sparse vector"
-        )
-    return sorted(r["v"] for r in rows)
+def category_values(df: DataFrame, cols: Sequence[str], limit: int = ONEHOT_COLUMNS) -> dict[str, list[str]]:
+    """Sorted distinct non-null values of narrow columns, all from one pass."""
+    if not cols:
+        return {}
+    distinct = unpivot(df, cols).filter("value IS NOT NULL").distinct()
+    place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    rows = distinct.withColumn("place", place).filter(F.col("place") <= limit + 1).collect()
+    values: dict[str, list[str]] = {c: [] for c in cols}
+    for r in rows:
+        values[r["column"]].append(r["value"])
+    for c, found in values.items():
+        if len(found) > limit:
+            raise ValueError(
+                f"{c!r} has more than {limit} values: use encode_label, or encode_onehot_vector for a sparse vector"
+            )
+        found.sort()
+    return values
 
 
 def encode_onehot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """0/1 columns ``{col}_{value}`` for every sorted value but the first; the source column goes."""
-    for c in cols:
-        values = category_values(df, c)
+    for c, values in category_values(df, cols).items():
         source = F.col(quoted(c))
         blocks = {f"{c}_{v}": F.coalesce((source == F.lit(v)).cast("double"), F.lit(0.0)) for v in values[1:]}
         df = df.withColumns(blocks).drop(c) if blocks else df.drop(c)
@@ -68,6 +78,7 @@ def label_ranks(df: DataFrame, column: str, buckets: int = _RANK_BUCKETS, max_ro
         order = Window.partitionBy(F.lit(0)).orderBy(column)
         return small.select(column, (F.row_number().over(order) - 1).alias("label"), "n")
 
+    counts = materialise(counts, "ranks")  # read several times from here on
     # Boundary values only place the cuts; ranks are exact whatever they are.
     by_hash = F.xxhash64(column)
     picked = counts.select(column).orderBy(by_hash, column).limit(buckets * 20).collect()

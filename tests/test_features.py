@@ -40,7 +40,7 @@ def test_onehot_edges(spark):
     with pytest.raises(ValueError):
         features.encode(df, ["s"], "hash")
     with pytest.raises(ValueError, match="more than 1"):
-        features.category_values(df, "s", 1)
+        features.category_values(df, ["s"], 1)
     vectors = features.encode_onehot_vector(df, "s").orderBy("s").collect()
     assert [list(r["s_onehot"].toArray()) for r in vectors] == [[0.0], [0.0], [1.0]]
 
