@@ -1,5 +1,3 @@
-import os
-
 import pytest
 
 from plumbline.session import build_session
@@ -7,7 +5,6 @@ from plumbline.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    os.environ.setdefault("PYTHONPATH", os.getcwd())
     session = build_session(
         "tests", "local[4]", spark__ui__enabled="false", spark__sql__shuffle__partitions="4",
         spark__ui__showConsoleProgress="false", spark__driver__memory="6g",
