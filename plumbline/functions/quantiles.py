@@ -9,7 +9,7 @@ few values left in the bracket are counted and ranked.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Container, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
@@ -172,10 +172,12 @@ def column_quantiles(
     extra: Sequence[Column] = (),
     accuracy: int | None = None,
     map_limit: int = MAP_LIMIT,
+    narrow: Container[str] = (),
 ) -> tuple[dict[str, list[float | None]], Row]:
     """Quantiles with linear interpolation per numeric column, plus ``extra`` aggregates of the same pass.
 
-    Exact unless ``accuracy`` asks for ``percentile_approx``.
+    Exact unless ``accuracy`` asks for ``percentile_approx``. Columns in ``narrow`` are already known to stay
+    within ``map_limit`` distinct values; when all are and nothing extra is asked, the first pass is skipped.
     """
     probs = list(probs)
     as_double = {c: F.col(quoted(c)).cast("double") for c in cols}
@@ -185,16 +187,17 @@ def column_quantiles(
         return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(cols)}, row
 
     sizes = []
-    for i, v in enumerate(as_double.values()):
-        sizes += [F.count(v).alias(f"n{i}"), F.approx_count_distinct(v).alias(f"d{i}")]
+    for i, (c, v) in enumerate(as_double.items()):
+        if c not in narrow:
+            sizes += [F.count(v).alias(f"n{i}"), F.approx_count_distinct(v).alias(f"d{i}")]
     row = df.agg(*sizes, *extra).first() if sizes or extra else Row()
     result: dict[str, list[float | None]] = {}
-    narrow = {c: i for i, c in enumerate(cols) if row[f"d{i}"] <= map_limit}
-    wide = {c: i for i, c in enumerate(cols) if c not in narrow}
-    if narrow:
-        aggs = [F.percentile(as_double[c], F.array(*map(F.lit, probs))).alias(f"q{i}") for c, i in narrow.items()]
+    small = {c: i for i, c in enumerate(cols) if c in narrow or row[f"d{i}"] <= map_limit}
+    wide = {c: i for i, c in enumerate(cols) if c not in small}
+    if small:
+        aggs = [F.percentile(as_double[c], F.array(*map(F.lit, probs))).alias(f"q{i}") for c, i in small.items()]
         direct = df.agg(*aggs).first()
-        for c, i in narrow.items():
+        for c, i in small.items():
             result[c] = list(direct[f"q{i}"] or [None] * len(probs))
     if wide:
         doubles = df.select(*[as_double[c].alias(c) for c in wide])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Container, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -91,12 +91,12 @@ def handle_missing(df: DataFrame, limit: float = 0.3) -> DataFrame:
 
 def outlier_bounds(
     df: DataFrame, cols: Sequence[str], method: str = "iqr", multiplier: float = 1.5,
-    accuracy: int | None = None, map_limit: int = MAP_LIMIT,
+    accuracy: int | None = None, map_limit: int = MAP_LIMIT, narrow: Container[str] = (),
 ) -> dict[str, tuple[float, float] | None]:
     """Inclusive bounds of ordinary values per column; None when the column is empty or constant (z-score)."""
     _require_method(method)
     if method == "iqr":
-        quartiles, _ = column_quantiles(df, cols, (0.25, 0.75), accuracy=accuracy, map_limit=map_limit)
+        quartiles, _ = column_quantiles(df, cols, (0.25, 0.75), accuracy=accuracy, map_limit=map_limit, narrow=narrow)
         bounds = {}
         for c in cols:
             q1, q3 = quartiles[c]
@@ -177,8 +177,13 @@ def remove_outliers(
     _require_method(method)
     cols = list(cols if cols is not None else numeric_columns(df))
     groups = [cols] if snapshot else [[c] for c in cols]
+    narrow: set[str] = set()
+    if method == "iqr" and accuracy is None and len(groups) > 1:
+        # Removal only lowers distinct counts, so columns that are narrow now stay so.
+        row = df.agg(*[F.approx_count_distinct(F.col(quoted(c))).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        narrow = {c for i, c in enumerate(cols) if row[f"d{i}"] <= map_limit}
     for group in groups:
-        bounds = outlier_bounds(df, group, method, multiplier, accuracy, map_limit)
+        bounds = outlier_bounds(df, group, method, multiplier, accuracy, map_limit, narrow)
         for c in group:
             if bounds[c] is not None:
                 low, high = bounds[c]

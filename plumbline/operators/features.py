@@ -10,6 +10,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import PCA, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.config import EngineConfig
@@ -158,29 +159,36 @@ def scale(df: DataFrame, cols: Sequence[str], method: str = "standard", fit_on:
 def f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """ANOVA F of each feature grouped by the target's values: (feature, score), best first.
 
-    One pass for the means, then one aggregation by target value; also right when the target has as
-    many values as there are rows, since the groups are reduced again on the executors.
+    Feature vectors are summarised by target value, then the groups again: group means weighted by size give
+    the spread between groups, group variances weighted by size - 1 the mean square within. Also right
+    when the target has as many values as there are rows, as the groups stay on the executors. A first
+    pass takes the overall means, since the summaries lose accuracy on columns far from zero.
     """
-    value = {c: F.col(quoted(c)).cast("double") for c in features}
-    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(value.values())]).first()
-    per_group, totals = [F.count("*").alias("n")], [F.count("*").alias("k"), F.sum("n").alias("n")]
-    for i, v in enumerate(value.values()):
-        centred = v - F.lit(means[f"m{i}"] or 0.0)
-        per_group += [F.sum(centred).alias(f"s{i}"), F.sum(centred * centred).alias(f"q{i}")]
-        totals += [
-            F.sum(F.col(f"s{i}") * F.col(f"s{i}") / F.col("n")).alias(f"between{i}"),
-            F.sum(f"s{i}").alias(f"sum{i}"),
-            F.sum(f"q{i}").alias(f"square{i}"),
-        ]
-    groups = df.filter(F.col(quoted(target)).isNotNull()).groupBy(F.col(quoted(target)).alias("y")).agg(*per_group)
-    rows = []
-    for i, c in enumerate(features):
-        between = F.col(f"between{i}") - F.col(f"sum{i}") * F.col(f"sum{i}") / F.col("n")
-        within = F.col(f"square{i}") - F.col(f"between{i}")
-        score = F.try_divide(between / F.nullif(F.col("k") - 1, F.lit(0)), F.try_divide(within, F.col("n") - F.col("k")))
-        rows.append(F.struct(F.lit(c).alias("feature"), score.alias("score")))
-    scored = groups.agg(*totals).select(F.inline(F.array(*rows)))
-    return scored.orderBy(F.col("score").desc_nulls_last(), "feature")
+    names = [f"_x{i}" for i in range(len(features))]
+    rows = df.filter(F.col(quoted(target)).isNotNull()).select(
+        F.col(quoted(target)).alias("_y"), *[F.col(quoted(c)).cast("double").alias(n) for n, c in zip(names, features)]
+    )
+    if rows.isEmpty():
+        return df.sparkSession.createDataFrame([], "feature string, score double")
+    means = assemble_vector(rows, names, "_v").agg(Summarizer.mean(F.col("_v"))).first()[0].toArray()
+    centred = rows.select("_y", *[(F.col(n) - F.lit(float(m))).alias(n) for n, m in zip(names, means)])
+    vectors = assemble_vector(centred, names, "_v")
+    per_group = Summarizer.metrics("mean", "variance").summary(F.col("_v"))
+    groups = vectors.groupBy("_y").agg(per_group.alias("s"), F.count("*").cast("double").alias("w"))
+    # The summary needs some weight even when every group has one row.
+    inner = F.greatest(F.col("w") - 1, F.lit(1e-300))
+    total = groups.agg(
+        F.count("*").cast("double").alias("k"), F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("ww"),
+        Summarizer.variance(F.col("s.mean"), F.col("w")).alias("spread"), Summarizer.mean(F.col("s.variance"), inner).alias("within"),
+    )
+    spread, within = vector_to_array("spread"), vector_to_array("within")
+    # The summary's variance of weighted values is their sum of squares over n - sum(w^2) / n.
+    share = (F.col("n") - F.try_divide(F.col("ww"), F.col("n"))) / F.nullif(F.col("k") - 1, F.lit(0.0))
+    entries = [
+        F.struct(F.lit(c).alias("feature"), F.try_divide(spread[i] * share, within[i]).alias("score"))
+        for i, c in enumerate(features)
+    ]
+    return total.select(F.inline(F.array(*entries))).orderBy(F.col("score").desc_nulls_last(), "feature")
 
 
 def select_k_best(df: DataFrame, features: Sequence[str], target: str, k: int = 10) -> list[str]:

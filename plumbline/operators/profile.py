@@ -6,6 +6,8 @@ import re
 from collections.abc import Sequence
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline import fixed_values as fixed
@@ -19,6 +21,8 @@ from plumbline.plans.roles import (
 )
 
 QUARTILES = (0.25, 0.5, 0.75)
+# More columns than this without nulls are correlated as vectors.
+WIDE_MATRIX = 8
 
 
 def _plain_length(fmt: str) -> int | None:
@@ -168,9 +172,9 @@ def describe_by_statistic(described: DataFrame) -> DataFrame:
 def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson matrix in tidy form (a, b, r); NULL for a constant column.
 
-    Two passes whatever the number of columns: null counts, ranges and means, then plain sums of the
-    centred values and their products. A column without nulls is summed once; only pairs with nulls need
-    sums of their own.
+    First one pass for null counts, ranges and means, then plain sums of the centred values and their
+    products. A column without nulls is summed once; only pairs with nulls need sums of their own. Many
+    columns without nulls are multiplied as vectors instead, since that many single sums are slow.
     """
     cols = list(cols if cols is not None else numeric_columns(df))
     value = {c: F.col(quoted(c)).cast("double") for c in cols}
@@ -183,6 +187,14 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     # Centring first keeps the sums accurate for columns far from zero.
     centred = {c: value[c] - F.lit(first[f"mean{i}"] or 0.0) for i, c in enumerate(cols)}
     place = {c: i for i, c in enumerate(cols)}
+    known: dict[tuple[str, str], float] = {}
+    full = [c for c in cols if varies[c] and not gaps[c]]
+    if len(full) > WIDE_MATRIX:
+        # Constant columns and gaps are left out above, so every entry is defined.
+        parts = df.select(*[centred[c].alias(f"x{i}") for i, c in enumerate(full)])
+        vectors = VectorAssembler(inputCols=parts.columns, outputCol="v").transform(parts)
+        matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
+        known = {(a, b): float(matrix[i, j]) for i, a in enumerate(full) for j, b in enumerate(full)}
     sums: dict[str, Column] = {}
 
     def total(name: str, expression: Column) -> Column:
@@ -201,6 +213,8 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     def r(a: str, b: str) -> Column:
         if not (varies[a] and varies[b]):
             return F.lit(None).cast("double")
+        if (a, b) in known:
+            return F.lit(max(-1.0, min(1.0, known[a, b])))
         i, j = place[a], place[b]
         both = value[a].isNotNull() & value[b].isNotNull()
         if gaps[a] or gaps[b]:

@@ -5,6 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from plumbline.plans import flows
+from plumbline.session import materialise
 from workload.modelling import SMALL
 from workload.tables import HOLED_SQL, SALES_KEYS, SALES_NUMBERS, SALES_SQL, holed_orders, rounded, sales
 
@@ -47,7 +48,7 @@ SQL["build_features"] = f"WITH {SALES_SQL} SELECT {', '.join(SALES_KEYS)}, {_Z.f
 
 
 def _analysis(s, d):
-    df = sales(s, d).select(*SALES_KEYS, "price", "profit", "discount", "category", "region")
+    df = materialise(sales(s, d).select(*SALES_KEYS, "price", "profit", "discount", "category", "region"), "sales")
     made = flows.build_features(df, _FAST, target="profit", keys=SALES_KEYS)
     results, _ = flows.analyse(df, made, _FAST, model_names=["linear", "ridge"])
     return results["leaderboard"]
@@ -67,7 +68,8 @@ SQL["what_if_stage"] = f"WITH {SALES_SQL} " + " UNION ALL ".join(
 
 
 def _everything(s, d):
-    df = sales(s, d).select(*SALES_KEYS, "price", "cost", "discount", "category", "region", "sale_date")
+    # The stages read their input many times, so the join is done once.
+    df = materialise(sales(s, d).select(*SALES_KEYS, "price", "cost", "discount", "category", "region", "sale_date"), "sales")
     derived = [
         {"column_name": "revenue", "calculation": "price * quantity"},
         {"column_name": "profit", "calculation": "(price - cost) * quantity"},
