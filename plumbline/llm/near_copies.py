@@ -141,43 +141,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _rare_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs of differently labelled classes that share one of their rarest shingles: all that could still be linked."""
+    """Pairs of differently labelled classes that can still be linked, by prefixes in a global order of rarity.
+
+    If the first common shingle of two sets stands after ``p`` others of a set of ``n``, they share at most ``n - p``. That bounds the size of
+    a partner, so a shingle is only a reason to meet for partners up to that size: the smaller set of a pair must have
+    the shingle early in its order, and the larger one seeks it among sets of the sizes that its own place allows.
+    """
     slot = lambda name: F.pmod(F.xxhash64(name), F.lit(SLOTS))
     counted = sets.select(F.explode("_set").alias("_t")).groupBy(slot("_t").alias("_slot")).agg(F.count("*").alias("_n"))
     rows = counted.toArrow()  # at most SLOTS counters, whatever the input
-    spark = sets.sparkSession
     counters = np.zeros(SLOTS, dtype=np.int64)
     counters[rows["_slot"].to_numpy()] = rows["_n"].to_numpy()
-    shared = spark.sparkContext.broadcast(counters)
+    shared = sets.sparkSession.sparkContext.broadcast(counters)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            out = [[], [], []]
+            out = [[], [], [], []]
             slots = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             at = 0
             for name, found in zip(batch.column(0), batch.column(1)):
                 own = np.array(found.values, dtype=np.int64)
-                rare = counts[slots[at : at + len(own)]]
-                at += len(own)
-                need = len(own) - -(-len(own) * percent // 100) + 1
+                n = len(own)
+                rare = counts[slots[at : at + n]]
+                at += n
+                need = n - -(-n * percent // 100) + 1
                 kept = own[np.lexsort((own, rare))[:need]]
-                out[0].append(np.full(len(kept), name.as_py(), dtype=np.int64)), out[1].append(kept), out[2].append(np.full(len(kept), len(own), dtype=np.int64))
+                most = (n - np.arange(len(kept))) * (100 + percent) // percent - n
+                for column, values in zip(out, (np.full(len(kept), name.as_py()), kept, np.full(len(kept), n), most)):
+                    column.append(values.astype(np.int64))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["_id", "_t", "_n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["_id", "_t", "_n", "_most"])
 
-    tokens = sets.select("_id", "_set", F.transform("_set", lambda x: F.pmod(F.xxhash64(x), F.lit(SLOTS))).alias("_slots")).mapInArrow(rarest, "_id long, _t long, _n long")
+    tokens = sets.select("_id", "_set", F.transform("_set", lambda x: F.pmod(F.xxhash64(x), F.lit(SLOTS))).alias("_slots")).mapInArrow(rarest, "_id long, _t long, _n long, _most long")
     tokens = materialise(tokens.join(label, "_id", "left").withColumn("_l", F.coalesce("_l", "_id")), "tokens")
+    # Only shingles under two labels go on.
     held = tokens.groupBy("_t", "_l").agg(F.count("*").alias("_c"))
-    # Only shingles under two labels, and pairs of labels before pairs of members: no group is paired with itself.
     mixed = held.groupBy("_t").agg(F.count("*").alias("_c")).filter("_c > 1").select("_t")
     kept = materialise(tokens.join(mixed, "_t"), "mixed")
-    labels = kept.select("_t", "_l").distinct()
-    between = labels.select("_t", F.col("_l").alias("_la")).join(labels.select("_t", F.col("_l").alias("_lb")), "_t").filter("_la < _lb")
-    first = kept.select("_t", F.col("_l").alias("_la"), F.col("_id").alias("_ia"), F.col("_n").alias("_na"))
-    second = kept.select("_t", F.col("_l").alias("_lb"), F.col("_id").alias("_ib"), F.col("_n").alias("_nb"))
-    near = (F.col("_na") * 100 >= F.col("_nb") * percent) & (F.col("_nb") * 100 >= F.col("_na") * percent)
-    met = between.join(first, ["_t", "_la"]).join(second, ["_t", "_lb"]).filter(near)
+    octave = lambda n: F.floor(F.log2(n) * 8).cast("int")
+    least = F.ceil(F.col("_n") * percent / 100)
+    largest = F.least("_n", "_most")
+    small = kept.filter("_most >= _n").select("_t", octave(F.col("_n")).alias("_o"), F.col("_l").alias("_la"), F.col("_id").alias("_ia"), F.col("_n").alias("_na"), F.col("_most").alias("_ma"))
+    large = kept.filter(largest >= least).select("_t", F.explode(F.sequence(octave(least), octave(largest))).alias("_o"), F.col("_l").alias("_lb"), F.col("_id").alias("_ib"), F.col("_n").alias("_nb"), F.col("_most").alias("_mb"))
+    # Pairs of labels come before pairs of members: no group is paired with itself.
+    one, other = small.select("_t", "_o", "_la").distinct(), large.select("_t", "_o", "_lb").distinct()
+    between = one.join(other, ["_t", "_o"]).filter("_la <> _lb")
+    fits = (F.col("_na") <= F.col("_nb")) & (F.col("_nb") <= F.col("_ma")) & (F.col("_na") <= F.col("_mb")) & (F.col("_na") * 100 >= F.col("_nb") * percent)
+    met = between.join(small, ["_t", "_o", "_la"]).join(large, ["_t", "_o", "_lb"]).filter(fits)
     return met.select(F.least("_ia", "_ib").alias("a"), F.greatest("_ia", "_ib").alias("b")).distinct()
 
 
