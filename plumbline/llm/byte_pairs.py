@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from plumbline.llm.common import body, once
+from plumbline.llm.common import body, once, pieces_of
 
 # Entries that a task's memory of pieces and of token borders may hold before it starts anew.
-KEPT_PIECES = 250_000
-KEPT_BORDERS = 400_000
+KEPT_PIECES = 150_000
+KEPT_BORDERS = 250_000
 NEVER = 1 << 62
 
 
@@ -281,6 +281,22 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: s
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` and the ``decoded`` bytes made from them."""
-    pairs = BytePairs(docs.sparkSession, path, pattern)
-    return docs.withColumn("ids", pairs.encode(body(text))).withColumn("decoded", pairs.decode(F.col("ids")))
+    """The other columns of ``docs`` with ``ids`` and the ``decoded`` bytes made from them, in one pass over slices of bounded size."""
+    ranks = BytePairs(docs.sparkSession, path, pattern).ranks
+    others = [f for f in docs.schema if f.name not in (text, "ids", "decoded")]
+    given = docs.select(*[F.col(f"`{f.name}`") for f in others], body(text).alias("_text"))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(ranks.value, pattern)
+        for batch in (part for whole in batches for part in pieces_of(whole, "_text", 2 << 20)):
+            lists, decoded = [], []
+            for value in batch.column(len(others)):
+                ids = codec.encode(value.as_py())
+                lists.append(np.array(ids, dtype=np.int32))
+                decoded.append(codec.decode(ids))
+            ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], column, pa.array(decoded, pa.binary())], [*batch.schema.names[: len(others)], "ids", "decoded"])
+
+    shape = [f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["ids array<int>", "decoded binary"]
+    return given.mapInArrow(both, ", ".join(shape))
