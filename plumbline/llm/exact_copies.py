@@ -46,7 +46,9 @@ def exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
         hashed = told.select("_id", "_start", F.when(F.col("_shared") | F.lit(digest_all), F.col("_sha")).alias("_sha"), F.coalesce("_shared", F.lit(False)).alias("_shared"))
     groups = hashed.filter("_shared").groupBy(F.col("_sha").alias("_of")).agg(F.max("_id").alias("_keep"), F.count("*").alias("_size")).filter("_size > 1")
     # The rows' side may hold one group with a third of all rows: a plain left join, whose large partitions Spark splits.
-    joined = hashed.join(groups, F.when(F.col("_shared"), F.col("_sha")) == F.col("_of"), "left")
+    # Rows without a partner keep keys of their own, so that they do not meet in one partition either.
+    mark = F.when(F.col("_shared"), F.col("_sha")).otherwise(F.concat(F.lit("-"), F.col("_start").cast("string")))
+    joined = hashed.withColumn("_mark", mark).join(groups, F.col("_mark") == F.col("_of"), "left")
     keep = F.when(F.col("_of").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return joined.select(
         F.col("_id").alias(key), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
