@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from plumbline.llm.common import body, once, pieces_of
+from plumbline.llm.common import body, free, once, pieces_of
 
 # Entries that a task's memory of pieces and of token borders may hold before it starts anew.
 KEPT_PIECES = 150_000
@@ -284,11 +284,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
     """The other columns of ``docs`` with ``ids`` and the ``decoded`` bytes made from them, in one pass over slices of bounded size."""
     ranks = BytePairs(docs.sparkSession, path, pattern).ranks
     others = [f for f in docs.schema if f.name not in (text, "ids", "decoded")]
-    given = docs.select(*[F.col(f"`{f.name}`") for f in others], body(text).alias("_text"))
+    name = free(docs, "_text")
+    given = docs.select(*[F.col(f"`{f.name}`") for f in others], body(text).alias(name))
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(ranks.value, pattern)
-        for batch in (part for whole in batches for part in pieces_of(whole, "_text", 2 << 20)):
+        for batch in (part for whole in batches for part in pieces_of(whole, name, 2 << 20)):
             lists, decoded = [], []
             for value in batch.column(len(others)):
                 ids = codec.encode(value.as_py())

@@ -26,6 +26,22 @@ def body(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose key is not among the ids of ``gone``, a narrow table with one column."""
+    name = free(docs, "_gone")
+    gone = gone.toDF(name).filter(F.col(name).isNotNull()).distinct()
+    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(key) == F.col(name), "left_anti")
+
+
 def narrow(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` marked for broadcast when its counted rows stay within the bound, else as it is (a shuffled join)."""
     df = df.select(*keys)
@@ -38,14 +54,14 @@ def numbered(df: DataFrame, group: str, order: Sequence[str], name: str, parts:
     Rows of a group are dealt over ``parts`` hash cells; a row's number is its place in the cell plus the
     sizes of the group's earlier cells. Rows that are equal in ``order`` get adjacent numbers in any order.
     """
-    dealt = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    sizes = dealt.groupBy(F.col(group).alias("_g"), F.col("_cell").alias("_c")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_g").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_g", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy(group, "_cell").orderBy(*order))
-    placed = dealt.withColumn("_place", place)
-    joined = placed.join(starts, (F.col(group) == F.col("_g")) & (F.col("_cell") == F.col("_c")))
-    return joined.withColumn(name, (F.col("_start") + F.col("_place") - 1).cast("long")).drop("_cell", "_place", "_g", "_c", "_start")
+    cell, place, of, at, start = (free(df, n) for n in ("_cell", "_place", "_of", "_at", "_start"))
+    dealt = df.withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    sizes = dealt.groupBy(F.col(group).alias(of), F.col(cell).alias(at)).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(of).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(of, at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(start))
+    placed = dealt.withColumn(place, F.row_number().over(Window.partitionBy(group, cell).orderBy(*order)))
+    joined = placed.join(starts, (F.col(group) == F.col(of)) & (F.col(cell) == F.col(at)))
+    return joined.withColumn(name, (F.col(start) + F.col(place) - 1).cast("long")).drop(cell, place, of, at, start)
 
 
 def pieces_of(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import BROADCAST_KEYS, body
+from plumbline.llm.common import BROADCAST_KEYS, body, without
 from plumbline.session import materialise
 
 BEGINNING = 64
@@ -57,7 +57,6 @@ def exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns, and one of rows that repeat an id and text."""
-    gone = materialise(exact_copies(docs, key, text).filter("NOT kept").select(F.col(key).alias("_gone")).distinct(), "gone")
-    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns."""
+    gone = materialise(exact_copies(docs, key, text).filter("NOT kept").select(key), "gone")
+    return without(docs, gone, key)

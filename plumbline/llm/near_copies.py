@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import BROADCAST_KEYS, body, narrow, pieces_of
+from plumbline.llm.common import body, narrow, pieces_of, without
 from plumbline.session import materialise
 
 BANDS = 9  # hashes in each of the two collections; their square is the number of tables
@@ -231,6 +231,5 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component, with all columns."""
-    gone = materialise(near_copies(docs, key, text, **options).filter("NOT kept").select(F.col(key).alias("_gone")).distinct(), "gone")
-    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("_gone"), "left_anti")
+    gone = materialise(near_copies(docs, key, text, **options).filter("NOT kept").select(key), "gone")
+    return without(docs, gone, key)

@@ -44,7 +44,7 @@ PATTERNS = {
     "ssn": r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
     "ip": r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))",
     "phone": r"(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\w)|(?<![\w+])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w+.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?!\w))",
-    "name": r"\b(?:" + "|".join(t[0].upper() + t[1:] for t in TITLES) + r")\b\.?[ ](?P<name>[^\W\d_a-zа-яà-ÿ][^\W\d_]+(?:[ \-][^\W\d_a-zа-яà-ÿ][^\W\d_]+)?)",
+    "name": r"\b(?:" + "|".join([t[0].upper() + t[1:] for t in TITLES] + [t for t in TITLES if t[0] in "гд"]) + r")\b\.?[ ](?P<name>[^\W\d_a-zа-яà-ÿ][^\W\d_]+(?:[ \-][^\W\d_a-zа-яà-ÿ][^\W\d_]+)?)",
 }
 _HINT = re.compile(r"[0-9@]|" + PATTERNS["name"].replace("(?P<name>", "(?:") + "|(?i:token|secret|passw|key)")
 
