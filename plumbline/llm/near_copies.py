@@ -27,7 +27,8 @@ from plumbline.session import materialise
 BANDS = 9  # hashes in each of the two collections; their square is the number of tables
 ROWS = 2  # minhashes in a band, so a key holds twice as many
 SLOTS = 1 << 18  # counters that order shingles by rarity; a fixed size
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+_BITS = [f"_s{i}" for i in range(8)]  # 64 parities of hashed shingles each
 
 
 class _Words(dict):
@@ -74,7 +75,7 @@ def _signatures(size: int, bands: int, rows: int):
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for batch in (part for whole in batches for part in pieces_of(whole, "_text")):
+        for batch in (part for whole in batches for part in pieces_of(whole, "_text", 4 << 20)):
             counts, prints, others, bands_of = [], [], [], []
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), known, size)
@@ -99,7 +100,7 @@ def _signatures(size: int, bands: int, rows: int):
 def _sets(size: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for batch in (part for whole in batches for part in pieces_of(whole, "_text")):
+        for batch in (part for whole in batches for part in pieces_of(whole, "_text", 4 << 20)):
             sets = [shingle_set(text.as_py(), known, size).astype(np.int64) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_id", "_set"])
 
@@ -145,7 +146,8 @@ def _rare_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
 
     If the first common shingle of two sets stands after ``p`` others of a set of ``n``, they share at most ``n - p``. That bounds the size of
     a partner, so a shingle is only a reason to meet for partners up to that size: the smaller set of a pair must have
-    the shingle early in its order, and the larger one seeks it among sets of the sizes that its own place allows.
+    the shingle early in its order, and the larger one seeks it among sets of the sizes that its own place allows. Parities of hashed
+    shingles bound from below how much two sets differ, so pairs that differ too much are never made.
     """
     slot = lambda name: F.pmod(F.xxhash64(name), F.lit(SLOTS))
     counted = sets.select(F.explode("_set").alias("_t")).groupBy(slot("_t").alias("_slot")).agg(F.count("*").alias("_n"))
@@ -156,8 +158,9 @@ def _rare_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
+        names = ["_id", "_t", "_n", "_most", *_BITS]
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[] for _ in names]
             slots = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             at = 0
             for name, found in zip(batch.column(0), batch.column(1)):
@@ -168,28 +171,39 @@ def _rare_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
                 need = n - -(-n * percent // 100) + 1
                 kept = own[np.lexsort((own, rare))[:need]]
                 most = (n - np.arange(len(kept))) * (100 + percent) // percent - n
-                for column, values in zip(out, (np.full(len(kept), name.as_py()), kept, np.full(len(kept), n), most)):
+                odd = np.packbits(np.bincount(own & (64 * len(_BITS) - 1), minlength=64 * len(_BITS)) & 1).view(np.int64)
+                same = lambda value: np.full(len(kept), value)
+                for column, values in zip(out, (same(name.as_py()), kept, same(n), most, *map(same, odd))):
                     column.append(values.astype(np.int64))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["_id", "_t", "_n", "_most"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
-    tokens = sets.select("_id", "_set", F.transform("_set", lambda x: F.pmod(F.xxhash64(x), F.lit(SLOTS))).alias("_slots")).mapInArrow(rarest, "_id long, _t long, _n long, _most long")
+    shape = ", ".join(f"{c} long" for c in ["_id", "_t", "_n", "_most", *_BITS])
+    tokens = sets.select("_id", "_set", F.transform("_set", lambda x: F.pmod(F.xxhash64(x), F.lit(SLOTS))).alias("_slots")).mapInArrow(rarest, shape)
     tokens = materialise(tokens.join(label, "_id", "left").withColumn("_l", F.coalesce("_l", "_id")), "tokens")
-    # Only shingles under two labels go on.
+    # Only shingles under two labels go on; the label with most members is not paired with itself.
     held = tokens.groupBy("_t", "_l").agg(F.count("*").alias("_c"))
-    mixed = held.groupBy("_t").agg(F.count("*").alias("_c")).filter("_c > 1").select("_t")
+    mixed = held.groupBy("_t").agg(F.count("*").alias("_c"), F.max_by("_l", F.struct("_c", "_l")).alias("_main")).filter("_c > 1").select("_t", "_main")
     kept = materialise(tokens.join(mixed, "_t"), "mixed")
     octave = lambda n: F.floor(F.log2(n) * 8).cast("int")
     least = F.ceil(F.col("_n") * percent / 100)
     largest = F.least("_n", "_most")
-    small = kept.filter("_most >= _n").select("_t", octave(F.col("_n")).alias("_o"), F.col("_l").alias("_la"), F.col("_id").alias("_ia"), F.col("_n").alias("_na"), F.col("_most").alias("_ma"))
-    large = kept.filter(largest >= least).select("_t", F.explode(F.sequence(octave(least), octave(largest))).alias("_o"), F.col("_l").alias("_lb"), F.col("_id").alias("_ib"), F.col("_n").alias("_nb"), F.col("_most").alias("_mb"))
-    # Pairs of labels come before pairs of members: no group is paired with itself.
-    one, other = small.select("_t", "_o", "_la").distinct(), large.select("_t", "_o", "_lb").distinct()
-    between = one.join(other, ["_t", "_o"]).filter("_la <> _lb")
-    fits = (F.col("_na") <= F.col("_nb")) & (F.col("_nb") <= F.col("_ma")) & (F.col("_na") <= F.col("_mb")) & (F.col("_na") * 100 >= F.col("_nb") * percent)
-    met = between.join(small, ["_t", "_o", "_la"]).join(large, ["_t", "_o", "_lb"]).filter(fits)
-    return met.select(F.least("_ia", "_ib").alias("a"), F.greatest("_ia", "_ib").alias("b")).distinct()
+    named = lambda end: [F.col(c).alias(c + end) for c in ("_id", "_n", "_most", "_l", *_BITS)]
+    is_main = (F.col("_l") == F.col("_main")).alias("_is_main")
+    small = kept.filter("_most >= _n").select("_t", octave(F.col("_n")).alias("_o"), *named("a"), is_main)
+    large = kept.filter(largest >= least).select("_t", F.explode(F.sequence(octave(least), octave(largest))).alias("_o"), *named("b"), is_main)
+    sizes = (F.col("_na") <= F.col("_nb")) & (F.col("_nb") <= F.col("_mosta")) & (F.col("_na") <= F.col("_mostb")) & (F.col("_na") * 100 >= F.col("_nb") * percent)
+    # Every bit in which the parities differ stands for at least one shingle that only one of the sets has.
+    apart = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in _BITS), F.lit(0)) * (100 + percent)
+    fits = sizes & (F.col("_la") != F.col("_lb")) & (apart <= (F.col("_na") + F.col("_nb")) * (100 - percent))
+
+    def meet(one: DataFrame, other: DataFrame) -> DataFrame:
+        one, other = one.drop("_is_main").withColumnsRenamed({"_t": "_ta", "_o": "_oa"}), other.drop("_is_main")
+        found = one.join(other, (F.col("_ta") == F.col("_t")) & (F.col("_oa") == F.col("_o")) & fits)
+        return found.select(F.least("_ida", "_idb").alias("a"), F.greatest("_ida", "_idb").alias("b"))
+
+    met = meet(small.filter("NOT _is_main"), large).unionByName(meet(small.filter("_is_main"), large.filter("NOT _is_main")))
+    return met.distinct()
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
