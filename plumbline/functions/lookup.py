@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.plans.roles import quoted
 from plumbline.session import materialise
 
 # A lookup is broadcast only when it was seen to stay within both bounds.
@@ -44,8 +47,16 @@ def attach(
     lookup = materialise(lookup, "lookup")  # read several times from here on
     total = lookup.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) > max(1, int(total * HOT_SHARE))
-    hot = bounded_copy(lookup.filter(is_hot), int(1 / HOT_SHARE) + 1).drop(weight)
+    hot = bounded_copy(lookup.filter(is_hot), int(1 / HOT_SHARE) + 1)
+    # NULL keys match nothing and would all meet in one partition of a join: they go around it.
+    known = reduce(and_, [F.col(quoted(k)).isNotNull() for k in keys])
+    added = [F.lit(None).cast(f.dataType).alias(f.name) for f in lookup.schema if f.name not in (*keys, weight)]
+    unknown = facts.filter(~known).select("*", *added)
+    facts = facts.filter(known)
+    if hot is None:  # hot keys too long to send around: the join's large partitions are left to Spark to split
+        return facts.join(lookup.drop(weight), keys, "left").unionByName(unknown)
+    hot = hot.drop(weight)
     cold = lookup.filter(~is_hot).drop(weight)
     hot_rows = facts.join(F.broadcast(hot), keys, "inner")
     cold_rows = facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
-    return hot_rows.unionByName(cold_rows)
+    return hot_rows.unionByName(cold_rows).unionByName(unknown)

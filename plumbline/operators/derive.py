@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException, ParseException
@@ -12,17 +14,23 @@ from plumbline.functions.lookup import attach
 from plumbline.plans.roles import datetime_columns, quoted
 
 
+# Java calls, and windows that bring the whole table into one task.
+_REFUSED = re.compile(r"`?\b(?:try_)?(?:reflect|java_method)\b`?\s*\(|\bover\s*\((?!\s*partition\b)|\bover\s+(?!\()\w+", re.IGNORECASE)
+
+
 def add_derived_columns(
     df: DataFrame, specs: Sequence[Mapping[str, str]]
 ) -> tuple[DataFrame, list[dict[str, str]]]:
     """Add ``column_name`` = Spark SQL ``calculation`` per spec, in order; later ones may use earlier ones.
 
-    A spec that does not resolve is skipped and returned with its reason. The text is parsed as a
-    Spark expression, so no code can run.
+    A spec that does not resolve is skipped and returned with its reason. The text is parsed as a Spark
+    expression; calls that reach Java methods and windows over the whole table are refused the same way.
     """
     skipped = []
     for spec in specs:
         try:
+            if found := _REFUSED.search(str(spec["calculation"])):
+                raise KeyError(f"{found[0].strip()} is refused")
             df = df.withColumn(spec["column_name"], F.expr(spec["calculation"]))
             df.schema  # resolves the plan
         except (AnalysisException, ParseException, KeyError) as problem:

@@ -77,7 +77,7 @@ def label_ranks(df: DataFrame, column: str, buckets: int = _RANK_BUCKETS, max_ro
     small = bounded_copy(counts, max_rows)
     if small is not None:
         order = Window.partitionBy(F.lit(0)).orderBy(column)
-        return small.select(column, (F.row_number().over(order) - 1).alias("label"), "n")
+        return small.select(column, (F.row_number().over(order) - 1).cast("bigint").alias("label"), "n")
 
     counts = materialise(counts, "ranks")  # read several times from here on
     # Boundary values only place the cuts; ranks are exact whatever they are.
@@ -117,7 +117,7 @@ def encode(df: DataFrame, cols: Sequence[str], method: str = "onehot") -> DataFr
     raise ValueError(f"unknown encoding {method!r}; use 'onehot' or 'label'")
 
 
-def fit_scaler(df: DataFrame, cols: Sequence[str], method: str = "standard") -> dict[str, tuple[float, float]]:
+def fit_scaler(df: DataFrame, cols: Sequence[str], method: str = "standard", refuse_empty: bool = False) -> dict[str, tuple[float, float]]:
     """(shift, width) per column from one aggregate; width 0 marks a constant column."""
     if method not in ("standard", "minmax"):
         raise ValueError(f"unknown scaling {method!r}; use 'standard' or 'minmax'")
@@ -125,7 +125,9 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], method: str = "standard") ->
     for i, c in enumerate(cols):
         v = F.col(quoted(c)).cast("double")
         aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}")]
-    row = df.agg(*aggs).first() if aggs else {}
+    row = df.agg(*aggs, F.count("*").alias("rows")).first() if aggs else {}
+    if cols and refuse_empty and not row["rows"]:
+        raise ValueError("no rows to fit the scaler on")
     fitted = {}
     for i, c in enumerate(cols):
         low, high = row[f"lo{i}"], row[f"hi{i}"]
@@ -140,6 +142,21 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], method: str = "standard") ->
     return fitted
 
 
+def fill_features(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Missing values of features take their column's mean, 0 where the column has none; models accept no NULL."""
+    names = [n for n in names if df.schema[n].nullable]
+    if not names:
+        return df
+    row = df.agg(
+        *[F.avg(F.col(quoted(n)).cast("double")).alias(f"m{i}") for i, n in enumerate(names)],
+        *[F.count_if(F.col(quoted(n)).isNull()).alias(f"z{i}") for i, n in enumerate(names)],
+    ).first()
+    filled = {
+        n: F.coalesce(F.col(quoted(n)).cast("double"), F.lit(row[f"m{i}"] or 0.0)) for i, n in enumerate(names) if row[f"z{i}"]
+    }
+    return df.withColumns(filled) if filled else df
+
+
 def apply_scaler(df: DataFrame, fitted: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Scaled columns in place; constant columns become 0 and NULL stays NULL."""
 
@@ -153,7 +170,7 @@ def apply_scaler(df: DataFrame, fitted: Mapping[str, tuple[float, float]]) -> Da
 
 def scale(df: DataFrame, cols: Sequence[str], method: str = "standard", fit_on: DataFrame | None = None) -> DataFrame:
     """Scale ``cols``; ``fit_on`` takes the statistics from other rows, such as the training part."""
-    return apply_scaler(df, fit_scaler(fit_on if fit_on is not None else df, cols, method))
+    return apply_scaler(df, fit_scaler(fit_on if fit_on is not None else df, cols, method, refuse_empty=fit_on is not None))
 
 
 def f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

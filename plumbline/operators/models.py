@@ -41,6 +41,8 @@ CLASSIFICATION_METRICS = [
 
 def key_hash(keys: Sequence[str], seed: int) -> Column:
     """Non-negative hash of the key columns and a seed: the same on every run, cluster and engine."""
+    if not keys:
+        raise ValueError("rows are told apart by at least one column")
     text = F.concat_ws("|", *[F.col(quoted(k)).cast("string") for k in keys], F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 

@@ -65,7 +65,7 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_
     ``queries`` within QUERY_ROWS and QUERY_BYTES go to every task, which scans its part of the corpus
     once and keeps k rows per query. More queries take the blocked join.
     """
-    table = queries.select(F.col(quoted(query_id)).alias("q"), F.col(quoted(vector)).alias("v")).limit(QUERY_ROWS + 1).toPandas()
+    table = queries.select(F.col(quoted(query_id)).alias("q"), F.col(quoted(vector)).alias("v")).dropna().limit(QUERY_ROWS + 1).toPandas()
     size = sum(len(v) * 8 for v in table["v"])
     if len(table) > QUERY_ROWS or size > QUERY_BYTES:
         return knn_join(corpus, queries, k, corpus_id, query_id, vector)

@@ -138,6 +138,6 @@ def format_results(hits: DataFrame, text: str = "chunk", category: str = "catego
 
 
 def retrieval_text(formatted: DataFrame, order: str = "rank") -> str:
-    """One text from the k hits of a single search, nearest first."""
-    rows = formatted.orderBy(order).limit(fixed.SEARCH_NEIGHBOURS).collect()
+    """One text from all hits of a single search, nearest first; the search's k bounds them."""
+    rows = formatted.orderBy(order).collect()
     return fixed.SEARCH_HEADER + "\n" + "\n".join(r["formatted"] for r in rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline.config import EngineConfig
 from plumbline.operators import charts, clean, derive, features as feats, inference, models, profile, whatif
@@ -61,10 +61,15 @@ def build_features(
     left_out = [*keys, *exclude, *([target] if config.task == "classification" else [])]
     categorical = categorical_columns(df, left_out)
     scalable = [c for c in scalable_columns(numeric_columns(df), categorical) if c not in left_out]
+    if fit_on == "train":
+        # The split needs the values as they came, so it is taken before encoding and scaling.
+        df = df.withColumn("_test", models.is_test_row(keys or [*numeric_columns(df), *categorical], config.test_share, config.seed))
     df = feats.encode(df, categorical, config.encoding)
-    train = df.filter(~models.is_test_row(keys, config.test_share, config.seed)) if fit_on == "train" else None
+    train = df.filter(~F.col("_test")) if fit_on == "train" else None
     df = feats.scale(df, scalable, config.scaling, train)
+    df = df.drop("_test")
     names, ranking = feats.selectable_features(df, target, [*keys, *exclude]), {}
+    df = feats.fill_features(df, names)
     if select and config.selection == "rfecv":
         folded = df.withColumn("_fold", models.hash_fold(keys or names, config.folds, config.seed))
         names, ranking = feats.recursive_elimination(folded, names, target, "_fold", config)
@@ -80,8 +85,9 @@ def analyse(
     tests: Sequence[Mapping] | None = None, model_names: Sequence[str] | None = None,
 ) -> tuple[dict[str, DataFrame], models.Leaderboard]:
     """Describe, correlate, test, fit: (named result tables, leaderboard with the fitted models)."""
-    matrix = profile.correlations(df)
-    results = {"describe": profile.describe(df), "correlations": matrix}
+    measured = df.drop(*made.keys)  # row keys are no measures
+    matrix = profile.correlations(measured)
+    results = {"describe": profile.describe(measured), "correlations": matrix}
     if made.target in numeric_columns(df):
         results["target_correlations"] = profile.target_correlations(matrix, made.target)
     specs = tests if tests is not None else default_tests(df, made.target)
@@ -94,7 +100,9 @@ def analyse(
     return results, board
 
 
-def what_if(df: DataFrame, specs: Sequence[Mapping], mode: str = "comparable") -> dict[str, DataFrame]:
+def what_if(df: DataFrame, specs: Sequence[Mapping], mode: str = "comparable", keys: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Baseline and scenarios; ``keys`` identify rows and count in no total."""
+    df = df.drop(*keys)
     return {"baseline": whatif.baseline(df), "scenarios": whatif.what_if(df, specs, mode)}
 
 
@@ -120,5 +128,5 @@ def run_all(
     results |= {f"chart: {spec['title']}": table for spec, table in drawn}
     analysed, board = analyse(cleaned, made, config, tests, model_names)
     results |= analysed
-    results |= what_if(cleaned, scenarios)
+    results |= what_if(cleaned, scenarios, keys=keys)
     return results, board

@@ -2,6 +2,8 @@ from dataclasses import replace
 
 import pytest
 
+from plumbline.functions.lookup import attach
+from plumbline.operators import derive, models, neighbours
 from plumbline.config import EngineConfig
 from plumbline.plans import flows
 from plumbline.session import materialise
@@ -63,3 +65,33 @@ def test_materialise_uses_the_shared_folder(spark):
     assert written.count() == 5
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert all("plumbline-t-" in f and (named is None or named.split(":")[-1] in f) for f in written.inputFiles())
+
+
+def test_train_fitted_scaling_without_keys(spark):
+    df = spark.createDataFrame([(float(i), float(i % 7), f"g{i % 3}") for i in range(200)], "a double, b double, g string")
+    made = flows.build_features(df, target="b", fit_on="train", select=False)
+    assert made.table.agg({"a": "stddev"}).first()[0] > 0.9
+    with pytest.raises(ValueError):
+        models.key_hash([], 42)
+
+
+def test_refused_calculations(spark):
+    df = spark.range(3)
+    specs = [{"column_name": f"c{i}", "calculation": c} for i, c in enumerate([
+        "reflect('java.lang.System', 'currentTimeMillis')", "java_method('java.util.UUID', 'randomUUID')", "sum(id) over ()", "sum(id) OVER (ORDER BY id)", "id + 1",
+    ])]
+    out, skipped = derive.add_derived_columns(df, specs)
+    assert out.columns == ["id", "c4"] and len(skipped) == 4
+
+
+def test_lookup_passes_null_keys_by(spark):
+    facts = spark.createDataFrame([(None, 1), ("a", 2), ("b", 3), ("c", 4)], "k string, v int")
+    lookup = spark.createDataFrame([("a", 10, 1), ("b", 20, 1)], "k string, w int, n int")
+    rows = {(r["k"], r["v"], r["w"]) for r in attach(facts, lookup, ["k"], "n", max_rows=1).collect()}
+    assert rows == {(None, 1, None), ("a", 2, 10), ("b", 3, 20), ("c", 4, None)}
+
+
+def test_search_skips_null_queries(spark):
+    base = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "id int, embedding array<double>")
+    asked = spark.createDataFrame([(7, [0.0, 1.0]), (8, None)], "q int, embedding array<double>")
+    assert {r["query_id"] for r in neighbours.search(base, asked, 1, "id", "q").collect()} == {7}

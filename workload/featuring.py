@@ -17,8 +17,8 @@ SQL["encode_onehot"] = f"WITH {SALES_SQL} SELECT {_KEYS}, " + ", ".join(
 ) + "FROM sales"
 
 QUERIES["encode_label"] = lambda s, d: features.encode_label(sales(s, d).select(*SALES_KEYS, "product", "region"), ["product", "region"])
-SQL["encode_label"] = f"""WITH {SALES_SQL} SELECT {_KEYS}, CAST(dense_rank() OVER (ORDER BY product) - 1 AS INTEGER) AS product,
-  CAST(dense_rank() OVER (ORDER BY region) - 1 AS INTEGER) AS region FROM sales"""
+SQL["encode_label"] = f"""WITH {SALES_SQL} SELECT {_KEYS}, CAST(dense_rank() OVER (ORDER BY product) - 1 AS BIGINT) AS product,
+  CAST(dense_rank() OVER (ORDER BY region) - 1 AS BIGINT) AS region FROM sales"""
 
 # The way of a column with more values than a broadcast may hold.
 QUERIES["encode_label_wide"] = lambda s, d: features.encode_label(
@@ -30,8 +30,8 @@ SQL["encode_label_wide"] = f"""WITH {SALES_SQL} SELECT {_KEYS},
 
 def _scaled(method):
     def run(s, d):
-        df = sales(s, d).select(*SALES_KEYS[:-1], "quantity", "price", "profit", F.lit(2024.0).alias("fixed"))
-        df = df.withColumn("line_quantity", F.col("quantity"))
+        df = sales(s, d).select(*SALES_KEYS, "quantity", "price", "profit", F.lit(2024.0).alias("fixed"))
+        df = df.withColumnRenamed("quantity", "line_quantity")
         return rounded(features.scale(df, ["line_quantity", "price", "profit", "fixed"], method), 6, "line_quantity", "price", "profit", "fixed")
 
     return run
@@ -61,16 +61,16 @@ SQL["feature_table"] = f"""WITH {SALES_SQL} SELECT round(price, 4) AS price, rou
 
 
 def _components(s, d):
-    out, ratios = features.principal_components(sales(s, d), ["quantity", "discount"], 2, SALES_KEYS[:-1])
+    out, ratios = features.principal_components(sales(s, d), ["quantity", "discount"], 2, SALES_KEYS)
     parts = [F.abs(f"PC{i}").alias(f"size{i}") for i in (1, 2)]  # the sign of a component is arbitrary
-    return rounded(out.select(*SALES_KEYS[:-1], *parts, *[F.lit(r).alias(f"ratio{i + 1}") for i, r in enumerate(ratios)]), 5)
+    return rounded(out.select(*SALES_KEYS, *parts, *[F.lit(r).alias(f"ratio{i + 1}") for i, r in enumerate(ratios)]), 5)
 
 
 QUERIES["principal_components"] = _components
 SQL["principal_components"] = f"""WITH {SALES_SQL}, m AS (SELECT avg(quantity) AS mx, avg(discount) AS my, var_samp(quantity) AS a,
     covar_samp(quantity, discount) AS b, var_samp(discount) AS c FROM sales),
   e AS (SELECT *, 0.5 * atan2(2 * b, a - c) AS t, (a + c + sqrt(pow(a - c, 2) + 4 * b * b)) / 2 AS top FROM m)
-  SELECT {', '.join(SALES_KEYS[:-1])}, round(abs((quantity - mx) * cos(t) + (discount - my) * sin(t)), 5) AS size1,
+  SELECT {', '.join(SALES_KEYS)}, round(abs((quantity - mx) * cos(t) + (discount - my) * sin(t)), 5) AS size1,
   round(abs((discount - my) * cos(t) - (quantity - mx) * sin(t)), 5) AS size2,
   round(top / (a + c), 5) AS ratio1, round(1 - top / (a + c), 5) AS ratio2 FROM sales, e"""
 

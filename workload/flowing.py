@@ -33,7 +33,7 @@ _FAST = replace(SMALL, selection="selectkbest", forest_trees=3, boosting_stages=
 
 
 def _features(s, d):
-    df = sales(s, d).select(*SALES_KEYS, "price", "profit", "discount", "category", "region")
+    df = sales(s, d).select(*SALES_KEYS, "quantity", "price", "profit", "discount", "category", "region")
     made = flows.build_features(df, _FAST, target="profit", keys=SALES_KEYS, select=False)
     return rounded(made.table, 6, *made.names, "profit")
 
@@ -42,13 +42,13 @@ QUERIES["build_features"] = _features
 _ONE = [("category", v) for v in ("LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")]
 _ONE += [("region", v) for v in ("AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")]
 _Z = "round(({0} - avg({0}) OVER ()) / stddev_pop({0}) OVER (), 6) AS {0}"
-SQL["build_features"] = f"WITH {SALES_SQL} SELECT {', '.join(SALES_KEYS)}, {_Z.format('price')}, {_Z.format('discount')}, " + ", ".join(
+SQL["build_features"] = f"WITH {SALES_SQL} SELECT {', '.join(SALES_KEYS)}, {_Z.format('quantity')}, {_Z.format('price')}, {_Z.format('discount')}, " + ", ".join(
     f"""CAST({c} = '{v}' AS DOUBLE) AS "{c}_{v}" """ for c, v in _ONE
 ) + f", {_Z.format('profit')} FROM sales"
 
 
 def _analysis(s, d):
-    df = materialise(sales(s, d).select(*SALES_KEYS, "price", "profit", "discount", "category", "region"), "sales")
+    df = materialise(sales(s, d).select(*SALES_KEYS, "quantity", "price", "profit", "discount", "category", "region"), "sales")
     made = flows.build_features(df, _FAST, target="profit", keys=SALES_KEYS)
     results, _ = flows.analyse(df, made, _FAST, model_names=["linear", "ridge"])
     return results["leaderboard"]
@@ -66,10 +66,42 @@ SQL["what_if_stage"] = f"WITH {SALES_SQL} " + " UNION ALL ".join(
     for v in (-5, 5)
 )
 
+# The same totals on a table with row keys, which count in none of them.
+QUERIES["what_if_stage_keys"] = lambda s, d: rounded(
+    flows.what_if(sales(s, d).select(*SALES_KEYS, *SALES_NUMBERS), _SCENARIOS, keys=SALES_KEYS)["scenarios"], 2
+).select("parameter", "value", "scenario_total")
+SQL["what_if_stage_keys"] = SQL["what_if_stage"]
+
+
+def _scaled_on_train(s, d):
+    df = sales(s, d).select(*SALES_KEYS, "price", "discount", "profit")
+    made = flows.build_features(df, replace(_FAST, target="profit"), keys=SALES_KEYS, fit_on="train", select=False)
+    return rounded(made.table, 6, *made.names, "profit")
+
+
+QUERIES["scale_fit_on_train"] = _scaled_on_train
+_TRAIN = "CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, '42')), 1, 8) AS BIGINT) % 1000 >= 200"
+_Y = "round(({0} - (SELECT avg({0}) FROM sales WHERE " + _TRAIN + ")) / (SELECT stddev_pop({0}) FROM sales WHERE " + _TRAIN + "), 6) AS {0}"
+SQL["scale_fit_on_train"] = f"WITH {SALES_SQL} SELECT {', '.join(SALES_KEYS)}, " + ", ".join(_Y.format(c) for c in ("price", "discount", "profit")) + " FROM sales"
+
+
+def _half_null(s, d):
+    """Features of a table with a derived column that is NULL on half of its rows."""
+    df = sales(s, d).select(*SALES_KEYS, "price", "profit", "promotion")
+    df = df.withColumn("promoted_price", F.when(F.col("promotion"), F.col("price"))).drop("promotion")
+    made = flows.build_features(df, _FAST, target="profit", keys=SALES_KEYS, select=False)
+    return rounded(made.table, 6, *made.names, "profit")
+
+
+QUERIES["build_features_half_null"] = _half_null
+SQL["build_features_half_null"] = f"""WITH {SALES_SQL}, h AS (SELECT *, CASE WHEN promotion THEN price END AS promoted_price FROM sales),
+  z AS (SELECT {', '.join(SALES_KEYS)}, {_Z.format('price')}, {_Z.format('profit')}, {_Z.format('promoted_price')} FROM h)
+  SELECT * REPLACE (coalesce(promoted_price, 0.0) AS promoted_price) FROM z"""
+
 
 def _everything(s, d):
     # The stages read their input many times, so the join is done once.
-    df = materialise(sales(s, d).select(*SALES_KEYS, "price", "cost", "discount", "category", "region", "sale_date"), "sales")
+    df = materialise(sales(s, d).select(*SALES_KEYS, "quantity", "price", "cost", "discount", "category", "region", "sale_date"), "sales")
     derived = [
         {"column_name": "revenue", "calculation": "price * quantity"},
         {"column_name": "profit", "calculation": "(price - cost) * quantity"},

@@ -126,9 +126,9 @@ def _class_board(names):
     def run(s, d):
         config = replace(SMALL, task="classification", forest_trees=5, boosting_stages=5, folds=3)
         vectors = table(s, d, "embeddings")
-        # The first coordinates as columns, whole table; ten classes.
-        wide = vectors.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
-        data = models.prepare(wide, [f"x{i}" for i in range(8)], "label", ["vec_id"], config)
+        # Every coordinate as a column, whole table; ten classes.
+        wide = vectors.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
+        data = models.prepare(wide, [f"x{i}" for i in range(64)], "label", ["vec_id"], config)
         return models.leaderboard(data, config, names).table
 
     return run
@@ -156,8 +156,8 @@ def _one_against_rest(name):
     def run(s, d):
         config = replace(SMALL, task="classification", boosting_stages=3)
         vectors = table(s, d, "embeddings")
-        wide = vectors.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
-        data = models.prepare(wide, [f"x{i}" for i in range(8)], "label", ["vec_id"], config)
+        wide = vectors.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
+        data = models.prepare(wide, [f"x{i}" for i in range(64)], "label", ["vec_id"], config)
         predicted = models.CLASSIFIERS[name](data.train, config).transform(data.rows)
         return predicted.groupBy("label", "prediction", "is_test").agg(F.count("*").alias("n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.sources.tables import load_table
 
-SALES_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "quantity"]
+SALES_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 SALES_NUMBERS = ["price", "quantity", "cost", "revenue", "profit"]
 
 
