@@ -32,8 +32,8 @@ WIDTH = 2 * SLOTS + max(SCRIPTS) + 1
 
 
 def training_row(key: Column) -> Column:
-    """Whether a document belongs to the training side: crc32 of its id as text, modulo 3, is not 1."""
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) != 1
+    """Whether a document belongs to the training side: crc32 of its id as text, modulo 3, is not 1; without an id it does."""
+    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) != 1, F.lit(True))
 
 
 def _letter_table() -> np.ndarray:
