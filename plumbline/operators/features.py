@@ -9,9 +9,11 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType
 
 from plumbline.config import EngineConfig
 from plumbline.functions.lookup import BROADCAST_ROWS, attach, bounded_copy
@@ -24,28 +26,28 @@ ONEHOT_COLUMNS = 2_000
 _RANK_BUCKETS = 1_000
 
 
-def category_values(df: DataFrame, cols: Sequence[str], limit: int = ONEHOT_COLUMNS) -> dict[str, list[str]]:
-    """Sorted distinct non-null values of narrow columns, all from one pass."""
+def category_values(df: DataFrame, cols: Sequence[str], limit: int = ONEHOT_COLUMNS) -> dict[str, list[str] | None]:
+    """Sorted distinct non-null values of each column, None for one with more than ``limit``."""
     if not cols:
         return {}
     distinct = unpivot(df, cols).filter("value IS NOT NULL").distinct()
-    place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    rows = distinct.withColumn("place", place).filter(F.col("place") <= limit + 1).collect()
-    values: dict[str, list[str]] = {c: [] for c in cols}
-    for r in rows:
+    sizes = {r["column"]: r["count"] for r in distinct.groupBy("column").count().collect()}
+    values: dict[str, list[str] | None] = {c: [] if sizes.get(c, 0) <= limit else None for c in cols}
+    narrow = [c for c, found in values.items() if found is not None]
+    for r in distinct.filter(F.col("column").isin(narrow)).collect() if narrow else []:  # at most limit values a column
         values[r["column"]].append(r["value"])
-    for c, found in values.items():
-        if len(found) > limit:
-            raise ValueError(
-                f"{c!r} has more than {limit} values: use encode_label, or encode_onehot_vector for a sparse vector"
-            )
-        found.sort()
-    return values
-
-
-def encode_onehot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """0/1 columns ``{col}_{value}`` for every sorted value but the first; the source column goes."""
-    for c, values in category_values(df, cols).items():
+    return {c: found if found is None else sorted(found) for c, found in values.items()}
+
+
+def encode_onehot(df: DataFrame, cols: Sequence[str], limit: int = ONEHOT_COLUMNS) -> DataFrame:
+    """0/1 columns ``{col}_{value}`` for every sorted value but the first; the source column goes.
+
+    A column with more than ``limit`` values becomes one sparse vector ``{col}_onehot`` with the same places.
+    """
+    for c, values in category_values(df, cols, limit).items():
+        if values is None:
+            df = encode_onehot_vector(df, c).drop(c)
+            continue
         source = F.col(quoted(c))
         blocks = {f"{c}_{v}": F.coalesce((source == F.lit(v)).cast("double"), F.lit(0.0)) for v in values[1:]}
         df = df.withColumns(blocks).drop(c) if blocks else df.drop(c)
@@ -144,7 +146,8 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], method: str = "standard", ref
 
 def fill_features(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Missing values of features take their column's mean, 0 where the column has none; models accept no NULL."""
-    names = [n for n in names if df.schema[n].nullable]
+    vectors = vector_columns(df, names)
+    names = [n for n in names if df.schema[n].nullable and n not in vectors]
     if not names:
         return df
     row = df.agg(
@@ -209,8 +212,21 @@ def f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
 
 
 def select_k_best(df: DataFrame, features: Sequence[str], target: str, k: int = 10) -> list[str]:
-    """The k best features by F score, best first; k is a report size, all are scored."""
-    return [r["feature"] for r in f_scores(df, features, target).limit(min(k, len(features))).collect()]
+    """The k best features by F score, best first; k is a report size, all are scored.
+
+    Vector columns (wide one-hot blocks) have no single score: they stay, after the others.
+    """
+    vectors = vector_columns(df, features)
+    scored = [f for f in features if f not in vectors]
+    best = [r["feature"] for r in f_scores(df, scored, target).limit(min(k, len(scored))).collect()] if scored else []
+    return [*best, *vectors]
+
+
+def vector_columns(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
+    """The width of each named column that holds vectors; all rows of one have the same."""
+    found = [n for n in names if isinstance(df.schema[n].dataType, VectorUDT)]
+    row = df.select(*[F.col(quoted(n)) for n in found]).first() if found else None
+    return {n: row[i].size if row else 0 for i, n in enumerate(found)}
 
 
 def assemble_vector(df: DataFrame, features: Sequence[str], output: str = "features") -> DataFrame:
@@ -232,7 +248,7 @@ def _evaluator(task: str, target: str):
 
 
 def _eliminate(train: DataFrame, features: list[str], target: str, config: EngineConfig, step: int,
-               stop: int, score_on: DataFrame | None) -> tuple[list[list[str]], list[float]]:
+               stop: int, score_on: DataFrame | None, vectors: Mapping[str, int]) -> tuple[list[list[str]], list[float]]:
     """Fit, score, drop the weakest ``step``, repeat down to ``stop`` features."""
     left, kept, scores = list(features), [], []
     evaluator = _evaluator(config.task, target)
@@ -243,7 +259,11 @@ def _eliminate(train: DataFrame, features: list[str], target: str, config: Engin
             scores.append(evaluator.evaluate(model.transform(assemble_vector(score_on, left))))
         if len(left) <= stop:
             return kept, scores
-        weight = dict(zip(left, model.featureImportances.toArray()))
+        importances, at, weight = model.featureImportances.toArray(), 0, {}
+        for f in left:  # a vector counts with all its places
+            width = vectors.get(f, 1)
+            weight[f] = importances[at : at + width].sum()
+            at += width
         drop = min(step, len(left) - stop)
         weakest = sorted(left, key=lambda f: (weight[f], -features.index(f)))[:drop]
         left = [f for f in left if f not in weakest]
@@ -260,19 +280,21 @@ def recursive_elimination(
     rank 1, the others by the round that dropped them. All fits run on Spark, folds side by side.
     """
     features = list(features)
-    cols = [*[F.col(quoted(c)).cast("double").alias(c) for c in [*features, target]], F.col(quoted(fold)).alias(fold)]
+    vectors = vector_columns(df, features)
+    cols = [F.col(quoted(c)) if c in vectors else F.col(quoted(c)).cast("double").alias(c) for c in [*features, target]]
+    cols.append(F.col(quoted(fold)).alias(fold))
     data = df.select(*cols).persist()
     try:
         def run(i: int) -> tuple[list[list[str]], list[float]]:
             held = data.filter(F.col(quoted(fold)) == i)
-            return _eliminate(data.filter(F.col(quoted(fold)) != i), features, target, config, step, min_features, held)
+            return _eliminate(data.filter(F.col(quoted(fold)) != i), features, target, config, step, min_features, held, vectors)
 
         with ThreadPoolExecutor(config.parallel_fits) as pool:
             runs = list(pool.map(run, range(config.folds)))
         sizes = [len(s) for s in runs[0][0]]
         totals = [sum(scores[i] for _, scores in runs) for i in range(len(sizes))]
         best = max(range(len(sizes)), key=lambda i: (totals[i], -sizes[i]))
-        kept, _ = _eliminate(data, features, target, config, step, sizes[best], None)
+        kept, _ = _eliminate(data, features, target, config, step, sizes[best], None, vectors)
         final = kept[-1]
         ranking = {f: 1 for f in final}
         for rank, subset in enumerate(reversed(kept[:-1]), start=2):
@@ -283,8 +305,8 @@ def recursive_elimination(
 
 
 def selectable_features(df: DataFrame, target: str, exclude: Sequence[str] = ()) -> list[str]:
-    """Numeric and boolean columns but the target; datetimes drop out."""
-    usable = set(numeric_columns(df)) | {n for n, t in df.dtypes if t == "boolean"}
+    """Numeric, boolean and vector columns but the target; datetimes drop out."""
+    usable = set(numeric_columns(df)) | {f.name for f in df.schema if isinstance(f.dataType, (BooleanType, VectorUDT))}
     return [c for c in df.columns if c in usable and c != target and c not in exclude and c not in datetime_columns(df)]
 
 

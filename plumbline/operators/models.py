@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
@@ -22,13 +23,15 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.config import EngineConfig
+from plumbline.functions.lookup import attach
 from plumbline.functions.quantiles import MAP_LIMIT, order_statistics
+from plumbline.functions.ranks import with_rank
+from plumbline.operators.features import label_ranks, vector_columns
 from plumbline.operators.neighbours import knn_classify
 from plumbline.plans.roles import quoted
+from plumbline.session import materialise
 
 _BUCKETS = 1000
-# Class labels are few by nature; more than this is a regression target given by mistake.
-CLASS_LIMIT = 1_000
 
 REGRESSION_METRICS = ["train_mse", "test_mse", "train_mae", "test_mae", "train_r2", "test_r2"]
 CLASSIFICATION_METRICS = [
@@ -76,34 +79,23 @@ def contiguous_fold(df: DataFrame, key: str, folds: int = 5, map_limit: int = MA
     return fold
 
 
-def stratified_allocation(counts: Sequence[int], folds: int) -> list[list[int]]:
-    """Rows of each class (in label order) per fold: sorted labels are dealt to the folds in turn."""
-    out, before = [], 0
-    for n in counts:
-        out.append([len(range((f - before) % folds, n, folds)) for f in range(folds)])
-        before += n
-    return out
-
-
-def stratified_fold(df: DataFrame, key: str, label: str, folds: int = 5, map_limit: int = MAP_LIMIT) -> Column:
-    """Fold number with equal class shares; within a class the folds are runs in ``key`` order."""
-    rows = df.groupBy(F.col(quoted(label)).alias("y")).agg(F.count("*").alias("n")).filter("y IS NOT NULL").limit(CLASS_LIMIT + 1).collect()
-    if len(rows) > CLASS_LIMIT:
-        raise ValueError(f"{label!r} has more than {CLASS_LIMIT} classes")
-    rows.sort(key=lambda r: r["y"])
-    wanted, columns = {}, []
-    for i, (r, sizes) in enumerate(zip(rows, stratified_allocation([r["n"] for r in rows], folds))):
-        starts = [sum(sizes[:f]) for f in range(1, folds)]
-        wanted[f"k{i}"] = [(s, s) for s in starts if s < r["n"]]
-        columns.append(F.when(F.col(quoted(label)) == F.lit(r["y"]), F.col(quoted(key))).alias(f"k{i}"))
-    found = order_statistics(df.select(*columns), {c: w for c, w in wanted.items() if w}, map_limit)
-    fold = F.lit(None).cast("int")
-    for i, r in enumerate(rows):
-        own = F.lit(0)
-        for s, _ in wanted[f"k{i}"]:
-            own = own + (F.col(quoted(key)) >= F.lit(found[f"k{i}", s])).cast("int")
-        fold = F.when(F.col(quoted(label)) == F.lit(r["y"]), own).otherwise(fold)
-    return fold
+def with_stratified_fold(df: DataFrame, key: str, label: str, folds: int = 5, output: str = "fold") -> DataFrame:
+    """``df`` with a fold number of equal class shares; within a class the folds are runs in the order of a unique ``key``.
+
+    Rows without a label have no fold. Ranks over (label, key) give every class its start and size, and the rest is arithmetic
+    on them, so neither classes nor borders are listed anywhere.
+    """
+    known, unknown = df.filter(F.col(quoted(label)).isNotNull()), df.filter(F.col(quoted(label)).isNull())
+    ranked = with_rank(known, [quoted(label), quoted(key)], "_rank")
+    classes = ranked.groupBy(quoted(label)).agg(F.count("*").alias("_n"), F.min("_rank").alias("_before"))
+    placed = attach(ranked, classes.withColumn("_size", F.col("_n")), [label], "_n")
+    # Sorted labels are dealt to the folds in turn; fold f gets the class's places off, off + folds, ...
+    share = lambda f: F.ceil(F.greatest(F.col("_size") - F.pmod(F.lit(f) - F.col("_before"), F.lit(folds)), F.lit(0)) / folds)
+    fold, start = F.lit(0), F.lit(0)
+    for f in range(folds - 1):
+        start = start + share(f)
+        fold = fold + (F.col("_rank") - F.col("_before") >= start).cast("int")
+    return placed.select(*[F.col(quoted(c)) for c in df.columns], fold.alias(output)).unionByName(unknown.withColumn(output, F.lit(None).cast("int")))
 
 
 # -- metrics -----------------------------------------------------------------------------------
@@ -165,12 +157,25 @@ def roc_auc(df: DataFrame, label: str, score: str) -> float | None:
 
 @dataclass
 class ModelData:
-    """Cached rows (id, features, label, is_test, fold) and what they were made from."""
+    """Cached rows (id, features, label, is_test, fold) and what they were made from.
+
+    ``vectors`` holds the width of each feature that is a vector, ``classes`` the label of each class value (``_y``).
+    """
 
     rows: DataFrame
     features: list[str]
     assembler: VectorAssembler
-    classes: list | None = None
+    vectors: dict[str, int] = field(default_factory=dict)
+    classes: DataFrame | None = None
+
+    @cached_property
+    def class_count(self) -> int:
+        return 0 if self.classes is None else self.classes.count()
+
+    @property
+    def slots(self) -> list[str]:
+        """One name per coefficient of a model: a vector feature has one per place."""
+        return [name for f in self.features for name in ([f"{f}[{i}]" for i in range(self.vectors[f])] if f in self.vectors else [f])]
 
     @property
     def train(self) -> DataFrame:
@@ -187,28 +192,26 @@ class ModelData:
 def prepare(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], config: EngineConfig = EngineConfig()) -> ModelData:
     """Assemble once, split by key hash and assign hash folds; class labels become 0..k-1 in order."""
     features = list(features)
-    label, classes = F.col(quoted(target)).cast("double"), None
-    if config.task == "classification":
-        found = df.select(F.col(quoted(target)).alias("y")).dropna().distinct().limit(CLASS_LIMIT + 1).collect()
-        if len(found) > CLASS_LIMIT:
-            raise ValueError(f"{target!r} has more than {CLASS_LIMIT} classes")
-        classes = sorted(r["y"] for r in found)
-        label = F.lit(None).cast("double")
-        for i, c in enumerate(classes):
-            label = F.when(F.col(quoted(target)) == F.lit(c), F.lit(float(i))).otherwise(label)
+    vectors = vector_columns(df, features)
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
     numbers = df.filter(F.col(quoted(target)).isNotNull()).select(
-        *[F.col(quoted(f)).cast("double").alias(f) for f in features if f not in keys],
+        *[F.col(quoted(f)) if f in vectors else F.col(quoted(f)).cast("double").alias(f) for f in features if f not in keys],
         *[F.col(quoted(k)) for k in keys],
-        label.alias("label"),
+        F.col(quoted(target)).alias("_y"),
     )
     rows = assembler.transform(numbers).select(
         F.concat_ws("|", *[F.col(quoted(k)).cast("string") for k in keys]).alias("id"),
-        "features", "label",
+        "features", "_y",
         is_test_row(keys, config.test_share, config.seed).alias("is_test"),
         hash_fold(keys, config.folds, config.seed).alias("fold"),
     )
-    return ModelData(rows.persist(), features, assembler, classes)
+    classes = None
+    if config.task == "classification":
+        classes = materialise(label_ranks(numbers.select("_y"), "_y"), "classes")
+        rows = attach(rows, classes, ["_y"], "n")
+    label = F.col("label" if classes is not None else "_y").cast("double").alias("label")
+    rows = rows.select("id", "features", label, "is_test", "fold").persist()
+    return ModelData(rows, features, assembler, vectors, classes)
 
 
 # -- estimators --------------------------------------------------------------------------------
@@ -309,7 +312,7 @@ CLASSIFIERS: dict[str, Callable] = {
 def _scores(model, data: ModelData, task: str) -> dict[str, float | None]:
     """Metrics on both parts; the predictions are computed once and kept as three narrow columns."""
     predicted = model.transform(data.rows)
-    has_score = task == "classification" and len(data.classes or []) == 2
+    has_score = task == "classification" and data.class_count == 2
     score = F.lit(None).cast("double")
     if has_score:
         score = vector_to_array("rawPrediction")[1] if "rawPrediction" in predicted.columns else F.col("prediction").cast("double")
@@ -341,8 +344,8 @@ def cross_validate(fit: Callable, data: ModelData, config: EngineConfig) -> tupl
         return classification_metrics(predicted, "label").first()["accuracy"]
 
     with ThreadPoolExecutor(config.parallel_fits) as pool:
-        scores = [s for s in pool.map(run, range(config.folds)) if s is not None]
-    if not scores:
+        scores = list(pool.map(run, range(config.folds)))
+    if not scores or any(s is None for s in scores):  # a fold without a score leaves no mean over all folds
         return float("nan"), float("nan")
     mean = sum(scores) / len(scores)
     return mean, (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5

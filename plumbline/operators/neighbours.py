@@ -6,9 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
+from plumbline.functions.ranks import first_rows
 from plumbline.plans.roles import quoted
+from plumbline.session import materialise
 
 # Query vectors sent to every task: bounded in number and bytes.
 QUERY_ROWS = 10_000
@@ -54,9 +56,8 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
-    """The k smallest distances per query; a window group limit trims each task's rows before the shuffle."""
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """The k smallest distances per query."""
+    return first_rows(rows, ["query_id"], ["distance", "id"], k, "rank")
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_id: str, vector: str = "embedding") -> DataFrame:
@@ -110,8 +111,7 @@ def knn_join(
     result = f"query_id {probe_kind}, id {id_kind}, distance double"
 
     # Of the copies of one vector only the k smallest ids can be among the k nearest.
-    copies = Window.partitionBy("v").orderBy("id")
-    base = base.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k).drop("copy")
+    base = first_rows(base, ["v"], ["id"], k, "copy").drop("copy")
 
     # Any rows do as pivots; a hash order makes the choice repeatable.
     chosen = base.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(pivots).toPandas()
@@ -130,12 +130,11 @@ def knn_join(
                 cell = d.argmin(axis=1)
                 yield part.assign(cell=cell.astype("int32"), radius=d[np.arange(len(part)), cell])
 
-    placed = base.mapInPandas(place, f"id {id_kind}, v array<double>, cell int, radius double")
+    # Read three times from here on.
+    placed = materialise(base.mapInPandas(place, f"id {id_kind}, v array<double>, cell int, radius double"), "placed")
     stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect()
     near = (
-        placed.select("cell", "radius", "id")
-        .withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy("radius", "id")))
-        .filter(F.col("place") <= k)
+        first_rows(placed.select("cell", "radius", "id"), ["cell"], ["radius", "id"], k, "place")
         .select("cell", "radius")
         .collect()
     )  # at most pivots * k rows
@@ -158,7 +157,7 @@ def knn_join(
                     {"query_id": part["query_id"].to_numpy()[hit], "v": part["v"].to_numpy()[hit], "cell": cell.astype("int32")}
                 )
 
-    routed = probes.mapInPandas(route, f"query_id {probe_kind}, v array<double>, cell int")
+    routed = materialise(probes.mapInPandas(route, f"query_id {probe_kind}, v array<double>, cell int"), "routed")
     probe_counts = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
     splits = spark.createDataFrame(
         [(r["cell"], -(-r["n"] // block_rows), -(-probe_counts.get(r["cell"], 0) // block_rows)) for r in stats],

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from plumbline.functions.lookup import attach, bounded_copy
+from plumbline.functions.ranks import with_rank
 from plumbline.plans.roles import quoted
 
 # A key with more rows than this is cut into time segments, so no task windows a whole hot key.
 SEGMENT_ROWS = 5_000_000
-_MAX_CUTS = 1_000
 
 
 def default_steps(train_rows: int) -> int:
@@ -24,35 +25,6 @@ def _windows(rows: DataFrame, within: Sequence[str], order: Sequence[str], steps
     return sized.filter(F.size("window") == steps)
 
 
-def _segment_cuts(hot: DataFrame, sizes: dict, by: str, steps: int, segment_rows: int) -> dict:
-    """Per hot key the values of ``by`` where a new segment starts; every segment keeps ``steps`` rows."""
-    pieces = min(_MAX_CUTS, -(-max(sizes.values()) // segment_rows))
-    shares = [i / pieces for i in range(1, pieces)]
-    sketch = hot.groupBy("_k").agg(F.percentile_approx(by, shares, 10 * _MAX_CUTS).alias("c")).collect()
-    cuts = {r["_k"]: sorted(set(r["c"])) for r in sketch}
-    placed = _with_segment(hot, cuts, by)
-    counts = {(r["_k"], r["_seg"]): r["count"] for r in placed.groupBy("_k", "_seg").count().collect()}
-    kept = {}
-    for k, points in cuts.items():
-        chosen, held = [], 0
-        for i, point in enumerate(points):
-            held += counts.get((k, i), 0)
-            if held >= steps:
-                chosen.append(point)
-                held = 0
-        kept[k] = chosen
-    return kept
-
-
-def _with_segment(hot: DataFrame, cuts: dict, by: str) -> DataFrame:
-    kind = hot.schema[by].dataType.simpleString()
-    key_kind = hot.schema["_k"].dataType.simpleString()
-    table = hot.sparkSession.createDataFrame(list(cuts.items()), f"_k {key_kind}, _cuts array<{kind}>")
-    # One row per hot key, each with at most _MAX_CUTS values.
-    joined = hot.join(F.broadcast(table), "_k")
-    return joined.withColumn("_seg", F.size(F.filter("_cuts", lambda c: c <= F.col(by)))).drop("_cuts")
-
-
 def sequence_windows(
     df: DataFrame, order: Sequence[str], features: Sequence[str], label: str, steps: int,
     key: str | None = None, segment_rows: int = SEGMENT_ROWS,
@@ -61,10 +33,10 @@ def sequence_windows(
 
     The window holds the ``steps`` rows before the row in ``order`` within its ``key``; the label is the
     row's own. Rows without enough history give no sample. ``order`` must identify rows within a key; its
-    first column must be numeric or a time.
+    columns may have any type that sorts.
 
-    Keys above ``segment_rows`` rows (all rows, without a key) are cut into segments at values of the
-    first order column. Each segment also receives the last ``steps`` rows of the one before, so the
+    Keys above ``segment_rows`` rows (all rows, without a key; NULL is a key like any other) are cut into segments of that many
+    rows by their ranks. Each segment also receives the last ``steps`` rows of the one before, so the
     samples are the same as from one long window.
     """
     if steps < 1:
@@ -77,26 +49,25 @@ def sequence_windows(
         F.array(*[F.col(quoted(f)).cast("double") for f in features]).alias("_x"),
         F.col(quoted(label)).alias("label"),
     )
-    hot_keys = rows.groupBy("_k").agg(F.count("*").alias("n")).filter(F.col("n") > segment_rows)
-    sizes = {r["_k"]: r["n"] for r in hot_keys.collect() if r["_k"] is not None}  # at most rows/segment_rows keys
+    hot_keys = rows.groupBy("_k").agg(F.count("*").alias("_n")).filter(F.col("_n") > segment_rows)
     result = [*([F.col("_k").alias(key)] if key else []), *[F.col(n).alias(o) for n, o in zip(names, order)], "window", "label"]
-    if not sizes:
+    small = bounded_copy(hot_keys)
+    if small is not None and small.isEmpty():
         return _windows(rows, ["_k"], names, steps).select(*result)
 
-    listed = rows.sparkSession.createDataFrame([(k,) for k in sizes], f"_k {rows.schema['_k'].dataType.simpleString()}")
-    hot = rows.join(F.broadcast(listed), "_k", "left_semi")
-    cold = rows.join(F.broadcast(listed), "_k", "left_anti")
-    cuts = _segment_cuts(hot, sizes, names[0], steps, segment_rows)
-    placed = _with_segment(hot, cuts, names[0])
-    last = Window.partitionBy("_k", "_seg").orderBy(*[F.col(n).desc() for n in names])
-    halo = (
-        placed.withColumn("_back", F.row_number().over(last))
-        .filter(F.col("_back") <= steps)
-        .drop("_back")
-        .withColumn("_seg", F.col("_seg") + 1)
-        .withColumn("_halo", F.lit(True))
+    listed = (F.broadcast(small) if small is not None else hot_keys).withColumnRenamed("_k", "_hot")
+    same = F.col("_k").eqNullSafe(F.col("_hot"))
+    cold = rows.join(listed, same, "left_anti")
+    ranked = with_rank(rows.join(listed, same, "left_semi"), ["_k", *names], "_rank")
+    # A key's rows have neighbouring ranks, so its smallest rank makes them places within the key.
+    starts = ranked.groupBy(F.struct("_k").alias("_key")).agg(F.min("_rank").alias("_start"), F.count("*").alias("_n"))
+    length = max(segment_rows, steps)
+    place = F.col("_rank") - F.col("_start")
+    placed = attach(ranked.withColumn("_key", F.struct("_k")), starts, ["_key"], "_n").select(
+        "_k", *names, "_x", "label", F.floor(place / length).alias("_seg"), (place % length).alias("_place")
     )
-    both = placed.withColumn("_halo", F.lit(False)).unionByName(halo)
+    halo = placed.filter(F.col("_place") >= length - steps).withColumn("_seg", F.col("_seg") + 1)
+    both = placed.withColumn("_halo", F.lit(False)).unionByName(halo.withColumn("_halo", F.lit(True)))
     from_hot = _windows(both, ["_k", "_seg"], names, steps).filter(~F.col("_halo"))
     from_cold = _windows(cold, ["_k"], names, steps)
     return from_hot.select(*result).unionByName(from_cold.select(*result))

@@ -95,8 +95,8 @@ def analyse(
     data = models.prepare(made.table, made.names, made.target, made.keys or made.names, config)
     board = models.leaderboard(data, config, model_names)
     results["leaderboard"] = board.table
-    results["coefficients"] = models.coefficient_ranking(df, board.models, made.names)
-    results["importances"] = models.importance_ranking(df, board.models, made.names)
+    results["coefficients"] = models.coefficient_ranking(df, board.models, data.slots)
+    results["importances"] = models.importance_ranking(df, board.models, data.slots)
     return results, board
 
 

@@ -62,22 +62,40 @@ def test_contiguous_folds(table, limit):
     assert (rows["f"].to_numpy() == expected).all()
 
 
+def dealt(labels, folds):
+    """Rows of each class per fold when the sorted labels are dealt in turn."""
+    out = {}
+    for p, label in enumerate(sorted(labels)):
+        out.setdefault(label, [0] * folds)[p % folds] += 1
+    return out
+
+
 def test_stratified_folds(table):
     df, pdf = table
-    rows = df.select("id", "kind", models.stratified_fold(df, "id", "kind", 5).alias("f")).toPandas()
-    counts = pdf["kind"].value_counts().sort_index()
-    sizes = models.stratified_allocation(list(counts), 5)
-    for kind, wanted in zip(counts.index, sizes):
+    rows = models.with_stratified_fold(df.select("id", "kind"), "id", "kind", 5, "f").toPandas()
+    sizes = dealt(pdf["kind"], 5)
+    for kind, wanted in sizes.items():
         part = rows[rows["kind"] == kind].sort_values("id")
         assert list(part["f"]) == list(np.repeat(np.arange(5), wanted))
-    assert [sum(s) for s in sizes] == list(counts)
-    totals = [sum(s[f] for s in sizes) for f in range(5)]
-    assert max(totals) - min(totals) <= 1
-
-
-def test_stratified_allocation_small_class():
-    sizes = models.stratified_allocation([2, 3], 5)
-    assert [sum(s) for s in sizes] == [2, 3] and [a + b for a, b in zip(*sizes)] == [1] * 5
+    totals = [sum(s[f] for s in sizes.values()) for f in range(5)]
+    assert len(rows) == len(pdf) and max(totals) - min(totals) <= 1
+
+
+def test_many_classes(spark):
+    """2 000 classes, the first of them with a third of all rows, and rows without a class."""
+    df = spark.range(9000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 WHEN id % 1000 = 1 THEN NULL ELSE id % 2000 END AS y", "id * 1.0 AS x")
+    rows = models.with_stratified_fold(df, "id", "y", 4, "f").toPandas()
+    given = rows.dropna(subset="y")
+    assert len(rows) == 9000 and rows[rows["y"].isna()]["f"].isna().all()
+    for y, wanted in dealt(given["y"], 4).items():
+        part = given[given["y"] == y].sort_values("id")
+        assert list(part["f"]) == list(np.repeat(np.arange(4), wanted))
+    data = models.prepare(df, ["x"], "y", ["id"], models.EngineConfig(task="classification"))
+    assert data.class_count == given["y"].nunique()
+    joined = data.rows.join(df, data.rows["id"] == df["id"].cast("string"))
+    wanted = {y: i for i, y in enumerate(sorted(given["y"].unique()))}
+    assert all(wanted[r["y"]] == r["label"] for r in joined.select("y", "label").collect())
+    data.release()
 
 
 def test_regression_metrics(table):
@@ -129,7 +147,7 @@ def test_classification_leaderboard(table, target):
 
     config = replace(FAST, task="classification", boosting_stages=3)
     data = models.prepare(df, ["a", "b", "c"], target, ["id"], config)
-    assert data.classes == sorted(pdf[target].unique())
+    assert [r["_y"] for r in data.classes.orderBy("label").collect()] == sorted(pdf[target].unique())
     board = models.leaderboard(data, config)
     rows = {r["model"]: r for r in board.table.collect()}
     assert set(rows) == set(models.CLASSIFIERS)

@@ -34,8 +34,8 @@ SQL["folds_contiguous"] = "SELECT o_orderkey, CAST(ntile(5) OVER (ORDER BY o_ord
 
 
 def _stratified(s, d):
-    df = table(s, d, "orders")
-    return df.select("o_orderkey", models.stratified_fold(df, "o_orderkey", "o_orderstatus").alias("fold"))
+    df = table(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    return models.with_stratified_fold(df, "o_orderkey", "o_orderstatus").drop("o_orderstatus")
 
 
 QUERIES["folds_stratified"] = _stratified
