@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline import fixed_values as fixed
 from plumbline.functions.lookup import attach
@@ -18,6 +19,17 @@ from plumbline.plans.roles import datetime_columns, quoted
 _REFUSED = re.compile(r"`?\b(?:try_)?(?:reflect|java_method)\b`?\s*\(|\bover\s*\((?!\s*partition\b)|\bover\s+(?!\()\w+", re.IGNORECASE)
 
 
+@contextmanager
+def _null_on_failure(spark: SparkSession) -> Iterator[None]:
+    """Expressions resolved inside give NULL where a row has no result; those already resolved keep their ways."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def add_derived_columns(
     df: DataFrame, specs: Sequence[Mapping[str, str]]
 ) -> tuple[DataFrame, list[dict[str, str]]]:
@@ -25,14 +37,16 @@ def add_derived_columns(
 
     A spec that does not resolve is skipped and returned with its reason. The text is parsed as a Spark
     expression; calls that reach Java methods and windows over the whole table are refused the same way.
+    A row on which an expression has no result (a zero divisor, text that is no number) gets NULL.
     """
     skipped = []
     for spec in specs:
         try:
             if found := _REFUSED.search(str(spec["calculation"])):
                 raise KeyError(f"{found[0].strip()} is refused")
-            df = df.withColumn(spec["column_name"], F.expr(spec["calculation"]))
-            df.schema  # resolves the plan
+            with _null_on_failure(df.sparkSession):
+                df = df.withColumn(spec["column_name"], F.expr(spec["calculation"]))
+                df.schema  # resolves the plan
         except (AnalysisException, ParseException, KeyError) as problem:
             reason = str(problem).splitlines()[0] if str(problem) else type(problem).__name__
             skipped.append({"column_name": spec.get("column_name", ""), "reason": reason})

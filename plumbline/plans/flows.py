@@ -7,10 +7,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline import fixed_values as fixed
 from plumbline.config import EngineConfig
-from plumbline.operators import charts, clean, derive, features as feats, inference, models, profile, whatif
-from plumbline.plans.roles import analysis_target, categorical_columns, default_tests, numeric_columns, scalable_columns
+from plumbline.operators import charts, clean, derive, features as feats, inference, models, profile, sequences, whatif
+from plumbline.plans.roles import analysis_target, categorical_columns, default_tests, has_time_series, numeric_columns, quoted, scalable_columns
 from plumbline.session import materialise
+from plumbline.sources.tables import save_model, save_results, save_table
 
 
 def preprocess(
@@ -46,17 +48,18 @@ class Features:
 
 def build_features(
     df: DataFrame, config: EngineConfig = EngineConfig(), target: str | None = None, keys: Sequence[str] = (),
-    exclude: Sequence[str] = (), fit_on: str = "all", select: bool = True,
+    exclude: Sequence[str] | None = None, fit_on: str = "all", select: bool = True,
 ) -> Features:
     """Calendar features, encoding, scaling, selection.
 
     One target serves this stage and the analysis. The scaler sees all rows unless ``fit_on="train"``.
-    ``exclude`` names categorical columns that are neither encoded nor used.
+    ``exclude`` names categorical columns that are neither encoded nor used (by default the listed ones).
     """
     target = target or config.target or analysis_target(df)
     if target not in df.columns:
         raise ValueError(f"target column {target!r} is not in the table")
     keys = list(keys)
+    exclude = fixed.EXCLUDED_CATEGORICALS if exclude is None else list(exclude)
     df = derive.add_calendar_features(df)
     left_out = [*keys, *exclude, *([target] if config.task == "classification" else [])]
     categorical = categorical_columns(df, left_out)
@@ -100,6 +103,34 @@ def analyse(
     return results, board
 
 
+def time_series_samples(
+    df: DataFrame, order: Sequence[str], features: Sequence[str], target: str, key: str | None = None, config: EngineConfig = EngineConfig(),
+) -> DataFrame | None:
+    """Sequence samples of a table that holds a time series, else None; the windows' length follows from the training rows."""
+    if not has_time_series(df, features):
+        return None
+    names = [*([key] if key else []), *order]
+    n_train = df.filter(~models.is_test_row(names, config.test_share, config.seed)).count()
+    steps = sequences.default_steps(n_train)
+    if steps < 1:
+        return None
+    return sequences.sequence_windows(df.filter(F.col(quoted(target)).isNotNull()), order, features, target, steps, key)
+
+
+def save_all(results: Mapping[str, DataFrame], board: models.Leaderboard, config: EngineConfig, folder: str) -> dict[str, str]:
+    """Writes what ``run_all`` returns: the cleaned table, the features, every report under ``folder``, the best model.
+
+    A winner that is no stage of a saved pipeline (nearest neighbours hold their training rows) is left out.
+    """
+    kind = lambda path: "parquet" if ".parquet" in path else "csv"
+    flat = {"cleaned": config.processed_path, "features": config.features_path}
+    paths = {name: save_table(results[name], path, kind(path)) for name, path in flat.items()}
+    paths |= save_results({n.replace(": ", "-"): t for n, t in results.items() if n not in flat}, folder, "parquet")
+    if not isinstance(board.models[board.best], models.NearestNeighbours):
+        paths["model"] = save_model(board.best_pipeline(), config.model_path)
+    return paths
+
+
 def what_if(df: DataFrame, specs: Sequence[Mapping], mode: str = "comparable", keys: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Baseline and scenarios; ``keys`` identify rows and count in no total."""
     df = df.drop(*keys)
@@ -109,7 +140,7 @@ def what_if(df: DataFrame, specs: Sequence[Mapping], mode: str = "comparable", k
 def run_all(
     df: DataFrame, config: EngineConfig = EngineConfig(), derived: Sequence[Mapping[str, str]] = (),
     chart_specs: Sequence[Mapping] = (), tests: Sequence[Mapping] | None = None, scenarios: Sequence[Mapping] = (),
-    keys: Sequence[str] = (), target: str | None = None, exclude: Sequence[str] = (),
+    keys: Sequence[str] = (), target: str | None = None, exclude: Sequence[str] | None = None,
     model_names: Sequence[str] | None = None, write_stages: bool = True,
 ) -> tuple[dict[str, DataFrame], models.Leaderboard]:
     """Every stage in order: (named DataFrames, leaderboard).

@@ -80,6 +80,12 @@ def load_model(path: str | None = None, config: EngineConfig = EngineConfig()) -
     return PipelineModel.load(path or config.model_path)
 
 
+def unread_documents(spark: SparkSession, folder: str, documents: DataFrame) -> DataFrame:
+    """(doc_id) of the files of ``folder`` that ``load_documents`` gave no row for; only names are read here."""
+    files = spark.read.format("binaryFile").load(folder).select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("doc_id"))
+    return files.join(documents.select("doc_id"), "doc_id", "left_anti")
+
+
 def load_documents(
     spark: SparkSession,
     folder: str,

@@ -39,8 +39,8 @@ def test_onehot_edges(spark):
     assert out.columns == ["s_b"] and [r[0] for r in out.collect()] == [1.0, 0.0, 0.0]
     with pytest.raises(ValueError):
         features.encode(df, ["s"], "hash")
-    with pytest.raises(ValueError, match="more than 1"):
-        features.category_values(df, ["s"], 1)
+    assert features.category_values(df, ["s", "one"], 1) == {"s": None, "one": ["x"]}
+    assert features.encode_onehot(df, ["s", "one"], 1).columns == ["s_onehot"]
     vectors = features.encode_onehot_vector(df, "s").orderBy("s").collect()
     assert [list(r["s_onehot"].toArray()) for r in vectors] == [[0.0], [0.0], [1.0]]
 

@@ -7,7 +7,7 @@ from plumbline.operators import derive, models, neighbours
 from plumbline.config import EngineConfig
 from plumbline.plans import flows
 from plumbline.session import materialise
-from plumbline.sources.tables import load_table
+from plumbline.sources.tables import load_model, load_table
 from tests.goldens.scenarios import SPECS
 
 FAST = EngineConfig(selection="selectkbest", forest_trees=3, forest_depth=4, boosting_stages=3, folds=3)
@@ -95,3 +95,30 @@ def test_search_skips_null_queries(spark):
     base = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "id int, embedding array<double>")
     asked = spark.createDataFrame([(7, [0.0, 1.0]), (8, None)], "q int, embedding array<double>")
     assert {r["query_id"] for r in neighbours.search(base, asked, 1, "id", "q").collect()} == {7}
+
+
+@pytest.mark.parametrize("selection", ["rfecv", "selectkbest"])
+def test_wide_category_goes_through_the_flow(spark, selection):
+    """A string column with 2 500 values becomes one sparse vector that selection and models accept."""
+    df = spark.range(5000).selectExpr("id", "concat('v', id % 2500) AS code", "CAST(id % 7 AS double) AS a", "CAST(id % 7 AS double) * 3 AS y")
+    config = replace(FAST, selection=selection, forest_trees=2, folds=2)
+    made = flows.build_features(df, config, target="y", keys=["id"])
+    assert "a" in made.names
+    table = flows.build_features(df, config, target="y", keys=["id"], select=False)
+    assert sorted(table.names) == ["a", "code_onehot"]
+    data = models.prepare(table.table, table.names, "y", ["id"], config)
+    assert data.vectors == {"code_onehot": 2499} and len(data.slots) == 2500
+    board = models.leaderboard(data, config, ["random_forest"])
+    assert board.table.count() == 1
+    data.release()
+
+
+def test_saved_results(spark, raw, tmp_path):
+    config = replace(FAST, processed_path=f"{tmp_path}/cleaned.csv", features_path=f"{tmp_path}/features.parquet", model_path=f"{tmp_path}/model")
+    results, board = flows.run_all(raw, config, DERIVED, target="销量", keys=["销售日期", "产品名称"], model_names=["linear", "ridge"])
+    paths = flows.save_all(results, board, config, f"{tmp_path}/reports")
+    assert load_table(spark, paths["cleaned"], "csv").count() == results["cleaned"].count()
+    assert load_table(spark, paths["leaderboard"], "parquet").count() == 2
+    scored = load_model(paths["model"]).transform(load_table(spark, paths["features"]))
+    assert scored.filter("prediction IS NOT NULL").count() == scored.count() > 0
+    board.data.release()

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import derive
-from workload.tables import SALES_KEYS, SALES_SQL, rounded, sales
+from workload.tables import SALES_KEYS, SALES_SQL, rounded, sales, table
 
 QUERIES, SQL = {}, {}
 _KEYS = ", ".join(SALES_KEYS)
@@ -54,3 +54,31 @@ SQL["calendar_features"] = f"""WITH {SALES_SQL} SELECT {_KEYS}, sale_date, CAST(
   CAST(isodow(sale_date) >= 6 AS INTEGER) AS "sale_date_是否周末", monthname(sale_date) AS "sale_date_月份名称",
   strftime(sale_date, '%Y-%m') AS "sale_date_年月", CAST(day(sale_date) <= 10 AS INTEGER) AS "sale_date_月初",
   CAST(day(sale_date) BETWEEN 11 AND 20 AS INTEGER) AS "sale_date_月中", CAST(day(sale_date) > 20 AS INTEGER) AS "sale_date_月末" FROM sales"""
+
+
+def _zero_divisor(s, d):
+    specs = [
+        {"column_name": "odd_price", "calculation": "o_totalprice / (o_orderkey % 2)"},
+        {"column_name": "rest", "calculation": "o_custkey % (o_orderkey % 3)"},
+        {"column_name": "number", "calculation": "cast(o_orderstatus as int)"},
+    ]
+    df, _ = derive.add_derived_columns(table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus"), specs)
+    return rounded(df, 4, "odd_price").select("o_orderkey", "odd_price", F.col("rest").cast("bigint").alias("rest"), "number")
+
+
+QUERIES["derived_zero_divisor"] = _zero_divisor
+SQL["derived_zero_divisor"] = """SELECT o_orderkey, round(o_totalprice / nullif(o_orderkey % 2, 0), 4) AS odd_price,
+  CAST(o_custkey % nullif(o_orderkey % 3, 0) AS BIGINT) AS rest, try_cast(o_orderstatus AS INTEGER) AS number FROM orders"""
+
+# A third of all rows has no key.
+_HOLED = "CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END"
+
+
+def _null_group(s, d):
+    df = table(s, d, "events").selectExpr("event_id", f"{_HOLED} AS user_id", "value")
+    return rounded(derive.add_group_means(df, [("user_id", "value", "mean")]), 6, "mean").select("event_id", "mean")
+
+
+QUERIES["group_means_null_key"] = _null_group
+SQL["group_means_null_key"] = f"""WITH e AS (SELECT event_id, {_HOLED} AS u, value FROM events)
+  SELECT event_id, CASE WHEN u IS NOT NULL THEN round(avg(value) OVER (PARTITION BY u), 6) END AS mean FROM e"""

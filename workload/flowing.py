@@ -73,6 +73,19 @@ QUERIES["what_if_stage_keys"] = lambda s, d: rounded(
 SQL["what_if_stage_keys"] = SQL["what_if_stage"]
 
 
+def _scaled_by_rule(s, d):
+    """A number named after a categorical column is not scaled; listed categorical columns are left out."""
+    df = sales(s, d).select(*SALES_KEYS, "price", F.col("discount").alias("region_discount"), "region", F.col("product").alias("产品名称"))
+    made = flows.build_features(df, keys=SALES_KEYS, select=False)
+    return rounded(made.table, 6, *made.names, "price")
+
+
+QUERIES["scale_by_rule"] = _scaled_by_rule
+SQL["scale_by_rule"] = f"WITH {SALES_SQL} SELECT {', '.join(SALES_KEYS)}, round(discount, 6) AS region_discount, {_Z.format('price')}, " + ", ".join(
+    f"""CAST({c} = '{v}' AS DOUBLE) AS "{c}_{v}" """ for c, v in _ONE if c == "region"
+) + " FROM sales"
+
+
 def _scaled_on_train(s, d):
     df = sales(s, d).select(*SALES_KEYS, "price", "discount", "profit")
     made = flows.build_features(df, replace(_FAST, target="profit"), keys=SALES_KEYS, fit_on="train", select=False)

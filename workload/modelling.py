@@ -1,12 +1,17 @@
 """Queries for splits, folds, models, metrics and sequences."""
 
+import uuid
 from dataclasses import replace
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from plumbline.config import EngineConfig
 from plumbline.operators import models, neighbours, sequences
+from plumbline.plans import flows
+from plumbline.session import shared_folder
+from plumbline.sources.tables import load_model, save_model
 from workload.tables import SALES_KEYS, SALES_SQL, rounded, sales, table
 
 QUERIES, SQL = {}, {}
@@ -214,3 +219,43 @@ SQL["sequence_windows"] = _WINDOWS_SQL
 # The way of keys too large for one task.
 QUERIES["sequence_windows_segmented"] = _windows(40)
 SQL["sequence_windows_segmented"] = _WINDOWS_SQL
+
+
+def _null_key_windows(s, d):
+    """A third of all rows has no key and is cut into segments."""
+    df = table(s, d, "events").withColumn("user_id", F.expr("CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END"))
+    out = sequences.sequence_windows(df, ["ts", "event_id"], ["value"], "value", 5, "user_id", 700)
+    return rounded(out.select("user_id", "event_id", "label", F.aggregate("window", F.lit(0.0), lambda a, x: a + x[0]).alias("total")), 6, "total")
+
+
+QUERIES["sequence_windows_null_key"] = _null_key_windows
+SQL["sequence_windows_null_key"] = """WITH e AS (SELECT *  REPLACE (CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_id) FROM events),
+  o AS (SELECT user_id, event_id, value AS label, sum(value) OVER w AS total, count(*) OVER w AS c FROM e
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+  SELECT user_id, event_id, label, round(total, 6) AS total FROM o WHERE c = 5"""
+
+
+def _samples(s, d):
+    out = flows.time_series_samples(table(s, d, "events").withColumnRenamed("ts", "event_time"), ["event_time", "event_id"], ["value"], "value")
+    total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x[0])
+    return rounded(out.select("event_id", "label", F.size("window").alias("steps"), total.alias("total")), 4, "total")
+
+
+QUERIES["time_series_samples"] = _samples
+SQL["time_series_samples"] = """WITH o AS (SELECT event_id, value AS label, sum(value) OVER w AS total, CAST(count(*) OVER w AS INTEGER) AS steps FROM events
+    WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
+  SELECT event_id, label, steps, round(total, 4) AS total FROM o WHERE steps = 30"""
+
+
+def _saved_model(s, d):
+    """A fitted pipeline is written, read again and used."""
+    rows = sales(s, d).select(*SALES_KEYS, "quantity", F.col("revenue").alias("label"))
+    assembler = VectorAssembler(inputCols=["quantity"], outputCol="features")
+    fitted = models.REGRESSORS["linear"](assembler.transform(rows), SMALL)
+    path = save_model(PipelineModel([assembler, fitted]), f"{shared_folder(s)}/workload-model-{uuid.uuid4().hex}")
+    return rounded(load_model(path).transform(rows).select(*SALES_KEYS, "prediction"), 2, "prediction")
+
+
+QUERIES["saved_model"] = _saved_model
+SQL["saved_model"] = f"""WITH {SALES_SQL}, m AS (SELECT covar_pop(revenue, quantity) / var_pop(quantity) AS b, avg(quantity) AS mx, avg(revenue) AS my FROM sales)
+  SELECT {', '.join(SALES_KEYS)}, round(my + b * (quantity - mx), 2) AS prediction FROM sales, m"""

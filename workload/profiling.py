@@ -1,9 +1,13 @@
 """Queries for loading and profiling."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import profile
-from plumbline.sources.tables import load_table
+from plumbline.plans import roles
+from plumbline.session import shared_folder
+from plumbline.sources.tables import load_documents, load_table, save_results, save_table, unread_documents
 from workload.tables import HOLED_SQL, SALES_NUMBERS, SALES_SQL, holed_orders, rounded, sales, table
 
 QUERIES, SQL = {}, {}
@@ -18,6 +22,79 @@ SQL["load_documents"] = (
     "SELECT doc_id, lang, source, CAST(length(text) AS INTEGER) AS n_text, md5(text) AS digest FROM documents"
 )
 
+def _folder(s, name):
+    return f"{shared_folder(s)}/workload-{name}-{uuid.uuid4().hex}"
+
+
+def _document_files(s, d):
+    """Files of documents, one per task that wrote, read whole again and compared line by line."""
+    path = _folder(s, "documents")
+    table(s, d, "documents").select("text").filter("text IS NOT NULL").write.text(path)
+    lines = load_documents(s, path).select(F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"))
+    return lines.groupBy(F.md5("line").alias("line")).agg(F.count("*").alias("n"))
+
+
+QUERIES["load_document_files"] = _document_files
+SQL["load_document_files"] = """SELECT md5(line) AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line
+  FROM documents WHERE text IS NOT NULL) GROUP BY 1"""
+
+
+def _unread_files(s, d):
+    path = _folder(s, "documents")
+    table(s, d, "customer").select("c_mktsegment", "c_name").write.partitionBy("c_mktsegment").text(path)
+    segments = [r[0] for r in s.read.text(path).select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
+    loaded = load_documents(s, f"{path}/c_mktsegment={segments[0]}")
+    unread = unread_documents(s, f"{path}/c_mktsegment={segments[0]}", loaded)
+    n_lines = F.sum(F.size(F.split("text", "\n")) - 1)
+    return loaded.agg(n_lines.alias("n_lines")).crossJoin(unread.agg(F.count("*").alias("n_unread")))  # one row each
+
+
+QUERIES["unread_documents"] = _unread_files
+SQL["unread_documents"] = """SELECT count(*) AS n_lines, CAST(0 AS BIGINT) AS n_unread FROM customer
+  WHERE c_mktsegment = (SELECT min(c_mktsegment) FROM customer)"""
+
+
+def _saved(fmt):
+    def run(s, d):
+        df = table(s, d, "customer")
+        return load_table(s, save_table(df, _folder(s, "table"), fmt), fmt, schema=df.schema)
+
+    return run
+
+
+QUERIES["save_table_csv"] = _saved("csv")
+QUERIES["save_table_parquet"] = _saved("parquet")
+SQL["save_table_csv"] = SQL["save_table_parquet"] = SQL["load_table"]
+
+
+def _saved_results(s, d):
+    orders = table(s, d, "orders")
+    counts = {c: orders.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")) for c in ("o_orderstatus", "o_orderpriority")}
+    paths = save_results(counts, _folder(s, "results"))
+    kind = "value string, n bigint"
+    parts = [load_table(s, path, "csv", kind).select(F.lit(name).alias("part"), "value", "n") for name, path in paths.items()]
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES["save_results"] = _saved_results
+SQL["save_results"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS part, {c} AS value, count(*) AS n FROM orders GROUP BY 2" for c in ("o_orderstatus", "o_orderpriority")
+)
+
+
+def _default_targets(s, d):
+    """The targets that both stages take from the names of the columns."""
+    df = sales(s, d).select("l_orderkey", "quantity", "discount", "price", "profit")
+    columns = {"feature stage": roles.feature_target(df), "analysis stage": roles.analysis_target(df)}
+    mean = df.agg(*[F.avg(c).alias(c) for c in set(columns.values())])
+    rows = [F.struct(F.lit(stage).alias("stage"), F.lit(c).alias("target"), F.col(c).alias("mean")) for stage, c in columns.items()]
+    return rounded(mean.select(F.inline(F.array(*rows))), 6)
+
+
+QUERIES["default_targets"] = _default_targets
+SQL["default_targets"] = f"""WITH {SALES_SQL} SELECT 'feature stage' AS stage, 'l_orderkey' AS target, round(avg(l_orderkey), 6) AS mean FROM sales
+  UNION ALL SELECT 'analysis stage', 'price', round(avg(price), 6) FROM sales"""
+
 QUERIES["dataset_profile"] = lambda s, d: profile.dataset_profile(holed_orders(s, d)).drop("data_type")
 _PROFILE = [
     ("o_orderkey", "numeric", "false", "true"),

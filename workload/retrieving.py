@@ -52,3 +52,16 @@ def _formatted(s, d):
 QUERIES["format_results"] = _formatted
 SQL["format_results"] = """SELECT doc_id, '- API: ' || coalesce(source, '未知') || ' (分类: ' || coalesce(nullif(lang, 'en'), '未知') || ')' || chr(10) ||
   '  描述: ' || text AS formatted FROM documents"""
+
+
+def _deep_search(s, d):
+    """More hits than Spark trims by itself, and a query without a vector."""
+    vectors = table(s, d, "embeddings").filter("vec_id IN (0, 1, 2)").withColumn("embedding", F.expr("CASE WHEN vec_id <> 1 THEN embedding END"))
+    return rounded(neighbours.search(table(s, d, "embeddings"), vectors, 1500, "vec_id", "vec_id"), 6)
+
+
+QUERIES["vector_search_deep"] = _deep_search
+SQL["vector_search_deep"] = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.vec_id IN (0, 2)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM p)
+  SELECT query_id, id, round(dist, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 1500"""
