@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline import fixed_values as fixed
+from plumbline.operators.neighbours import search
 from plumbline.plans.roles import quoted
 
 # Texts split before their chunks are sent on.
@@ -137,6 +138,16 @@ def format_results(hits: DataFrame, text: str = "chunk", category: str = "catego
     return hits.select(*keep, entry.alias("formatted"))
 
 
+def retrieve(
+    corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_id: str, vector: str = "embedding", text: str = "chunk",
+    category: str = "category", api_name: str = "api_name",
+) -> DataFrame:
+    """(query_id, rank, formatted): the k chunks of ``corpus`` nearest to each query as entries, nearest first."""
+    hits = search(corpus, queries, k, corpus_id, query_id, vector).drop("distance")
+    chunks = corpus.select(F.col(quoted(corpus_id)).alias("id"), *[F.col(quoted(c)) for c in (text, category, api_name)])
+    return format_results(hits.join(chunks, "id"), text, category, api_name, keep=["query_id", "rank"])
+
+
 def retrieval_text(formatted: DataFrame, order: str = "rank") -> str:
     """One text from all hits of a single search, nearest first; the search's k bounds them."""
     rows = formatted.orderBy(order).collect()

@@ -62,9 +62,7 @@ SQL["bars_sum"] = _bars_sql("region", "quantity", "sum(quantity)", "stddev_samp(
 QUERIES["lines"] = lambda s, d: rounded(charts.lines(sales(s, d), "sale_date", "profit"), 4)
 SQL["lines"] = _bars_sql("sale_date", "profit", "avg(profit)", "stddev_samp(profit) / sqrt(count(*))")
 
-QUERIES["bootstrap_intervals"] = lambda s, d: charts.bootstrap_intervals(
-    sales(s, d), "category", "profit", SALES_KEYS, resamples=500, blocks=512
-)
+QUERIES["bootstrap_intervals"] = lambda s, d: charts.bootstrap_intervals(sales(s, d), "category", "profit", SALES_KEYS)
 
 _SPECS = [
     {"chart_type": "histogram", "title": "quantities", "x_axis": "quantity", "y_axis": "frequency"},

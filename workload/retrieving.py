@@ -65,3 +65,33 @@ SQL["vector_search_deep"] = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBL
   p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.vec_id IN (0, 2)),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM p)
   SELECT query_id, id, round(dist, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 1500"""
+
+
+def _retrieved(s, d):
+    """Documents under the vectors of the same number, asked by the mean vector of each label."""
+    vectors = table(s, d, "embeddings").select("vec_id", "embedding")
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.left("text", F.lit(250)).alias("chunk"), F.col("lang").alias("category"), F.col("source").alias("api_name"))
+    return retrieval.retrieve(vectors.join(docs, "vec_id"), _centroids(s, d), 20, "vec_id", "label")
+
+
+QUERIES["retrieve"] = _retrieved
+SQL["retrieve"] = f"""{_SEARCH.replace("CROSS JOIN embeddings", "CROSS JOIN (SELECT e.* FROM embeddings e JOIN documents ON doc_id = vec_id) b").replace(
+  "vec_id AS id, list_distance(e,", "vec_id AS id, list_distance(q.e,")}
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, '- API: ' || coalesce(source, '未知') || ' (分类: ' || coalesce(lang, '未知') || ')' || chr(10) ||
+  '  描述: ' || coalesce(left(text, 250), '') AS formatted FROM r JOIN documents ON doc_id = id WHERE rank <= 20"""
+
+
+def _chunk_facts(s, d):
+    """Per document: chunks that its text does not hold, the longest chunk, and characters other than blanks in text and chunks."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    solid = lambda c: F.length(F.regexp_replace(c, r"\s+", "")).cast("bigint")
+    chunks = retrieval.chunk_recursive(docs, overlap=0).join(docs, "doc_id")
+    facts = chunks.groupBy("doc_id").agg(
+        F.count_if(F.instr("text", F.col("chunk")) == 0).alias("n_foreign"), (F.max(F.length("chunk")) <= 250).alias("fit"), F.sum(solid("chunk")).alias("n_solid")
+    )
+    return facts
+
+
+QUERIES["chunk_recursive_facts"] = _chunk_facts
+SQL["chunk_recursive_facts"] = r"""SELECT doc_id, CAST(0 AS BIGINT) AS n_foreign, true AS fit,
+  CAST(length(regexp_replace(text, '\s+', '', 'g')) AS BIGINT) AS n_solid FROM documents WHERE regexp_matches(text, '\S')"""
