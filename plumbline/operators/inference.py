@@ -85,22 +85,26 @@ def pearson_statistics(df: DataFrame, a: str, b: str) -> DataFrame:
 def chi2_statistics(df: DataFrame, a: str, b: str) -> DataFrame:
     """(statistic, df) of the independence test; Yates correction only for a 2 x 2 table.
 
-    Σ(o-e)²/e = n·(Σ o²/(row·col) - 1) needs only occupied cells, so the table is never filled in; a
-    2 x 2 table takes its corrected form from the same counts.
+    Σ(o-e)²/e over the occupied cells, and e for the empty ones, whose sum is what the occupied leave of n: the table is never
+    filled in. Differences are taken in whole numbers, so large counts lose no digits. A 2 x 2 table takes its
+    corrected form from the same counts.
     """
     cells = df.select(F.col(quoted(a)).alias("a"), F.col(quoted(b)).alias("b")).dropna().groupBy("a", "b").agg(F.count("*").alias("o"))
+    total = cells.agg(F.sum("o")).first()[0] or 0
     rows = cells.groupBy("a").agg(F.sum("o").alias("row"))
     cols = cells.groupBy("b").agg(F.sum("o").alias("col"))
-    share = F.col("o").cast("double") * F.col("o") / (F.col("row").cast("double") * F.col("col"))
-    one = cells.join(rows, "a").join(cols, "b").agg(
-        F.sum(share).alias("share"), F.max(F.struct("o", "row", "col")).alias("cell"), F.sum("o").alias("n"),
+    whole = lambda c: c.cast("decimal(19,0)")
+    product = whole(F.col("row")) * whole(F.col("col"))
+    placed = cells.join(rows, "a").join(cols, "b").select("a", "b", "o", product.alias("p"), (whole(F.col("o")) * whole(F.lit(total)) - product).alias("d"))
+    d, p = F.col("d").cast("double"), F.col("p").cast("double")
+    one = placed.agg(
+        F.sum(d * d / p).alias("occupied"), F.sum("p").alias("p"), F.max(F.struct("o", "d")).alias("cell"), F.sum("o").alias("n"),
         F.count_distinct("a").alias("nr"), F.count_distinct("b").alias("nc"),
     )
     n = F.col("n").cast("double")
-    plain = n * (F.col("share") - 1)
-    expected = F.col("cell.row").cast("double") * F.col("cell.col") / n
+    plain = (F.col("occupied") + (whole(F.col("n")) * whole(F.col("n")) - F.col("p")).cast("double")) / n
     # In a 2 x 2 table all four cells deviate by the same amount, so any one of them gives the statistic.
-    gap = F.abs(F.col("cell.o") - expected)
+    gap = F.abs(F.col("cell.d").cast("double")) / n
     reduced = gap - F.least(F.lit(0.5), gap)
     corrected = F.when(gap > 0, plain * reduced * reduced / (gap * gap)).otherwise(0.0)
     dof = (F.col("nr") - 1) * (F.col("nc") - 1)

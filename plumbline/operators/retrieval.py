@@ -24,12 +24,15 @@ def chunk_windows(
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
     body = F.col(quoted(text))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(body) - (overlap + 1)), F.lit(size - overlap))
-    return (
-        df.filter(F.length(body) > 0)
-        .select(*keep, body.alias("_text"), F.posexplode(starts).alias("chunk_no", "_start"))
-        .select(*keep, "chunk_no", F.expr(f"substring(_text, _start + 1, {int(size)})").alias("chunk"))
-    )
+    # The text is cut into steps once; a window is a step and what it needs of the steps after it.
+    step = size - overlap
+    pieces = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    joined = pieces
+    for later in range(1, -(-size // step)):
+        joined = F.zip_with(joined, F.slice(pieces, later + 1, F.length(body)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    count = F.floor(F.greatest(F.lit(0), F.length(body) - (overlap + 1)) / step).cast("int") + 1
+    chunks = F.transform(F.slice(joined, 1, count), lambda c: F.left(c, F.lit(size)))
+    return df.filter(F.length(body) > 0).select(*keep, F.posexplode(chunks).alias("chunk_no", "chunk"))
 
 
 def _pieces(text: str, low: int, high: int, separators: Sequence[str], size: int) -> Iterator[tuple[int, int, bool]]:

@@ -62,3 +62,28 @@ def test_anova_and_edges(spark):
     assert inference.run_tests(flat, [{"test_name": "p", "kind": "pearson", "columns": ["a", "b"]}]).count() == 0
     with pytest.raises(ValueError):
         inference.run_tests(df, [{"test_name": "x", "kind": "sign", "columns": ["g", "v"]}])
+
+
+def test_chi_square_against_fractions(spark):
+    """Tables with and without empty cells, against exact arithmetic."""
+    from fractions import Fraction
+
+    from plumbline.operators import inference
+
+    small = [[30, 31, 29], [10, 9, 12]]
+    df = spark.createDataFrame([(i, j) for i, r in enumerate(small) for j, n in enumerate(r) for _ in range(n)], "a int, b int")
+    n, rows, cols = 121, [90, 31], [40, 40, 41]
+    exact = sum((small[i][j] - Fraction(rows[i] * cols[j], n)) ** 2 / Fraction(rows[i] * cols[j], n) for i in range(2) for j in range(3))
+    assert inference.chi2_statistics(df, "a", "b").first()["statistic"] == pytest.approx(float(exact), rel=1e-12)
+    gap = spark.createDataFrame([(0, 0)] * 5 + [(1, 1)] * 7 + [(2, 1)] * 2 + [(2, 2)] * 3, "a int, b int")
+    cells, n = {(0, 0): 5, (1, 1): 7, (2, 1): 2, (2, 2): 3}, 17
+    row, col = {0: 5, 1: 7, 2: 5}, {0: 5, 1: 9, 2: 3}
+    exact = sum((cells.get((i, j), 0) - Fraction(row[i] * col[j], n)) ** 2 / Fraction(row[i] * col[j], n) for i in row for j in col)
+    assert inference.chi2_statistics(gap, "a", "b").first()["statistic"] == pytest.approx(float(exact), rel=1e-12)
+
+
+def test_t_with_many_degrees_of_freedom():
+    from plumbline.functions.tails import t_two_sided
+
+    assert t_two_sided(1.959963984540054, 1e14) == pytest.approx(0.05, rel=1e-9)
+    assert t_two_sided(1.959963984540054, 9e7) == pytest.approx(0.05, rel=1e-4)
