@@ -2,7 +2,7 @@
 
 An entity's surrogate is a keyed permutation of what its format allows: digits become digits, letters become letters of
 their script and kind, listed first names other names of their gender and script; separators, case and check digits are kept
-valid. A permutation gives different entities of a format different surrogates and one entity the same one in every document, with no table
+valid. Names are found after a title, and then wherever the document has them again, whole or in part; in scripts without capitals a name ends after two parts. A permutation gives different entities of a format different surrogates and one entity the same one in every document, with no table
 of entities, and is built without fixed points, so nothing is left as it was. ``collisions`` checks this over the mentions of a corpus.
 
 Null texts stay null, texts without entities stay as they are, overlapping finds go to the earlier and then the longer one.
@@ -11,9 +11,11 @@ Repeated rows get repeated results; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +37,20 @@ LETTERS = [
     "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ",
 ]
 _LETTER = {c: i for i, letters in enumerate(LETTERS) for c in letters}
+# Words within a name that stay as they are.
+PARTICLES = "van von der den de del della di da dos du la le al el bin ibn ter zu".split()
+
+# A part of a name: a capital or a letter without case, then letters with their marks; apostrophes may stand between.
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x2100)) if unicodedata.category(c)[0] == "M")
+_CAPITAL = "[" + "".join(c for c in map(chr, range(0x2100)) if c.isupper() or c.istitle()) + "]"
+_REST = rf"(?:[^\W\d_]|[{_MARKS}])"
+_TAIL = rf"(?:['’](?!s(?!\w)){_REST}+)*"
+_WORD = lambda first: rf"{first}{_REST}*{_TAIL}"
+_FIRST = r"[^\W\d_a-zа-яà-ÿ]"
+_JOINT = rf"(?:[ ](?:(?:{'|'.join(PARTICLES)})[ ])*|[ \-]|(?<=\.))"
+# A lone capital within a name has a dot or another part after it.
+_NEXT = rf"(?:{_CAPITAL}\.|(?!{_CAPITAL}(?![\w'’])(?![ \-]{_CAPITAL}{_REST})){_WORD(_CAPITAL)})"
+_NAME = rf"(?:(?:{'|'.join(PARTICLES)})[ ])*(?:{_CAPITAL}\.(?={_JOINT}{_FIRST})|{_WORD(_FIRST)})(?:{_JOINT}{_FIRST}{_REST}+{_TAIL})?(?:{_JOINT}{_NEXT})*"
 
 PATTERNS = {
     "secret": r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b["']?\s*[:=]\s*["']?)(?P<secret>[A-Za-z0-9_\-/+=.]{8,})""",
@@ -44,7 +60,7 @@ PATTERNS = {
     "ssn": r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
     "ip": r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))",
     "phone": r"(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\w)|(?<![\w+])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w+.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?!\w))",
-    "name": r"\b(?:" + "|".join([t[0].upper() + t[1:] for t in TITLES] + [t for t in TITLES if t[0] in "гд"]) + r")\b\.?[ ](?P<name>[^\W\d_a-zа-яà-ÿ][^\W\d_]+(?:[ \-][^\W\d_a-zа-яà-ÿ][^\W\d_]+)?)",
+    "name": r"\b(?:" + "|".join([t[0].upper() + t[1:] for t in TITLES] + [t for t in TITLES if t[0] in "гд"]) + rf")\b\.?[ ](?P<name>{_NAME})",
 }
 _HINT = re.compile(r"[0-9@]|" + PATTERNS["name"].replace("(?P<name>", "(?:") + "|(?i:token|secret|passw|key)")
 
@@ -99,14 +115,49 @@ def _permuted(key: bytes, kind: str, values: list[int], radices: list[int]) -> l
     return Permutation(key, kind, radices)(values)
 
 
+def _low(c: str) -> str:
+    """A letter's small form, one character for one; the final sigma counts as a sigma."""
+    low = c.lower()
+    return "σ" if low == "ς" else low if len(low) == 1 else c
+
+
+def _cased(c: str) -> bool:
+    return len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c
+
+
+@functools.cache
+def _page(number: int) -> dict[str, str]:
+    """The letters of 256 code points that LETTERS leaves out, each with all those of its script and kind."""
+    groups: dict[tuple, list[str]] = {}
+    for c in map(chr, range(256 * number, 256 * number + 256)):
+        if c.isalpha() and _low(c) == c and c not in _LETTER:
+            groups.setdefault((unicodedata.name(c, "").split(" ")[0], unicodedata.category(c), _cased(c)), []).append(c)
+    # A letter without another of its kind goes to the largest group of its script, or else of the page.
+    for alone in [k for k, v in groups.items() if len(v) == 1]:
+        others = sorted((k for k in groups if k != alone), key=lambda k: (k[0] != alone[0], -len(groups[k]), k))
+        if alone in groups and len(groups[alone]) == 1 and others:
+            groups[others[0]] += groups.pop(alone)
+    return {c: "".join(v) for v in groups.values() for c in v}
+
+
+def _alphabet(c: str) -> str:
+    """The characters that a small letter or digit may become; none for anything else."""
+    if c.isascii() and c.isdigit():
+        return "0123456789"
+    if c in _LETTER:
+        return LETTERS[_LETTER[c]]
+    return _page(ord(c) >> 8).get(c, "") if c.isalpha() else ""
+
+
 def _shaped(key: bytes, kind: str, text: str) -> str:
     """Letters and digits permuted in place; case and everything else stay."""
-    low = [c if len(c) == 1 else o for c, o in zip(map(str.lower, text), text)]
-    spots = [(i, "0123456789" if c.isdigit() and c.isascii() else LETTERS[_LETTER[c]]) for i, c in enumerate(low) if c in _LETTER or (c.isascii() and c.isdigit())]
+    low = [_low(c) for c in text]
+    spots = [(i, kinds) for i, c in enumerate(low) if len(kinds := _alphabet(c)) > 1]
     moved = _permuted(key, kind, [kinds.index(low[i]) for i, kinds in spots], [len(kinds) for _, kinds in spots])
     out = list(text)
     for (i, kinds), value in zip(spots, moved):
-        out[i] = kinds[value].upper() if text[i] != low[i] else kinds[value]
+        new = kinds[value]
+        out[i] = new.upper() if text[i].isupper() and text[i] != low[i] and _cased(new) else new
     return "".join(out)
 
 
@@ -123,7 +174,10 @@ def _digits(key: bytes, kind: str, text: str, first: int = 0) -> str:
 def _name(key: bytes, text: str) -> str:
     """Each part of a name: a listed given name by another of its gender and script, any other by letters of its kind."""
     out = []
-    for part in re.split(r"([ \-])", text):
+    for part in re.split(r"([ \-.])", text):
+        if part in PARTICLES:
+            out.append(part)
+            continue
         known = next((names for names in GIVEN.values() if part.lower() in names), None)
         if known:
             moved = known[_permuted(key, f"given {known[0]}", [known.index(part.lower())], [len(known)])[0]]
@@ -131,7 +185,7 @@ def _name(key: bytes, text: str) -> str:
         else:
             new = _shaped(key, "name", part)
             # Not a listed given name: an unlisted name would meet a listed one's surrogate.
-            while any(new.lower() in names for names in GIVEN.values()):
+            while any(new.lower() in names for names in GIVEN.values()) or new in PARTICLES:
                 new = _shaped(key, "name", new)
             out.append(new)
     return "".join(out)
@@ -139,6 +193,14 @@ def _name(key: bytes, text: str) -> str:
 
 def surrogate(key: bytes, kind: str, text: str) -> str | None:
     """The replacement of an entity, or None when the text is not one of this kind after all."""
+    new = _replaced(key, kind, text)
+    if new == text:  # only signs
+        assert not any(len(_alphabet(_low(c))) > 1 for c in text), f"a {kind} was left as it is"
+        return None
+    return new
+
+
+def _replaced(key: bytes, kind: str, text: str) -> str | None:
     digits = "".join(c for c in text if c.isdigit())
     if kind == "card":
         if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
@@ -172,6 +234,16 @@ def surrogate(key: bytes, kind: str, text: str) -> str | None:
     return _digits(key, kind, text) if kind == "ssn" else _shaped(key, kind, text)
 
 
+def candidates(kind: str, text: str, start: int, stop: int) -> Iterator[int]:
+    """The ends to try for an entity: where kinds with check digits end is known by those, so each end of a group, the longest first."""
+    yield stop
+    if kind in ("card", "iban"):
+        least = 13 if kind == "card" else 16
+        for end in range(stop - 1, start, -1):
+            if text[end] in " -" and text[end - 1] not in " -" and sum(c.isalnum() for c in text[start:end]) >= least:
+                yield end
+
+
 class Finder:
     """Finds entities in texts and replaces them."""
 
@@ -185,15 +257,40 @@ class Finder:
             return []
         found = []
         for rank, (kind, pattern) in enumerate(self.patterns):
-            for match in pattern.finditer(text):
-                found.append((match.start(kind), -match.end(kind), rank, kind))
+            at = 0
+            while match := pattern.search(text, at):
+                start, stop = match.span(kind)
+                for stop in candidates(kind, text, start, stop):
+                    new = surrogate(self.key, kind, text[start:stop])
+                    if new is not None:
+                        found.append((start, -stop, rank, kind, new))
+                        break
+                # What is no entity from here may be one from a later group.
+                at = stop if new is not None or kind not in ("card", "iban") else start + 1
         out, end = [], 0
-        for start, stop, _, kind in sorted(found):
+        for start, stop, _, kind, new in sorted(found):
             if start >= end:
-                new = surrogate(self.key, kind, text[start:-stop])
-                if new is not None:
-                    out.append((start, -stop, kind, new))
-                    end = -stop
+                out.append((start, -stop, kind, new))
+                end = -stop
+        return self._named_again(text, out)
+
+    def _named_again(self, text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+        """``found`` and further mentions of its names, whole or by a part of two letters and more."""
+        whole = {text[start:stop] for start, stop, kind, _ in found if kind == "name"}
+        parts = {part for name in whole for part in re.split(r"[ \-.]+", name) if part not in PARTICLES}
+        names = {n for n in whole | parts if sum(map(str.isalpha, n)) > 1}
+        if not names:
+            return found
+        spellings = {v for n in names for v in (n, n.upper(), n.title(), n.capitalize())}
+        known = re.compile(r"(?<![\w@])(?:" + "|".join(map(re.escape, sorted(spellings, key=lambda n: (-len(n), n)))) + r")(?!\w)")
+        out, end = [], 0
+        for start, stop, kind, new in [*found, (len(text), len(text), "", "")]:
+            for match in known.finditer(text, end, start):
+                if again := surrogate(self.key, "name", match[0]):
+                    out.append((*match.span(), "name", again))
+            if kind:
+                out.append((start, stop, kind, new))
+            end = stop
         return out
 
     def replaced(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
@@ -231,7 +328,7 @@ def canonical(kind: str, text: str) -> str:
     """One spelling of an entity: what its mentions in different formats share."""
     if kind in ("phone", "card", "iban"):
         return re.sub(r"[ .()\-]", "", text)
-    return text.lower() if kind in ("email", "name") else text
+    return text.lower().replace("ς", "σ") if kind in ("email", "name") else text
 
 
 def collisions(replaced: DataFrame) -> DataFrame:
