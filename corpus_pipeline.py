@@ -35,7 +35,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def surrogate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``n_chars`` follows a text that was changed."""
-    made = pii.replace_pii(docs, SURROGATE_KEY)
+    made = pii.replace_distinctly(docs, SURROGATE_KEY)
     if "n_chars" in docs.columns:
         changed = F.when(F.size("entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         made = made.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))

@@ -3,7 +3,7 @@
 An entity's surrogate is a keyed permutation of what its format allows: digits become digits, letters become letters of
 their script and kind, listed first names other names of their gender and script; separators, case and check digits are kept
 valid. Names are found after a title, and then wherever the document has them again, whole or in part; in scripts without capitals a name ends after two parts. A permutation gives different entities of a format different surrogates and one entity the same one in every document, with no table
-of entities, and is built without fixed points, so nothing is left as it was. ``collisions`` checks this over the mentions of a corpus.
+of entities, and is built without fixed points, so nothing is left as it was. ``replace_distinctly`` checks this over the mentions of a corpus and mends it.
 
 Null texts stay null, texts without entities stay as they are, overlapping finds go to the earlier and then the longer one.
 Repeated rows get repeated results; an empty table gives no rows.
@@ -21,7 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import pieces_of
+from plumbline.llm.common import BROADCAST_KEYS, pieces_of
+from plumbline.session import materialise
 
 # Given names by script and gender, and the titles before names.
 GIVEN = {
@@ -37,6 +38,8 @@ LETTERS = [
     "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ",
 ]
 _LETTER = {c: i for i, letters in enumerate(LETTERS) for c in letters}
+# Country codes of one and of two digits; all others have three.
+COUNTRIES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 # Words within a name that stay as they are.
 PARTICLES = "van von der den de del della di da dos du la le al el bin ibn ter zu".split()
 
@@ -220,8 +223,10 @@ def _replaced(key: bytes, kind: str, text: str) -> str | None:
     if kind == "ip":
         return ".".join(map(str, _permuted(key, "ip", [int(x) for x in text.split(".")], [256] * 4)))
     if kind == "phone":
-        first = len(re.match(r"\+(\d{1,3})(?=[ .\-(])", text)[1]) if re.match(r"\+\d{1,3}[ .\-(]", text) else 0
-        return _digits(key, f"phone {digits[:first]}", text, first)
+        # The country code follows from the digits alone, whatever stands between them.
+        plain = canonical(kind, text)
+        first = next((n for n in (1, 2) if plain[1 : 1 + n] in COUNTRIES), 3) if plain[0] == "+" else 0
+        return _digits(key, f"phone {plain[1 : 1 + first]}", text, first)
     if kind == "email":
         stem, dot, top = text.rpartition(".")
         return _shaped(key, "email " + top.lower(), stem) + dot + top
@@ -247,10 +252,15 @@ def candidates(kind: str, text: str, start: int, stop: int) -> Iterator[int]:
 class Finder:
     """Finds entities in texts and replaces them."""
 
-    def __init__(self, key: bytes):
+    def __init__(self, key: bytes, turns: dict[tuple[str, str], int] | None = None):
         self.key = key
+        self.turns = turns or {}  # how often an entity's surrogate is drawn anew, by kind and digest
         self.patterns = [(kind, re.compile(pattern)) for kind, pattern in PATTERNS.items()]
 
+    def surrogate(self, kind: str, text: str) -> str | None:
+        turn = self.turns.get((kind, digest(self.key, kind, text)), 0) if self.turns else 0
+        return surrogate(hashlib.blake2b(str(turn).encode(), key=self.key[:64]).digest() if turn else self.key, kind, text)
+
     def mentions(self, text: str) -> list[tuple[int, int, str, str]]:
         """``(start, stop, kind, surrogate)`` in order, not overlapping."""
         if not _HINT.search(text):
@@ -261,7 +271,7 @@ class Finder:
             while match := pattern.search(text, at):
                 start, stop = match.span(kind)
                 for stop in candidates(kind, text, start, stop):
-                    new = surrogate(self.key, kind, text[start:stop])
+                    new = self.surrogate(kind, text[start:stop])
                     if new is not None:
                         found.append((start, -stop, rank, kind, new))
                         break
@@ -286,7 +296,7 @@ class Finder:
         out, end = [], 0
         for start, stop, kind, new in [*found, (len(text), len(text), "", "")]:
             for match in known.finditer(text, end, start):
-                if again := surrogate(self.key, "name", match[0]):
+                if again := self.surrogate("name", match[0]):
                     out.append((*match.span(), "name", again))
             if kind:
                 out.append((start, stop, kind, new))
@@ -302,20 +312,24 @@ class Finder:
         return "".join([*parts, text[end:]]) if found else text, found
 
 
-def replace_pii(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
+def digest(key: bytes, kind: str, text: str) -> str:
+    return hashlib.blake2b(canonical(kind, text).encode(), key=key[:64], digest_size=16).hexdigest()
+
+
+def replace_pii(docs: DataFrame, key: bytes, text: str = "text", turns: dict[tuple[str, str], int] | None = None) -> DataFrame:
     """``docs`` with entities in ``text`` replaced and ``entities``: start, kind, original digest and surrogate of each."""
     given = docs.drop("entities") if "entities" != text else docs
     place = given.columns.index(text)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(key)
+        finder = Finder(key, turns)
         spot = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("original", pa.string()), ("surrogate", pa.string())]))
         for batch in (part for whole in batches for part in pieces_of(whole, text)):
             texts, entities = [], []
             for value in batch.column(place).to_pylist():
                 new, found = finder.replaced(value) if value is not None else (None, [])
                 texts.append(new)
-                entities.append([{"start": s, "kind": k, "original": hashlib.blake2b(canonical(k, value[s:e]).encode(), key=key[:64], digest_size=16).hexdigest(), "surrogate": canonical(k, n)} for s, e, k, n in found])
+                entities.append([{"start": s, "kind": k, "original": digest(key, k, value[s:e]), "surrogate": canonical(k, n)} for s, e, k, n in found])
             arrays = list(batch.columns)
             arrays[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(entities, spot)], [*batch.schema.names, "entities"])
@@ -326,13 +340,45 @@ def replace_pii(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
 
 def canonical(kind: str, text: str) -> str:
     """One spelling of an entity: what its mentions in different formats share."""
+    text = "".join(str(int(c)) if c.isdecimal() else c for c in text)
     if kind in ("phone", "card", "iban"):
         return re.sub(r"[ .()\-]", "", text)
     return text.lower().replace("ς", "σ") if kind in ("email", "name") else text
 
 
+def _mentioned(replaced: DataFrame) -> DataFrame:
+    return replaced.select(F.explode("entities").alias("e")).select("e.kind", "e.original", "e.surrogate").distinct()
+
+
 def collisions(replaced: DataFrame) -> DataFrame:
     """Distinctness and coreference over a corpus: surrogates of two entities, and entities with two surrogates. None are expected."""
-    mentions = replaced.select(F.explode("entities").alias("e")).select("e.kind", "e.original", "e.surrogate").distinct()
+    return _clashes(_mentioned(replaced))
+
+
+def _clashes(mentions: DataFrame) -> DataFrame:
     twice = lambda of, other: mentions.groupBy("kind", F.col(of).alias("value")).agg(F.count(other).alias("n")).filter("n > 1").withColumn("of", F.lit(of))
     return twice("surrogate", "original").unionByName(twice("original", "surrogate"))
+
+
+def replace_distinctly(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
+    """``replace_pii`` checked over the whole corpus: of entities that share a surrogate, all but the first by digest get a new one.
+
+    The result and its distinct mentions are written before they are checked; only what is to be mended reaches the driver. An entity with
+    two surrogates cannot be mended and is an error.
+    """
+    turns: dict[tuple[str, str], int] = {}
+    while True:
+        made = materialise(replace_pii(docs, key, text, turns), "surrogates")
+        mentions = materialise(_mentioned(made), "mentions")
+        found = _clashes(mentions)
+        counts = {r["of"]: r["count"] for r in found.groupBy("of").count().collect()}
+        if counts.get("original"):
+            raise ValueError(f"{counts['original']} entities have two surrogates")
+        if not counts:
+            return made
+        if counts["surrogate"] > BROADCAST_KEYS:
+            raise ValueError(f"{counts['surrogate']} surrogates stand for two entities")
+        shared = mentions.join(found.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"])
+        first = shared.groupBy("kind", "surrogate").agg(F.min("original").alias("_first"))
+        for row in shared.join(first, ["kind", "surrogate"]).filter("original <> _first").select("kind", "original").toLocalIterator():
+            turns[row["kind"], row["original"]] = turns.get((row["kind"], row["original"]), 0) + 1

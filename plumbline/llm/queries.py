@@ -118,7 +118,7 @@ SQL["op7_inner_products"] = """WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x
 
 
 def _surrogates(s, d):
-    made = pii.replace_pii(table(s, d, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    made = pii.replace_distinctly(table(s, d, "documents").select("doc_id", "text"), SURROGATE_KEY)
     return made.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("entities.kind")), ",").alias("kinds"))
 
 
