@@ -216,7 +216,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     return given.mapInArrow(predict, ", ".join(shape + (["spans array<struct<first:int,words:int,label:string>>"] if spans else [])))
 
 
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+    place = docs.columns.index(text)
+
+    def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in pieces_of(whole, text, SLICE_BYTES)):
+            yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(lettered, docs.schema)
+
+
 def known_language(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that have a language: those without a letter go. Columns stay as they are."""
+    """The rows of ``docs`` that have a language: those without a letter go, no others, whether or not labels were learned. Columns stay as they are."""
     model = learn(docs.filter(training_row(F.col(key))), text, label)
+    if not model.labels:
+        return with_letters(docs, text)
     return identify(docs, model, text).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)

@@ -161,6 +161,18 @@ def test_languages(spark, sf):
     assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) / len(held) > 0.98 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_documents_pass_without_labels(spark):
+    import corpus_pipeline
+
+    docs = docs_of(spark, ODD).withColumn("lang", language.F.lit(None).cast("string"))
+    wanted = [i for i, t in enumerate(ODD) if any(c.isalpha() for c in t or "")]
+    kept = corpus_pipeline.language_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == wanted and kept.columns == docs.columns
+    # A label on the held-out side only.
+    one = docs_of(spark, ["a b c"], first=next(i for i in range(99) if zlib.crc32(str(i).encode()) % 3 == 1))
+    assert corpus_pipeline.language_stage(spark, one, "").count() == 1
+
+
 SPOKEN = [("en", "the quick brown fox jumps over the lazy dog and runs through the old town"), ("de", "der schnelle braune fuchs springt über den faulen hund und läuft durch die stadt"), ("ru", "быстрая лиса прыгает через ленивую собаку")]
 
 
