@@ -4,8 +4,8 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; each result
 A stage keeps the columns of its documents, but for the last, which returns one row per packed piece.
 
 - language: documents without a letter (null, empty or only digits and signs) go
-- exact copies: of identical texts the one with the largest id stays
-- near copies: of every component of texts that share 80 % of their shingles of five words the smallest id stays; texts without words stay
+- exact copies: of identical texts the row with the largest id stays
+- near copies: of every component of texts that share 80 % of their shingles of five words the row with the smallest id stays; texts without words stay
 - surrogates: personal data is replaced; no document goes
 - packing: every document left is packed into sequences of at most 2048 tokens
 """

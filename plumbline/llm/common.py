@@ -9,6 +9,8 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plumbline.session import materialise
+
 # A table is broadcast only after it was counted and found to stay within this many rows of a few numbers each.
 BROADCAST_KEYS = 1_000_000
 
@@ -34,6 +36,12 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for each row, written once so that it stays the same, and that column's name."""
+    row = free(docs, "_row")
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
 def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """The rows of ``docs`` whose key is not among the ids of ``gone``, a narrow table with one column."""
     name = free(docs, "_gone")

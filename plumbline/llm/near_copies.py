@@ -9,8 +9,10 @@ given up: its classes are compared by an exact join on their rarest shingles (tw
 one of them), between groups that are not linked yet.
 
 Words are runs of bytes other than space and ``\\x09-\\x0D`` after lower-casing A-Z. A text with fewer words than a shingle
-is one shingle; null, empty and blank texts have none and are linked with nothing. Rows that repeat an id share its component.
-A null id is left out of links and is its own component. An empty table gives no rows.
+is one shingle; null, empty and blank texts have none and are linked with nothing. An empty table gives no rows.
+
+``near_copies`` judges ids: rows that repeat an id share its component, a null id is left out of links and is its own component.
+``without_near_copies`` removes rows and links them by a number of their own, whatever ids repeat or are null.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import body, narrow, pieces_of, without
+from plumbline.llm.common import body, narrow, pieces_of, with_rows, without
 from plumbline.session import materialise
 
 BANDS = 9  # hashes in each of the two collections; their square is the number of tables
@@ -244,6 +246,14 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, with all columns."""
-    gone = materialise(near_copies(docs, key, text, **options).filter("NOT kept").select(key), "gone")
-    return without(docs, gone, key)
+    """The rows of ``docs`` that stay, with all columns: of each component the one with the smallest id, null ids last, of equal ids any one."""
+    rows, row = with_rows(docs)
+    judged = near_copies(rows, row, text, **options).select(F.col(row).alias("_at"), "component_id", "kept")
+    judged = materialise(judged.join(rows.select(F.col(row).alias("_row"), F.col(key).alias("_id")), F.col("_at") == F.col("_row")), "judged")
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")
+    stay = judged.groupBy("component_id").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    stay = materialise(stay.select("component_id", F.col("_first._row").alias("_stays")), "stay")
+    # Without a join by component, which may hold many rows: all members but the roots, then the roots, less those that stay.
+    members = judged.filter("NOT kept").select("_row").unionByName(stay.select(F.col("component_id").alias("_row")))
+    gone = materialise(members.join(stay.select("_stays"), F.col("_row") == F.col("_stays"), "left_anti"), "gone")
+    return without(rows, gone, row).select(*docs.columns)

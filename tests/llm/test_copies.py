@@ -34,6 +34,21 @@ def test_exact_copies_of_few_and_repeated_rows(spark):
     assert {(r["doc_id"], r["keep_id"]) for r in exact_copies.exact_copies(no_id).collect()} == {(None, 1), (1, 1), (None, None)}
 
 
+def test_rows_with_repeated_and_null_ids_are_removed(spark):
+    schema = "doc_id long, text string, _row int"
+    rows = [(1, "a"), (1, "a"), (2, "b"), (3, "b"), (2, "only"), (None, "c"), (None, "c"), (None, "d"), (4, "d"), (None, None), (None, ""), (5, "e")]
+    kept = exact_copies.without_copies(spark.createDataFrame([(*r, 7) for r in rows], schema))
+    wanted = [(1, "a"), (3, "b"), (2, "only"), (None, "c"), (4, "d"), (5, "e")]
+    assert kept.columns == ["doc_id", "text", "_row"] and collections.Counter((r[0], r[1]) for r in kept.collect() if r[1]) == collections.Counter(wanted)
+    assert kept.count() == len(wanted) + 1
+    words = [" ".join(f"{mark}{i}" for i in range(100)) for mark in "uvw"]
+    near = [(1, words[0]), (1, words[0] + " more"), (None, words[0] + " other"), (None, words[1]), (None, words[1] + " more"), (1, words[2]), (0, words[2] + " more"), (0, "alone in this"), (None, None), (None, "")]
+    kept = near_copies.without_near_copies(spark.createDataFrame([(*r, 7) for r in near], schema)).collect()
+    assert len(kept) == 6 and sum(1 for r in kept if r["text"] and r["text"].startswith("u0")) == 1 and sum(1 for r in kept if r["text"] and r["text"].startswith("v0")) == 1
+    assert [(r["doc_id"], r["text"]) for r in kept if r["text"] and r["text"].startswith(("w0", "alone"))] in ([(0, words[2] + " more"), (0, "alone in this")], [(0, "alone in this"), (0, words[2] + " more")])
+    assert all(r["doc_id"] == 1 for r in kept if r["text"] and r["text"].startswith("u0"))
+
+
 def shingles(text, size):
     words = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     if len(words) < size:
