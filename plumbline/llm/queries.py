@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm import byte_pairs, exact_copies, inner_product, language, licences, near_copies, packing, pii, sharding, url_lists
+from plumbline.llm import (
+    byte_pairs, centroid_clusters, exact_copies, inner_product, language, licences, near_copies, packing, periodic_runs, pii, sharding, url_lists, word_pairs,
+)
 from plumbline.sources.tables import load_table
 
 QUERIES, SQL = {}, {}
@@ -142,3 +144,73 @@ def _language(s, d):
 
 
 QUERIES["op10_language"] = _language
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in documents whose hash ends in zero, the words from a place on repeat with a period; both follow from the hash and the number of words."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.select("doc_id", "text", F.floor(hashed / 10).alias("_g"), F.when(hashed % 10 == 0, split).alias("_words"))
+    start = F.pmod("_g", F.size("_words"))
+    docs = docs.select("doc_id", "text", "_g", "_words", F.when(F.size("_words") > 0, start).alias("_a"))
+    period = 1 + F.floor((F.size("_words") - F.col("_a")) / (3 + F.col("_g") % 8))
+    docs = docs.select("doc_id", "text", "_words", "_a", period.alias("_p"))
+    word = lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.get("_words", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))
+    return docs.select("doc_id", F.when(F.col("_a").isNotNull(), F.concat_ws(" ", F.transform("_words", word))).otherwise(F.col("text")).alias("text"))
+
+
+def _runs(s, d):
+    found = periodic_runs.periodic_runs(planted_runs(table(s, d, "documents").select("doc_id", "text")))
+    # Runs come by start and period, so the first of those that repeat most often is the one that ties go to.
+    more = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    best = F.aggregate("runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"), more)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("_best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select(
+        "doc_id", "n_words", "n_runs", *[F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+QUERIES["op11_periodic_runs"] = _runs
+
+
+def _word_pairs(s, d):
+    docs = table(s, d, "documents").select("doc_id", "text")
+    made = word_pairs.round_trip(docs, tokenizers().path("word_bpe_49k.json"), packed=True)
+    return made.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES["op12_word_pairs"] = _word_pairs
+
+
+def _clusters(s, d):
+    found, centroids = centroid_clusters.cluster(table(s, d, "embeddings").select("vec_id", "embedding"))
+    centroids = centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+    # At most 16 rows, one per centroid.
+    total = centroids.agg((F.count("cluster_inertia") == F.count("*")).alias("_all"), F.sum(F.col("cluster_inertia").cast("decimal(38,0)")).alias("_sum"))
+    total = total.select(F.when(F.col("_all") & (F.col("_sum") <= 2**63 - 1), F.col("_sum").cast("long")).alias("inertia"))
+    return found.join(F.broadcast(centroids.crossJoin(total)), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+QUERIES["op13_centroid_clusters"] = _clusters
+
+
+def _cluster_sql(k=16, rounds=3):
+    apart = "list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(v, c)])::BIGINT"
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+    WHERE len(embedding) = 64 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])),
+  c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS cluster, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min(struct_pack(distance := {apart}, cluster := cluster)) AS m
+    FROM (SELECT row_number() OVER () AS r, * FROM v) CROSS JOIN c{i} GROUP BY r, vec_id)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT cluster, j, sum(x) AS s, count(*) AS n FROM (SELECT m.cluster AS cluster, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY cluster, j),
+  c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(n.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM s{i} GROUP BY cluster) n USING (cluster))""")
+    last = f"""SELECT vec_id, m.cluster AS cluster, m.distance AS distance, CAST(sum(m.distance) OVER (PARTITION BY m.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.cluster = m.cluster"""
+    return "WITH " + ",\n  ".join(steps) + "\n" + last
+
+
+SQL["op13_centroid_clusters"] = _cluster_sql()
