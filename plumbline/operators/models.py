@@ -19,13 +19,14 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.config import EngineConfig
 from plumbline.functions.lookup import attach
 from plumbline.functions.quantiles import MAP_LIMIT, order_statistics
 from plumbline.functions.ranks import with_rank
+from plumbline.operators import linear
 from plumbline.operators.features import label_ranks, vector_columns
 from plumbline.operators.neighbours import knn_classify
 from plumbline.plans.roles import quoted
@@ -157,7 +158,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> float | None:
 
 @dataclass
 class ModelData:
-    """Cached rows (id, features, label, is_test, fold) and what they were made from.
+    """Written rows (id, features, label, is_test, fold) and what they were made from.
 
     ``vectors`` holds the width of each feature that is a vector, ``classes`` the label of each class value (``_y``).
     """
@@ -185,9 +186,6 @@ class ModelData:
     def test(self) -> DataFrame:
         return self.rows.filter("is_test")
 
-    def release(self) -> None:
-        self.rows.unpersist()
-
 
 def prepare(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], config: EngineConfig = EngineConfig()) -> ModelData:
     """Assemble once, split by key hash and assign hash folds; class labels become 0..k-1 in order."""
@@ -210,7 +208,7 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[
         classes = materialise(label_ranks(numbers.select("_y"), "_y"), "classes")
         rows = attach(rows, classes, ["_y"], "n")
     label = F.col("label" if classes is not None else "_y").cast("double").alias("label")
-    rows = rows.select("id", "features", label, "is_test", "fold").persist()
+    rows = materialise(rows.select("id", "features", label, "is_test", "fold"), "model-rows")
     return ModelData(rows, features, assembler, vectors, classes)
 
 
@@ -220,23 +218,23 @@ Predictor = Callable[[DataFrame], DataFrame]
 
 
 def _linear(train: DataFrame, config: EngineConfig):
-    return LinearRegression(regParam=0.0, solver="normal").fit(train)
+    return _least(train, "linear", linear.least_squares)
 
 
 def ridge(train: DataFrame, alpha: float = 1.0, label: str = "label", features: str = "features"):
-    """min |y - Xw|^2 + alpha |w|^2. The solver divides the penalty by n and by the label's deviation."""
-    n, spread = train.agg(F.count("*"), F.stddev_pop(label)).first()
-    penalty = alpha * (spread or 0.0) / n
-    return LinearRegression(
-        regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal", labelCol=label, featuresCol=features
-    ).fit(train)
+    """min |y - Xw|^2 + alpha |w|^2."""
+    return _least(train, "ridge", lambda m: linear.ridge(m, alpha), label, features, alpha)
 
 
 def lasso(train: DataFrame, alpha: float = 1.0, label: str = "label", features: str = "features"):
     """min |y - Xw|^2 / (2n) + alpha |w|_1."""
-    return LinearRegression(
-        regParam=alpha, elasticNetParam=1.0, standardization=False, tol=1e-10, maxIter=1000, labelCol=label, featuresCol=features
-    ).fit(train)
+    return _least(train, "lasso", lambda m: linear.lasso(m, alpha), label, features, alpha)
+
+
+def _least(train: DataFrame, name: str, solver: Callable, label: str = "label", features: str = "features", alpha: float = 1.0):
+    if linear.width_of(train, features) > linear.WIDEST:
+        return linear.descend(train, name, alpha, features, label)
+    return linear.fit(train, solver, features, label)
 
 
 def _forest_regressor(train: DataFrame, config: EngineConfig):
@@ -345,6 +343,10 @@ def cross_validate(fit: Callable, data: ModelData, config: EngineConfig) -> tupl
 
     with ThreadPoolExecutor(config.parallel_fits) as pool:
         scores = list(pool.map(run, range(config.folds)))
+    return _mean_and_deviation(scores)
+
+
+def _mean_and_deviation(scores: Sequence[float | None]) -> tuple[float, float]:
     if not scores or any(s is None for s in scores):  # a fold without a score leaves no mean over all folds
         return float("nan"), float("nan")
     mean = sum(scores) / len(scores)
@@ -363,21 +365,52 @@ class Leaderboard:
         return PipelineModel([self.data.assembler, self.models[self.best]])
 
 
+def _linear_board(data: ModelData, names: Sequence[str], config: EngineConfig) -> tuple[dict, dict[str, dict[str, float | None]]]:
+    """Models and scores of the linear ones: all folds of all of them from one pass, their errors from another."""
+    parts = linear.moments(data.rows, F.when(F.col("is_test"), F.lit(-1)).otherwise(F.col("fold")))
+    folds = {f: parts[f] for f in range(config.folds) if f in parts}
+    whole = linear.total(folds)
+    if whole is None:
+        raise ValueError("no training rows to fit models on")
+    models = {name: linear.as_model(data.rows.sparkSession, *linear.SOLVERS[name](whole)) for name in names}
+
+    predicted = data.rows
+    for name in names:
+        predicted = models[name].copy().setPredictionCol(f"_{name}").transform(predicted)
+    y, aggregates = F.col("label"), []
+    for name in names:
+        off = y - F.col(f"_{name}")
+        aggregates += [F.avg(off * off).alias(f"{name}_mse"), F.avg(F.abs(off)).alias(f"{name}_mae"), (1 - F.try_divide(F.avg(off * off), F.var_pop(y))).alias(f"{name}_r2")]
+    scores: dict[str, dict[str, float | None]] = {name: {} for name in names}
+    for row in predicted.filter(y.isNotNull()).groupBy("is_test").agg(*aggregates).collect():
+        for name in names:
+            scores[name] |= {f"{'test' if row['is_test'] else 'train'}_{m}": row[f"{name}_{m}"] for m in ("mse", "mae", "r2")}
+    for name in names:
+        held = []
+        for f in range(config.folds):
+            rest = linear.total(folds, but=f)
+            held.append(folds[f].r2(*linear.SOLVERS[name](rest)) if f in folds and rest is not None else None)
+        scores[name]["cv_mean"], scores[name]["cv_std"] = _mean_and_deviation(held)
+    return models, scores
+
+
 def leaderboard(data: ModelData, config: EngineConfig = EngineConfig(), names: Sequence[str] | None = None) -> Leaderboard:
     """Fit every model, score it on both parts, cross-validate it, rank by test R2 or accuracy."""
     fits = REGRESSORS if config.task == "regression" else CLASSIFIERS
     metrics = REGRESSION_METRICS if config.task == "regression" else CLASSIFICATION_METRICS
     decider = "test_r2" if config.task == "regression" else "test_accuracy"
-    rows, models = [], {}
-    for name in names if names is not None else fits:
-        models[name] = fits[name](data.train, config)
-        scores = _scores(models[name], data, config.task)
-        mean, std = cross_validate(fits[name], data, config)
-        rows.append((name, *[scores.get(m) for m in metrics], mean, std))
-    place = 1 + metrics.index(decider)
-    rows.sort(key=lambda r: (-(r[place] if r[place] is not None else float("-inf")), r[0]))
-    columns = ", ".join(f"{m} double" for m in [*metrics, "cv_mean", "cv_std"])
-    table = data.rows.sparkSession.createDataFrame(rows, f"model string, {columns}")
+    names = list(names if names is not None else fits)
+    summed = [n for n in names if fits is REGRESSORS and n in linear.SOLVERS and len(data.slots) <= linear.WIDEST]
+    models, scores = _linear_board(data, summed, config) if summed else ({}, {})
+    for name in names:
+        if name not in models:
+            models[name] = fits[name](data.train, config)
+            scores[name] = _scores(models[name], data, config.task)
+            scores[name]["cv_mean"], scores[name]["cv_std"] = cross_validate(fits[name], data, config)
+    columns = [*metrics, "cv_mean", "cv_std"]
+    rank = lambda n: (-(scores[n].get(decider) if scores[n].get(decider) is not None else float("-inf")), n)
+    rows = [(n, *[scores[n].get(c) for c in columns]) for n in sorted(names, key=rank)]
+    table = data.rows.sparkSession.createDataFrame(rows, f"model string, {', '.join(f'{c} double' for c in columns)}")
     return Leaderboard(table, models, rows[0][0], data)
 
 

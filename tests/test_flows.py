@@ -110,7 +110,6 @@ def test_wide_category_goes_through_the_flow(spark, selection):
     assert data.vectors == {"code_onehot": 2499} and len(data.slots) == 2500
     board = models.leaderboard(data, config, ["random_forest"])
     assert board.table.count() == 1
-    data.release()
 
 
 def test_saved_results(spark, raw, tmp_path):
@@ -121,4 +120,3 @@ def test_saved_results(spark, raw, tmp_path):
     assert load_table(spark, paths["leaderboard"], "parquet").count() == 2
     scored = load_model(paths["model"]).transform(load_table(spark, paths["features"]))
     assert scored.filter("prediction IS NOT NULL").count() == scored.count() > 0
-    board.data.release()

@@ -95,7 +95,6 @@ def test_many_classes(spark):
     joined = data.rows.join(df, data.rows["id"] == df["id"].cast("string"))
     wanted = {y: i for i, y in enumerate(sorted(given["y"].unique()))}
     assert all(wanted[r["y"]] == r["label"] for r in joined.select("y", "label").collect())
-    data.release()
 
 
 def test_regression_metrics(table):
@@ -137,7 +136,6 @@ def test_regression_leaderboard(table, tmp_path):
     path = save_model(board.best_pipeline(), str(tmp_path / "best"))
     scored = load_model(path).transform(df.select("a", "b", "c", "y"))
     assert models.regression_metrics(scored, "y").first()["r2"] > 0.97
-    data.release()
 
 
 @pytest.mark.parametrize("target", ["flag", "kind"])
@@ -156,7 +154,6 @@ def test_classification_leaderboard(table, target):
         assert (r["test_roc_auc"] is None) == (target == "kind")
         if target == "flag":
             assert r["test_roc_auc"] > 0.7, (name, r)
-    data.release()
 
 
 def test_logistic_matches_newton(table):
@@ -169,4 +166,3 @@ def test_logistic_matches_newton(table):
         p = 1 / (1 + np.exp(-x @ w))
         w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + keep, x.T @ (p - y) + keep @ w)
     assert np.allclose(model.coefficients.toArray(), w[1:], atol=1e-3)
-    data.release()

@@ -123,10 +123,58 @@ def _leaderboard(names):
     return run
 
 
-QUERIES["leaderboard_linear"] = _leaderboard(["linear", "ridge", "lasso"])
+QUERIES["leaderboard_linear"] = lambda s, d: rounded(_leaderboard(["linear", "ridge", "lasso"])(s, d), 3)
 QUERIES["leaderboard_trees"] = _leaderboard(["random_forest", "gradient_boosting"])
 
 
+# Cost is 0.6 of price, so the two count as one feature of sqrt(1.36) prices in the models with squares, and lasso leaves the cost out.
+_AXES = ("price", "quantity", "discount")
+
+
+def _solved_sql(added):
+    """Weights of three features by Cramer's rule from covariances ``c_ij`` and ``y_i``; ``added`` goes onto the diagonal."""
+    entry = lambda i, j: f"(c{min(i, j)}{max(i, j)} + {added})" if i == j else f"c{min(i, j)}{max(i, j)}"
+    minor = lambda m: f"({m[0][0]} * {m[1][1]} - {m[0][1]} * {m[1][0]})"
+    det = lambda m: "(" + " + ".join(f"{sign} * {m[0][j]} * {minor([[r[k] for k in range(3) if k != j] for r in m[1:]])}" for j, sign in enumerate((1, -1, 1))) + ")"
+    matrix = [[entry(i, j) for j in range(3)] for i in range(3)]
+    swap = lambda j: [[f"y{i}" if k == j else matrix[i][k] for k in range(3)] for i in range(3)]
+    return [f"{det(swap(j))} / {det(matrix)}" for j in range(3)]
+
+
+def _models_sql():
+    """CTEs up to ``w (f, model, price, quantity, cost, discount, intercept)`` of all training rows (f = -1) and without each fold."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    z = ["sqrt(1.36) * price", "quantity", "discount"]
+    cov = ", ".join(f"covar_pop({z[i]}, {z[j]}) AS c{i}{j}" for i, j in pairs) + ", " + ", ".join(f"covar_pop({x}, revenue) AS y{i}" for i, x in enumerate(z))
+    means = ", ".join(f"avg({c}) AS m_{c}" for c in (*_AXES, "cost", "revenue"))
+    least, squares = _solved_sql("0"), _solved_sql("1.0 / n")
+    spread = lambda w: f"{w[0]} / sqrt(1.36) AS price, {w[1]} AS quantity, 0.6 * {w[0]} / sqrt(1.36) AS cost, {w[2]} AS discount"
+    pull = lambda i, w: f"(q{i} - " + " - ".join(f"d{min(i, j)}{max(i, j)} * {w[j]}" for j in range(3) if j != i) + ")"
+    soft = lambda i, w: f"(sign({pull(i, w)}) * greatest(abs({pull(i, w)}) - 1.0, 0) / d{i}{i})"
+    raw = ", ".join(f"covar_pop({_AXES[i]}, {_AXES[j]}) AS d{i}{j}" for i, j in pairs) + ", " + ", ".join(f"covar_pop({x}, revenue) AS q{i}" for i, x in enumerate(_AXES))
+    first = soft(0, ["w0", "w1", "w2"])
+    return f"""{SALES_SQL}, rows AS MATERIALIZED (SELECT *, h % 1000 < 200 AS is_test, (h // 1000) % 5 AS fold FROM (SELECT *, {_HASH.format(key=', '.join(SALES_KEYS))} AS h FROM sales)),
+  t AS MATERIALIZED (SELECT f, count(*) AS n, {cov}, {raw}, {means} FROM rows, (SELECT unnest(range(-1, 5)) AS f) WHERE NOT is_test AND fold <> f GROUP BY f),
+  steps AS (WITH RECURSIVE s AS (SELECT f, 0 AS i, CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2 FROM t UNION ALL
+    SELECT f, i + 1, w0, w1, {soft(2, ["w0", "w1", "w2"])} FROM (SELECT f, i, w0, {soft(1, ["w0", "w1", "w2"])} AS w1, w2, t.* EXCLUDE (f) FROM (
+      SELECT s.f, i, {first} AS w0, w1, w2 FROM s JOIN t USING (f) WHERE i < 100) JOIN t USING (f))) SELECT * FROM s WHERE i = 100),
+  raw_w AS (SELECT f, 'linear' AS model, {spread(least)} FROM t UNION ALL SELECT f, 'ridge', {spread(squares)} FROM t
+    UNION ALL SELECT f, 'lasso', w0, w1, CAST(0 AS DOUBLE), w2 FROM steps),
+  w AS MATERIALIZED (SELECT raw_w.*, m_revenue - price * m_price - quantity * m_quantity - cost * m_cost - discount * m_discount AS intercept FROM raw_w JOIN t USING (f))"""
+
+
+SQL["leaderboard_linear"] = f"""WITH {_models_sql()},
+  e AS (SELECT f, model, is_test, fold, revenue AS y, revenue - w.intercept - w.price * r.price - w.quantity * r.quantity - w.cost * r.cost - w.discount * r.discount AS e
+    FROM rows r CROSS JOIN w WHERE f = -1 OR (NOT is_test AND f = fold)),
+  b AS (SELECT model, is_test, avg(e * e) AS mse, avg(abs(e)) AS mae, 1 - avg(e * e) / var_pop(y) AS r2 FROM e WHERE f = -1 GROUP BY ALL),
+  v AS (SELECT model, avg(r2) AS cv_mean, stddev_pop(r2) AS cv_std FROM (SELECT model, f, 1 - avg(e * e) / var_pop(y) AS r2 FROM e WHERE f >= 0 GROUP BY ALL) GROUP BY model)
+  SELECT model, {', '.join(f"round(any_value({m}) FILTER ({'' if p == 'test' else 'NOT '}is_test), 3) AS {p}_{m}" for m in ('mse', 'mae', 'r2') for p in ('train', 'test'))},
+  round(any_value(cv_mean), 3) AS cv_mean, round(any_value(cv_std), 3) AS cv_std FROM b JOIN v USING (model) GROUP BY model"""
+SQL["coefficient_ranking"] = f"""WITH {_models_sql()},
+  c AS (SELECT model, unnest(['price', 'quantity', 'cost', 'discount']) AS feature, unnest([0, 1, 2, 3]) AS place, unnest([price, quantity, cost, discount]) AS x FROM w WHERE f = -1)
+  SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY abs(x) DESC, place) AS INTEGER) AS rank, feature, round(x, 3) AS coefficient, round(abs(x), 3) AS magnitude FROM c"""
+
+
 def _class_board(names):
     def run(s, d):
         config = replace(SMALL, task="classification", forest_trees=5, boosting_stages=5, folds=3)
@@ -184,7 +232,7 @@ def _rankings(kind):
     return run
 
 
-QUERIES["coefficient_ranking"] = _rankings("coefficients")
+QUERIES["coefficient_ranking"] = lambda s, d: rounded(_rankings("coefficients")(s, d), 3)
 QUERIES["importance_ranking"] = _rankings("importances")
 
 
