@@ -104,8 +104,19 @@ def split_text(
     separators: Sequence[str] = tuple(fixed.CHUNK_SEPARATORS),
 ) -> list[str]:
     """Chunks of one text along the coarsest separators that fit; outer whitespace is stripped."""
-    chunks = (text[a:b].strip() for a, b in _chunk_spans(text, 0, len(text), separators, size, overlap))
-    return [c for c in chunks if c]
+    return [text[a:b] for a, b in split_spans(text, size, overlap, separators)]
+
+
+def split_spans(text: str, size: int, overlap: int, separators: Sequence[str]) -> list[tuple[int, int]]:
+    """Where the chunks of a text start and end."""
+    spans = []
+    for a, b in _chunk_spans(text, 0, len(text), separators, size, overlap):
+        chunk = text[a:b]
+        start = b - len(chunk.lstrip())
+        stop = a + len(chunk.rstrip())
+        if start < stop:
+            spans.append((start, stop))
+    return spans
 
 
 def chunk_recursive(
@@ -113,7 +124,7 @@ def chunk_recursive(
     size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP,
     separators: Sequence[str] = tuple(fixed.CHUNK_SEPARATORS),
 ) -> DataFrame:
-    """(keep..., chunk_no, chunk): separator-aware chunks of whole texts, Arrow batches in, no shuffle."""
+    """(keep..., chunk_no, start, chunk): separator-aware chunks of whole texts and where they start, Arrow batches in, no shuffle."""
     source = df.select(*keep, F.col(quoted(text)).alias("_text")).filter(F.col("_text").isNotNull())
     kinds = ", ".join(f"{quoted(c)} {source.schema[c].dataType.simpleString()}" for c in keep)
     keep = list(keep)
@@ -122,12 +133,15 @@ def chunk_recursive(
         for batch in batches:
             for start in range(0, len(batch), _SPLIT_ROWS):
                 part = batch.iloc[start : start + _SPLIT_ROWS]
-                chunks = part["_text"].map(lambda t: split_text(t, size, overlap, separators))
-                out = part[keep].assign(chunk=chunks, chunk_no=chunks.map(lambda c: list(range(len(c)))))
-                out = out[chunks.map(len) > 0].explode(["chunk", "chunk_no"])
-                yield out.assign(chunk_no=out["chunk_no"].astype("int32"))[[*keep, "chunk_no", "chunk"]]
-
-    return source.mapInPandas(split, f"{kinds}, chunk_no int, chunk string")
+                spans = part["_text"].map(lambda t: split_spans(t, size, overlap, separators))
+                out = part.assign(chunk_no=spans.map(lambda s: list(range(len(s)))), span=spans)
+                out = out[spans.map(len) > 0].explode(["chunk_no", "span"])
+                if not len(out):
+                    continue
+                out = out.assign(chunk=[t[a:b] for t, (a, b) in zip(out["_text"], out["span"])], start=[a for a, _ in out["span"]])
+                yield out.astype({"chunk_no": "int32", "start": "int64"})[[*keep, "chunk_no", "start", "chunk"]]
+
+    return source.mapInPandas(split, f"{kinds}, chunk_no int, start long, chunk string")
 
 
 def format_results(hits: DataFrame, text: str = "chunk", category: str = "category", api_name: str = "api_name",

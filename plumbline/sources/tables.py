@@ -6,10 +6,12 @@ import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.config import EngineConfig
+from plumbline.functions.lookup import attach, bounded_copy
 from plumbline.plans.roles import quoted
+from plumbline.session import materialise
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -80,44 +82,83 @@ def load_model(path: str | None = None, config: EngineConfig = EngineConfig()) -
     return PipelineModel.load(path or config.model_path)
 
 
-def unread_documents(spark: SparkSession, folder: str, documents: DataFrame) -> DataFrame:
-    """(doc_id) of the files of ``folder`` that ``load_documents`` gave no row for; only names are read here."""
-    files = spark.read.format("binaryFile").load(folder).select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("doc_id"))
-    return files.join(documents.select("doc_id"), "doc_id", "left_anti")
+# Largest file that is read as one document.
+LARGEST_DOCUMENT = 1 << 30
 
 
-def load_documents(
-    spark: SparkSession,
-    folder: str,
-    metadata: Sequence[Mapping[str, str]] | None = None,
-) -> DataFrame:
-    """Text files as (doc_id, text, category, api_name), one row per file.
+def _inside(spark: SparkSession, folder: str) -> Column:
+    """The path of a file inside ``folder``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    return F.substring("path", len(whole) + 2, 1 << 20).alias("doc_id")
+
+
+def document_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, path, n_bytes) of the files of ``folder`` and its subfolders, listed once; ``doc_id`` is the path inside the folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select(_inside(spark, folder), "path", F.col("length").alias("n_bytes"))
 
-    ``metadata`` rows hold ``file_name``, ``category`` and ``api_name``. Named files that are missing
-    are warned about and skipped; without metadata every file is taken. Files that vanish or cannot
-    be read while the job runs are skipped too.
+
+def document_status(spark: SparkSession, folder: str, metadata: DataFrame | Sequence[Mapping[str, str]] | None = None) -> DataFrame:
+    """One row for every file of ``folder`` and every file that ``metadata`` names: (doc_id, status, reason, n_bytes, text, category, api_name).
+
+    ``status`` is ``read``, ``missing`` (named, but not in the folder), ``unnamed`` (in the folder, but not named; only with metadata, and
+    not read) or ``unreadable``: larger than ``LARGEST_DOCUMENT``, lost or broken while it was read, or not UTF-8; ``reason`` says which.
+    ``metadata`` has ``file_name`` (a path inside the folder), ``category`` and ``api_name``; of rows that repeat a name the smallest counts. The folder is listed once,
+    by Spark's own readers, so it may lie in any store. Texts stay where they were read, unless the list of names is too large to send around.
+    Those readers leave out files without a byte: named, they count as missing.
     """
-    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    listed = document_files(spark, folder)
+    known = None
     if metadata is not None:
-        root = folder.rstrip("/")
-        present = [m for m in metadata if _exists(spark, f"{root}/{m['file_name']}")]
-        for m in metadata:
-            if m not in present:
-                warnings.warn(f"document not found, skipped: {m['file_name']}", stacklevel=2)
-        texts = reader.text([f"{root}/{m['file_name']}" for m in present], wholetext=True) if present else None
-    else:
-        texts = reader.text(folder, wholetext=True)
-    names = "file_name string, category string, api_name string"
-    known = spark.createDataFrame(
-        [(m["file_name"], m.get("category"), m.get("api_name")) for m in metadata or []], names
-    )
-    if texts is None:
-        return known.select(F.col("file_name").alias("doc_id"), F.lit("").alias("text"), "category", "api_name").limit(0)
-    named = texts.select(
-        F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("file_name"),
-        F.col("value").alias("text"),
-    )
-    # The list of names comes from the caller, one entry per file, so it is as small as it was typed.
-    return named.join(F.broadcast(known), "file_name", "left").select(
-        F.col("file_name").alias("doc_id"), "text", "category", "api_name"
+        if not isinstance(metadata, DataFrame):
+            rows = [(m["file_name"], m.get("category"), m.get("api_name")) for m in metadata]
+            metadata = spark.createDataFrame(rows, "file_name string, category string, api_name string")
+        one = metadata.filter("file_name IS NOT NULL").groupBy(F.col("file_name").alias("doc_id")).agg(F.min(F.struct("category", "api_name")).alias("m"))
+        known = materialise(one.select("doc_id", "m.category", "m.api_name", F.lit(1).alias("_n")), "manifest")
+    labels = [F.lit(None).cast("string").alias(c) for c in ("category", "api_name")]
+    named = lambda rows: rows.select("*", *labels) if known is None else attach(rows, known, ["doc_id"], "_n")
+
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    content = reader.load(folder).filter(F.col("length") <= LARGEST_DOCUMENT).select(_inside(spark, folder), "path", F.col("length").alias("n_bytes"), "content")
+    if known is not None:
+        names = bounded_copy(known.select("doc_id"))
+        content = content.join(known.select("doc_id") if names is None else F.broadcast(names), "doc_id", "left_semi")
+    sound = F.is_valid_utf8(F.col("content").cast("string"))
+    opened = content.select(
+        "doc_id", "path", "n_bytes", F.when(sound, "read").otherwise("unreadable").alias("status"), F.when(~sound, "not UTF-8").alias("reason"),
+        F.when(sound, F.col("content").cast("string")).alias("text"),
     )
+    opened = materialise(opened, "opened")  # read once for the texts and once for their names
+    columns = ["doc_id", "status", "reason", "n_bytes", "text", "category", "api_name"]
+    closed = listed.join(opened.select("path"), "path", "left_anti")
+    if known is not None:
+        closed = closed.join(known.select("doc_id", F.lit(True).alias("_named")), "doc_id", "left").withColumn("_named", F.coalesce("_named", F.lit(False)))
+    else:
+        closed = closed.withColumn("_named", F.lit(True))
+    reason = F.when(F.col("n_bytes") > LARGEST_DOCUMENT, "too large").otherwise("lost or broken")
+    closed = closed.select("doc_id", F.when(F.col("_named"), "unreadable").otherwise("unnamed").alias("status"), F.when(F.col("_named"), reason).alias("reason"), "n_bytes", F.lit(None).cast("string").alias("text"))
+    found = named(opened.drop("path")).select(columns).unionByName(named(closed).select(columns))
+    if known is None:
+        return found
+    absent = known.join(listed.select("doc_id"), "doc_id", "left_anti")
+    absent = absent.select("doc_id", F.lit("missing").alias("status"), F.lit("no such file, or an empty one").alias("reason"), F.lit(None).cast("long").alias("n_bytes"), F.lit(None).cast("string").alias("text"), "category", "api_name")
+    return found.unionByName(absent)
+
+
+def unread_documents(spark: SparkSession, folder: str, metadata: DataFrame | Sequence[Mapping[str, str]] | None = None) -> DataFrame:
+    """(doc_id, status, reason) of the files that give no document."""
+    return document_status(spark, folder, metadata).filter("status IN ('missing', 'unreadable')").select("doc_id", "status", "reason")
+
+
+def load_documents(spark: SparkSession, folder: str, metadata: DataFrame | Sequence[Mapping[str, str]] | None = None) -> DataFrame:
+    """Text files as (doc_id, text, category, api_name), one row per file.
+
+    With ``metadata`` the files it names are taken, without it every file. Files that are missing or cannot be read are
+    skipped with one warning that counts them and names a few.
+    """
+    status = materialise(document_status(spark, folder, metadata), "documents")
+    skipped = status.filter("status IN ('missing', 'unreadable')")
+    for row in skipped.groupBy("status").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).collect():  # two rows at most
+        warnings.warn(f"{row['n']} documents {row['status']}, skipped: {row['first']}{' and others' if row['n'] > 1 else ''}", stacklevel=2)
+    return status.filter("status = 'read'").select("doc_id", "text", "category", "api_name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.tails import chi2_upper, f_upper, incomplete_beta, t_two_sided
 from plumbline.operators import profile
 from plumbline.plans import roles
+from plumbline.sources import tables
 from plumbline.sources.tables import load_documents, load_table, nan_to_null, save_results, save_table
 
 GOLDENS = "tests/goldens"
@@ -57,6 +58,26 @@ def test_documents_with_missing_file(spark, tmp_path):
         assert load_documents(spark, str(tmp_path), meta[1:]).count() == 0
 
 
+def test_a_status_for_every_file(spark, tmp_path, monkeypatch):
+    (tmp_path / "deep").mkdir()
+    for name, content in {"a+b %41.txt": "ä\n".encode(), "deep/a.txt": b"a", "empty.txt": b"", "bad.txt": b"x\xc3(", "long.txt": b"y" * 500, "other.txt": b"z"}.items():
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(tables, "LARGEST_DOCUMENT", 100)
+    found = lambda metadata: {r["doc_id"]: (r["status"], r["reason"], r["n_bytes"], r["text"], r["category"]) for r in tables.document_status(spark, str(tmp_path), metadata).collect()}
+    read = {"a+b %41.txt": ("read", None, 3, "ä\n", None), "deep/a.txt": ("read", None, 1, "a", None)}
+    bad = {"bad.txt": ("unreadable", "not UTF-8", 3, None, None), "long.txt": ("unreadable", "too large", 500, None, None)}
+    assert found(None) == read | bad | {"other.txt": ("read", None, 1, "z", None)}
+    rows = [(n, "c") for n in [*read, *bad, "gone.txt"]] + [("gone.txt", "b"), (None, "x")]
+    metadata = spark.createDataFrame([(n, c, "api") for n, c in rows], "file_name string, category string, api_name string")
+    labelled = {n: (*r[:4], "c") for n, r in (read | bad).items()} | {"gone.txt": ("missing", "no such file, or an empty one", None, None, "b")}
+    assert found(metadata) == labelled | {"other.txt": ("unnamed", None, 1, None, None)}
+    monkeypatch.setattr(tables, "bounded_copy", lambda df: None)  # a list of names too large to send around
+    assert found(metadata) == labelled | {"other.txt": ("unnamed", None, 1, None, None)}
+    assert found(metadata.limit(0)) == {n: ("unnamed", None, r[2], None, None) for n, r in (read | bad | {"other.txt": (0, 0, 1)}).items()}
+    unread = tables.unread_documents(spark, str(tmp_path), metadata).collect()
+    assert sorted((r["doc_id"], r["status"]) for r in unread) == [("bad.txt", "unreadable"), ("gone.txt", "missing"), ("long.txt", "unreadable")]
+
+
 def test_describe_matches_golden(processed):
     golden = pd.read_csv(f"{GOLDENS}/describe.csv", index_col=0)
     rows = {r["column"]: r for r in profile.describe(processed).collect()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import profile
 from plumbline.plans import roles
 from plumbline.session import shared_folder
-from plumbline.sources.tables import load_documents, load_table, save_results, save_table, unread_documents
+from plumbline.sources.tables import document_files, document_status, load_documents, load_table, save_results, save_table, unread_documents
 from workload.tables import HOLED_SQL, SALES_NUMBERS, SALES_SQL, holed_orders, rounded, sales, table
 
 QUERIES, SQL = {}, {}
@@ -15,13 +15,6 @@ QUERIES, SQL = {}, {}
 QUERIES["load_table"] = lambda s, d: load_table(s, f"{d}/customer.parquet")
 SQL["load_table"] = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
-QUERIES["load_documents"] = lambda s, d: table(s, d, "documents").select(
-    "doc_id", "lang", "source", F.length("text").alias("n_text"), F.md5("text").alias("digest")
-)
-SQL["load_documents"] = (
-    "SELECT doc_id, lang, source, CAST(length(text) AS INTEGER) AS n_text, md5(text) AS digest FROM documents"
-)
-
 def _folder(s, name):
     return f"{shared_folder(s)}/workload-{name}-{uuid.uuid4().hex}"
 
@@ -39,19 +32,55 @@ SQL["load_document_files"] = """SELECT md5(line) AS line, count(*) AS n FROM (SE
   FROM documents WHERE text IS NOT NULL) GROUP BY 1"""
 
 
-def _unread_files(s, d):
+def _document_metadata(s, d):
+    """Documents in files by language, whose category comes from a list of files: lines by category."""
     path = _folder(s, "documents")
-    table(s, d, "customer").select("c_mktsegment", "c_name").write.partitionBy("c_mktsegment").text(path)
-    segments = [r[0] for r in s.read.text(path).select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
-    loaded = load_documents(s, f"{path}/c_mktsegment={segments[0]}")
-    unread = unread_documents(s, f"{path}/c_mktsegment={segments[0]}", loaded)
-    n_lines = F.sum(F.size(F.split("text", "\n")) - 1)
-    return loaded.agg(n_lines.alias("n_lines")).crossJoin(unread.agg(F.count("*").alias("n_unread")))  # one row each
+    table(s, d, "documents").select("lang", "text").filter("text IS NOT NULL").write.partitionBy("lang").text(path)
+    manifest = document_files(s, path).select(F.col("doc_id").alias("file_name"), F.regexp_extract("doc_id", "lang=([^/]+)", 1).alias("category"), F.lit("corpus").alias("api_name"))
+    lines = load_documents(s, path, manifest).select("category", "api_name", F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"))
+    return lines.groupBy("category", "api_name").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_letters"), F.count_distinct(F.md5("line")).alias("n_distinct"))
+
+
+QUERIES["load_documents"] = _document_metadata
+SQL["load_documents"] = """SELECT category, 'corpus' AS api_name, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_letters, count(DISTINCT md5(line)) AS n_distinct
+  FROM (SELECT lang AS category, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY 1"""
+
+
+def _monthly_files(s, d):
+    """One file of orders a month; a seventh of the files hold bytes that are no text. Also a list that names each of them and some that do not exist."""
+    path = _folder(s, "orders")
+    orders = table(s, d, "orders").select(F.date_format("o_orderdate", "yyyyMM").alias("month"), F.col("o_orderkey").cast("string").alias("line"))
+    broken = orders.select("month").distinct().filter("CAST(month AS INT) % 7 = 0").select("month", F.expr("CAST(unhex('C328') AS STRING)").alias("line"))
+    orders.unionByName(broken).repartition("month").write.partitionBy("month").text(path)
+    present = document_files(s, path).select(F.col("doc_id").alias("file_name"), F.regexp_extract("doc_id", "month=([^/]+)", 1).alias("category"))
+    ghosts = orders.select("month").distinct().filter("CAST(month AS INT) % 5 = 0").select(F.concat(F.lit("orders "), "month").alias("file_name"), F.col("month").alias("category"))
+    named = present.filter("CAST(category AS INT) % 3 > 0").unionByName(ghosts)
+    return path, named.withColumn("api_name", F.lit("orders"))
+
+
+def _statuses(s, d):
+    path, named = _monthly_files(s, d)
+    lines = F.when(F.col("status") == "read", F.size(F.split("text", "\n")) - 1)
+    return document_status(s, path, named).groupBy("status", "reason").agg(F.count("*").alias("n_files"), F.sum(lines).alias("n_lines"), F.count("category").alias("n_labelled"))
+
+
+_MONTHS = "m AS (SELECT strftime(o_orderdate, '%Y%m') AS month, count(*) AS n FROM orders GROUP BY 1), k AS (SELECT n, CAST(month AS INTEGER) AS i FROM m)"
+QUERIES["document_status"] = _statuses
+SQL["document_status"] = f"""WITH {_MONTHS}
+  SELECT 'read' AS status, NULL AS reason, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_labelled FROM k WHERE i % 3 > 0 AND i % 7 > 0
+  UNION ALL SELECT 'unreadable', 'not UTF-8', count(*), NULL, count(*) FROM k WHERE i % 3 > 0 AND i % 7 = 0
+  UNION ALL SELECT 'unnamed', NULL, count(*), NULL, 0 FROM k WHERE i % 3 = 0
+  UNION ALL SELECT 'missing', 'no such file, or an empty one', count(*), NULL, count(*) FROM k WHERE i % 5 = 0"""
+
+
+def _unread_files(s, d):
+    path, named = _monthly_files(s, d)
+    return unread_documents(s, path, named).groupBy("status").agg(F.count("*").alias("n_unread"))
 
 
 QUERIES["unread_documents"] = _unread_files
-SQL["unread_documents"] = """SELECT count(*) AS n_lines, CAST(0 AS BIGINT) AS n_unread FROM customer
-  WHERE c_mktsegment = (SELECT min(c_mktsegment) FROM customer)"""
+SQL["unread_documents"] = f"""WITH {_MONTHS} SELECT 'missing' AS status, count(*) AS n_unread FROM k WHERE i % 5 = 0
+  UNION ALL SELECT 'unreadable', count(*) FROM k WHERE i % 3 > 0 AND i % 7 = 0"""
 
 
 def _saved(fmt):
@@ -91,6 +120,22 @@ def _default_targets(s, d):
     return rounded(mean.select(F.inline(F.array(*rows))), 6)
 
 
+def _column_classes(s, d):
+    """Each column with its class and how many rows have a value."""
+    df = sales(s, d).drop("promotion")
+    classes = {"numeric": roles.numeric_columns(df), "categorical": roles.categorical_columns(df), "datetime": roles.datetime_columns(df)}
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kind).alias("class"), F.col(c).alias("n")) for kind, cols in classes.items() for c in cols])))
+
+
+QUERIES["column_classes"] = _column_classes
+SQL["column_classes"] = f"WITH {SALES_SQL} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{kind}' AS class, count({c}) AS n FROM sales" for kind, cols in {
+        "numeric": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price", "quantity", "cost", "revenue", "profit", "discount"],
+        "categorical": ["category", "product", "region"], "datetime": ["sale_date"],
+    }.items() for c in cols
+)
+
 QUERIES["default_targets"] = _default_targets
 SQL["default_targets"] = f"""WITH {SALES_SQL} SELECT 'feature stage' AS stage, 'l_orderkey' AS target, round(avg(l_orderkey), 6) AS mean FROM sales
   UNION ALL SELECT 'analysis stage', 'price', round(avg(price), 6) FROM sales"""

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from plumbline import fixed_values as fixed
 from plumbline.operators import neighbours, retrieval
 from workload.tables import rounded, table
 
@@ -55,43 +56,59 @@ SQL["format_results"] = """SELECT doc_id, '- API: ' || coalesce(source, '未知'
 
 
 def _deep_search(s, d):
-    """More hits than Spark trims by itself, and a query without a vector."""
-    vectors = table(s, d, "embeddings").filter("vec_id IN (0, 1, 2)").withColumn("embedding", F.expr("CASE WHEN vec_id <> 1 THEN embedding END"))
-    return rounded(neighbours.search(table(s, d, "embeddings"), vectors, 1500, "vec_id", "vec_id"), 6)
+    """More hits than Spark trims by itself, asked by every hundredth vector, a third of which are missing."""
+    vectors = table(s, d, "embeddings")
+    asked = vectors.filter("vec_id % 100 = 0").withColumn("embedding", F.expr("CASE WHEN vec_id % 300 <> 200 THEN embedding END"))
+    return rounded(neighbours.search(vectors, asked, 1500, "vec_id", "vec_id"), 6)
 
 
 QUERIES["vector_search_deep"] = _deep_search
 SQL["vector_search_deep"] = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-  p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.vec_id IN (0, 2)),
+  p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id % 300 <> 200),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM p)
   SELECT query_id, id, round(dist, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 1500"""
 
 
 def _retrieved(s, d):
-    """Documents under the vectors of the same number, asked by the mean vector of each label."""
+    """All chunks of the documents, each under its document's vector, asked by the mean vector of each label; chunks of one document tie in their order."""
+    docs = table(s, d, "documents").select("doc_id", "text", F.col("lang").alias("category"), F.col("source").alias("api_name"))
+    chunks = retrieval.chunk_windows(docs, keep=["doc_id", "category", "api_name"])
+    chunks = chunks.withColumn("chunk_id", F.shiftleft(F.col("doc_id").cast("long"), 20) + F.col("chunk_no"))
     vectors = table(s, d, "embeddings").select("vec_id", "embedding")
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.left("text", F.lit(250)).alias("chunk"), F.col("lang").alias("category"), F.col("source").alias("api_name"))
-    return retrieval.retrieve(vectors.join(docs, "vec_id"), _centroids(s, d), 20, "vec_id", "label")
+    return retrieval.retrieve(chunks.join(vectors, F.col("vec_id") == F.col("doc_id")), _centroids(s, d), 20, "chunk_id", "label")
 
 
 QUERIES["retrieve"] = _retrieved
-SQL["retrieve"] = f"""{_SEARCH.replace("CROSS JOIN embeddings", "CROSS JOIN (SELECT e.* FROM embeddings e JOIN documents ON doc_id = vec_id) b").replace(
-  "vec_id AS id, list_distance(e,", "vec_id AS id, list_distance(q.e,")}
+SQL["retrieve"] = f"""{_SEARCH.split("p AS (SELECT")[0].rstrip().rstrip(",")},
+  chunks AS ({SQL["chunk_windows"]}),
+  p AS (SELECT q.label AS query_id, doc_id, chunk_no, chunk, list_distance(e, CAST(embedding AS DOUBLE[])) AS dist FROM q CROSS JOIN embeddings JOIN chunks ON vec_id = doc_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, doc_id, chunk_no) AS rank FROM p)
   SELECT query_id, CAST(rank AS INTEGER) AS rank, '- API: ' || coalesce(source, '未知') || ' (分类: ' || coalesce(lang, '未知') || ')' || chr(10) ||
-  '  描述: ' || coalesce(left(text, 250), '') AS formatted FROM r JOIN documents ON doc_id = id WHERE rank <= 20"""
+  '  描述: ' || chunk AS formatted FROM r JOIN documents USING (doc_id) WHERE rank <= 20"""
 
 
 def _chunk_facts(s, d):
-    """Per document: chunks that its text does not hold, the longest chunk, and characters other than blanks in text and chunks."""
+    """Per document, of its chunks in order: how many do not stand where they say, are too long, reach too far back into the one before,
+    or leave letters out between two; and the letters before the first and after the last."""
     docs = table(s, d, "documents").select("doc_id", "text")
-    solid = lambda c: F.length(F.regexp_replace(c, r"\s+", "")).cast("bigint")
-    chunks = retrieval.chunk_recursive(docs, overlap=0).join(docs, "doc_id")
-    facts = chunks.groupBy("doc_id").agg(
-        F.count_if(F.instr("text", F.col("chunk")) == 0).alias("n_foreign"), (F.max(F.length("chunk")) <= 250).alias("fit"), F.sum(solid("chunk")).alias("n_solid")
+    size, overlap = fixed.CHUNK_SIZE, fixed.CHUNK_OVERLAP
+    chunks = retrieval.chunk_recursive(docs).withColumn("stop", F.col("start") + F.length("chunk"))
+    listed = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "start", "stop", "chunk"))).alias("c"))  # one document's chunks
+    between = lambda a, b: F.expr("text").substr((a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    solid = lambda text: F.length(F.regexp_replace(text, r"\s+", ""))
+    steps = F.transform(F.sequence(F.lit(2), F.size("c")), lambda i: F.struct(F.element_at("c", i - 1).alias("a"), F.element_at("c", i).alias("b")))
+    steps = F.when(F.size("c") > 1, steps).otherwise(F.array().cast("array<struct<a: struct<chunk_no: int, start: bigint, stop: bigint, chunk: string>, b: struct<chunk_no: int, start: bigint, stop: bigint, chunk: string>>>"))
+    count = lambda values, test: F.size(F.filter(values, test)).cast("bigint")
+    return listed.join(docs, "doc_id").select(
+        "doc_id", count(F.col("c"), lambda x: between(x["start"], x["stop"]) != x["chunk"]).alias("n_foreign"),
+        count(F.col("c"), lambda x: F.length(x["chunk"]) > size).alias("n_long"),
+        count(steps, lambda x: (x["a"]["stop"] - x["b"]["start"] > overlap) | (x["b"]["start"] <= x["a"]["start"])).alias("n_far_back"),
+        F.aggregate(steps, F.lit(0).cast("bigint"), lambda n, x: n + solid(between(x["a"]["stop"], x["b"]["start"]))).alias("n_lost"),
+        (solid(between(F.lit(0), F.element_at("c", 1)["start"])) + solid(between(F.element_at("c", -1)["stop"], F.length("text")))).cast("bigint").alias("n_outside"),
+        (F.size("c") > 1).alias("cut"),
     )
-    return facts
 
 
 QUERIES["chunk_recursive_facts"] = _chunk_facts
-SQL["chunk_recursive_facts"] = r"""SELECT doc_id, CAST(0 AS BIGINT) AS n_foreign, true AS fit,
-  CAST(length(regexp_replace(text, '\s+', '', 'g')) AS BIGINT) AS n_solid FROM documents WHERE regexp_matches(text, '\S')"""
+SQL["chunk_recursive_facts"] = r"""SELECT doc_id, CAST(0 AS BIGINT) AS n_foreign, CAST(0 AS BIGINT) AS n_long, CAST(0 AS BIGINT) AS n_far_back, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_outside,
+  length(text) > 250 AS cut FROM documents WHERE regexp_matches(text, '\S')"""
