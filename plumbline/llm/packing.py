@@ -12,8 +12,9 @@ An empty table gives no rows. A document longer than a sequence is cut so that o
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,11 +96,18 @@ def plan(counts: dict[int, int], room: Room) -> np.ndarray:
     return np.array(runs, dtype=np.int64).reshape(-1, 5)
 
 
-def encoded_pieces(docs: DataFrame, vocabulary: str, pattern: str, end: int = 0, tokens: int = 2048, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+def special_tokens(path: str) -> dict[str, int]:
+    """Special tokens and their ids in a tokenizer file."""
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def encoded_pieces(docs: DataFrame, vocabulary: str, pattern: str, end: int = 0, tokens: int = 2048, key: str = "doc_id", text: str = "text", keep_ids: bool = False, special: Mapping[str, int] | None = None) -> DataFrame:
     """One row per piece: ``key, piece, start, length, ids_crc32`` and, on request, its ``ids``.
 
-    ``vocabulary`` is a file of ranks; the text of special tokens is ordinary text.
+    ``vocabulary`` is a file of ranks; ``special`` holds the ids of special tokens, which a text is parted at first. Without it their text is ordinary text.
     """
+    special = dict(special or {})
     with open(vocabulary, "rb") as file:
         ranks = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -107,11 +115,11 @@ def encoded_pieces(docs: DataFrame, vocabulary: str, pattern: str, end: int = 0,
         import tiktoken
 
         data = ranks.value
-        encoder = once(("tiktoken", hash(data), pattern), lambda: tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(data), special_tokens={}))
+        encoder = once(("tiktoken", hash(data), pattern, str(special)), lambda: tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(data), special_tokens=special))
         for batch in (part for whole in batches for part in pieces_of(whole, "_text")):
             columns = [[], [], [], [], [], []]
             for name, words in zip(batch.column(0), batch.column(1)):
-                ids = np.append(encoder.encode_to_numpy(words.as_py(), disallowed_special=()), end).astype("<u4")
+                ids = np.append(encoder.encode_to_numpy(words.as_py(), allowed_special="all", disallowed_special=()), end).astype("<u4")
                 starts = [0, *range(len(ids) % tokens or tokens, len(ids), tokens), len(ids)]
                 for piece, (a, b) in enumerate(zip(starts, starts[1:])):
                     row = (name, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b] if keep_ids else None)

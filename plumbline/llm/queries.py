@@ -130,7 +130,8 @@ QUERIES["op8_surrogates"] = _surrogates
 def _packing(s, d):
     public = tokenizers()
     docs = table(s, d, "documents").select("doc_id", "text")
-    return packing.pack(packing.encoded_pieces(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN))
+    special = packing.special_tokens(public.path("byte_bpe_50k.json"))
+    return packing.pack(packing.encoded_pieces(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, special=special))
 
 
 QUERIES["op9_best_fit_packing"] = _packing

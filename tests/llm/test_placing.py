@@ -1,6 +1,7 @@
 """Shards, top-k search, packing, the queries with SQL and the pipeline."""
 
 import collections
+import math
 import zlib
 
 import duckdb
@@ -75,6 +76,23 @@ def test_top_k(spark):
     assert inner_product.top_inner_products(few.filter("false"), few.filter("false")).count() == 0
 
 
+def test_top_k_of_components_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    vectors = [[float(x) for x in v] for v in rng.normal(size=(60, 4))]
+    vectors[5], vectors[10], vectors[11] = [1e300, 1.0, -1e300, 0.5], [1e8, 0.0, -0.0, 1.0], [1e8, -0.0, 0.0, 1.0 + 2**-30]
+    vectors[20], vectors[21], vectors[30] = [1e12, 1e12, 1.0, 1.0], [2.0**53 + 2, 1.0, 0.3, 0.1], [1.7e308, 0.0, 0.0, 0.0]
+    base = inner_product.scaled(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"))
+    whole = [[math.floor(x * 64) if abs(x) < 2.0**53 else int(x) * 64 for x in v] for v in vectors]
+    score = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b]))
+    fits = lambda x: x if -(2**63) <= x < 2**63 else None
+    wanted = set()
+    for q in range(0, 60, 5):
+        best = sorted((j for j in range(60) if j != q), key=lambda j: (-score(q, j), j))[:7]
+        wanted |= {(q, n + 1, j, fits(score(q, j))) for n, j in enumerate(best)}
+    for shard, block in ((20_000, 5_000), (13, 4)):
+        assert {tuple(r) for r in inner_product.top_inner_products(base, base.filter("_id % 5 = 0"), 7, shard, block).collect()} == wanted
+
+
 def test_branches_are_left_out():
     random = np.random.default_rng(3)
     rows = np.concatenate([random.normal(c, 0.1, size=(500, 4)) for c in (-50, 0, 50)])
@@ -123,9 +141,7 @@ def check_packed(rows, texts, tokenizer):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(public.path("byte_bpe_50k.json"))
 
 
 def test_packing_query(spark, sf, tokenizer):
@@ -135,7 +151,7 @@ def test_packing_query(spark, sf, tokenizer):
 
 
 def test_packing_odd_rows(spark, tokenizer):
-    pieces = lambda docs, **o: packing.encoded_pieces(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, **o)
+    pieces = lambda docs, **o: packing.encoded_pieces(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, special=packing.special_tokens(public.path("byte_bpe_50k.json")), **o)
     check_packed(packing.pack(pieces(docs_of(spark, ODD))).collect(), dict(enumerate(ODD)), tokenizer)
     assert packing.pack(pieces(docs_of(spark, []))).count() == 0
     twice = docs_of(spark, ODD[:4]).unionByName(docs_of(spark, ODD[:4]))
