@@ -44,7 +44,8 @@ def surrogate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     public = tokenizers()
-    return packing.pack(packing.encoded_pieces(docs.select("doc_id", "text"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN))
+    special = packing.special_tokens(public.path("byte_bpe_50k.json"))
+    return packing.pack(packing.encoded_pieces(docs.select("doc_id", "text"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN, special=special))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
