@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.common import body, once, pieces_of
 from plumbline.llm.periodic_runs import Numbers
-from plumbline.session import shared_folder
+from plumbline.session import materialise, shared_folder
 
 # Words the automaton holds at most, and bytes of the longest of them; all others are merged.
 LEXICON_WORDS = 262_144
 LEXICON_BYTES = 48
 # Words whose counts a task holds before it hands them on.
 COUNTED_AT_ONCE = 200_000
+# Counts below two to this power are told apart when the least count of a frequent word is chosen.
+COUNT_BITS = 12
 SLICE_BYTES = 4 << 20
 PART_LETTERS = 1 << 18
 # Words of at most this many bytes are merged in a list, longer ones by a heap.
@@ -326,7 +328,7 @@ def _vocabulary(data: bytes) -> Vocabulary:
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS, text: str = "text") -> DataFrame:
-    """``word, n``: the most frequent words of all rows with their counts; equal counts in the order of the words."""
+    """``word, n``: the most frequent words of all rows with their counts, ``most`` at most; words of equal counts come in or stay out together."""
     with open(vocabulary, "rb") as file:
         data = docs.sparkSession.sparkContext.broadcast(file.read())  # one vocabulary, its size does not follow the data
 
@@ -347,7 +349,16 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS,
         yield counted()
 
     partial = docs.select(body(text).alias("_text")).mapInArrow(count, "word binary, n long")
-    return partial.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    counted = materialise(partial.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # Small counts have a class each, larger ones share one of a few thousand: where to cut is seen without sorting the words.
+    fine = 1 << COUNT_BITS
+    rank = F.when(F.col("n") < fine, F.col("n")).otherwise(fine + F.floor((F.log2(F.col("n").cast("double")) - COUNT_BITS) * 64))
+    least, held = None, 0
+    for row in sorted(counted.groupBy(rank.alias("c")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        if held + row["words"] > most:
+            break
+        least, held = row["c"], held + row["words"]
+    return counted.filter(rank >= least) if least is not None else counted.limit(0)
 
 
 def shared_file(spark: SparkSession, data: bytes, label: str) -> str:

@@ -209,11 +209,15 @@ def test_the_automaton_is_minimal_and_exact(vocabulary):
     assert len(lexicon.bits) == len(endings)
 
 
-def test_frequent_words_are_counted_over_all_rows(spark, vocabulary, monkeypatch):
+def test_frequent_words_are_counted_over_all_rows(spark, monkeypatch):
     monkeypatch.setattr(word_pairs, "COUNTED_AT_ONCE", 3)
-    docs = docs_of(spark, ["b a a c", None, "A b! " + "y" * 60, "d " * 4 + "<|endoftext|>"])
-    rows = word_pairs.frequent_words(docs.repartition(3), PATH, 4).collect()
-    assert [(bytes(r["word"]).decode(), r["n"]) for r in rows] == [("d", 4), ("a", 3), ("b", 2), ("!", 1)]
+    docs = docs_of(spark, ["b a a c", None, "A b! " + "y" * 60, "d " * 4 + "<|endoftext|>"]).repartition(3)
+    found = lambda most: {bytes(r["word"]).decode(): r["n"] for r in word_pairs.frequent_words(docs, PATH, most).collect()}
+    expected = {"d": 4, "a": 3, "b": 2, "!": 1, "c": 1}
+    for most, words in ((0, ""), (1, "d"), (3, "dab"), (4, "dab"), (5, "dab!c"), (99, "dab!c")):
+        assert found(most) == {w: expected[w] for w in words}
+    monkeypatch.setattr(word_pairs, "COUNT_BITS", 1)  # 2 and 3 fall into classes of their own, 1 into another
+    assert found(4) == {"d": 4, "a": 3, "b": 2}
 
 
 def test_word_columns(spark, library):
