@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PCA, OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import RandomForestRegressor
@@ -26,7 +26,7 @@ ONEHOT_COLUMNS = 2_000
 _RANK_BUCKETS = 1_000
 
 
-def category_values(df: DataFrame, cols: Sequence[str], limit: int = ONEHOT_COLUMNS) -> dict[str, list[str] | None]:
+def category_values(df: DataFrame, cols: Sequence[str], limit: int) -> dict[str, list[str] | None]:
     """Sorted distinct non-null values of each column, None for one with more than ``limit``."""
     if not cols:
         return {}
@@ -39,12 +39,12 @@ def category_values(df: DataFrame, cols: Sequence[str], limit: int = ONEHOT_COLU
     return {c: found if found is None else sorted(found) for c, found in values.items()}
 
 
-def encode_onehot(df: DataFrame, cols: Sequence[str], limit: int = ONEHOT_COLUMNS) -> DataFrame:
+def encode_onehot(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> DataFrame:
     """0/1 columns ``{col}_{value}`` for every sorted value but the first; the source column goes.
 
-    A column with more than ``limit`` values becomes one sparse vector ``{col}_onehot`` with the same places.
+    A column with more than ``limit`` values (``ONEHOT_COLUMNS`` by default) becomes one sparse vector ``{col}_onehot`` with the same places.
     """
-    for c, values in category_values(df, cols, limit).items():
+    for c, values in category_values(df, cols, ONEHOT_COLUMNS if limit is None else limit).items():
         if values is None:
             df = encode_onehot_vector(df, c).drop(c)
             continue
@@ -205,21 +205,113 @@ def f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     # The summary's variance of weighted values is their sum of squares over n - sum(w^2) / n.
     share = (F.col("n") - F.try_divide(F.col("ww"), F.col("n"))) / F.nullif(F.col("k") - 1, F.lit(0.0))
     entries = [
-        F.struct(F.lit(c).alias("feature"), F.try_divide(spread[i] * share, within[i]).alias("score"))
+        F.struct(F.lit(c).alias("feature"), _ratio(spread[i] * share, within[i]).alias("score"))
         for i, c in enumerate(features)
     ]
     return total.select(F.inline(F.array(*entries))).orderBy(F.col("score").desc_nulls_last(), "feature")
 
 
-def select_k_best(df: DataFrame, features: Sequence[str], target: str, k: int = 10) -> list[str]:
-    """The k best features by F score, best first; k is a report size, all are scored.
+def _place_scores(places: DataFrame, sizes: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """(``sums``..., score) from one row per place and target value: (``sums``..., _y, s, ss), the place's sum and sum of squares there.
+
+    A place is 0 wherever it has no row, so what its column would add to the spread between and within the target's values follows from
+    these sums and the sizes of the target's values.
+    """
+    groups = sizes.agg(F.count("*").cast("double").alias("k"), F.sum("n").cast("double").alias("rows"))
+    joined = attach(places, sizes.withColumn("_w", F.col("n")), ["_y"], "_w")
+    totals = joined.groupBy(*sums).agg(
+        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("explained"), F.sum("s").alias("s"), F.sum("ss").alias("ss")
+    ).crossJoin(F.broadcast(groups))  # one row
+    between = (F.col("explained") - F.col("s") * F.col("s") / F.col("rows")) / F.nullif(F.col("k") - 1, F.lit(0.0))
+    left = F.col("ss") - F.col("explained")
+    within = F.when(left > 1e-12 * F.col("ss"), left) / F.nullif(F.col("rows") - F.col("k"), F.lit(0.0))  # below that it is rounding
+    return totals.select(*sums, _ratio(between, F.coalesce(within, F.lit(0.0))).alias("score"))
+
+
+def _ratio(between: Column, within: Column) -> Column:
+    """F; infinite for a feature that the target determines, NULL for a constant one or a constant target."""
+    return F.when(within > 0, between / within).when(between > 0, F.lit(float("inf")))
+
+
+def _target_sizes(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    known = df.filter(F.col(quoted(target)).isNotNull())
+    return known, materialise(known.groupBy(F.col(quoted(target)).alias("_y")).agg(F.count("*").alias("n")), "target-sizes")
+
+
+def category_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
+    """ANOVA F of every 0/1 place that one-hot encoding would make of string columns: (feature, column, value, score).
 
-    Vector columns (wide one-hot blocks) have no single score: they stay, after the others.
+    All follow from one count of (column, value, target), so no place needs a column, however many values there are. As in the encoding, the first
+    value of a column has no place and NULL is in none.
+    """
+    known, sizes = _target_sizes(df, target)
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(quoted(c)).alias("value")) for c in columns]
+    cells = known.select(F.col(quoted(target)).alias("_y"), F.inline(F.array(*pairs))).filter("value IS NOT NULL")
+    counts = materialise(cells.groupBy("column", "value", "_y").agg(F.count("*").cast("double").alias("s")), "cells").withColumn("ss", F.col("s"))
+    first = df.select(F.inline(F.array(*pairs))).groupBy("column").agg(F.min("value").alias("_first"))  # one row per column
+    scored = _place_scores(counts, sizes, ["column", "value"]).join(F.broadcast(first), "column").filter("value <> _first")
+    return scored.select(F.concat_ws("_", "column", "value").alias("feature"), "column", "value", "score")
+
+
+def _active(vector: str) -> Column:
+    """The places of a vector that are not 0, with their values."""
+    parts = F.unwrap_udt(F.col(quoted(vector)))
+    places = F.coalesce(parts["indices"], F.sequence(F.lit(0), F.size(parts["values"]) - 1))
+    return F.filter(F.arrays_zip(places.alias("place"), parts["values"].alias("x")), lambda e: e["x"] != 0)
+
+
+def vector_scores(df: DataFrame, vectors: Sequence[str], target: str) -> DataFrame:
+    """ANOVA F of every place of vector columns: (feature, column, place, score), from sums over the places that are not 0."""
+    known, sizes = _target_sizes(df, target)
+    parts = []
+    for v in vectors:
+        cells = known.filter(F.col(quoted(v)).isNotNull()).select(F.col(quoted(target)).alias("_y"), F.explode(_active(v)).alias("e"))
+        parts.append(cells.select(F.lit(v).alias("column"), F.col("e.place").alias("place"), "_y", F.col("e.x").alias("x")))
+    cells = parts[0]
+    for more in parts[1:]:
+        cells = cells.unionByName(more)
+    sums = cells.groupBy("column", "place", "_y").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+    scored = _place_scores(sums, sizes, ["column", "place"])
+    return scored.select(F.format_string("%s[%d]", "column", "place").alias("feature"), "column", "place", "score")
+
+
+def best_features(df: DataFrame, features: Sequence[str], target: str, k: int = 10, categories: Sequence[str] = ()) -> dict[str, Column]:
+    """The k best features by F score, best first, as names and expressions over ``df``; k is a report size, all are scored.
+
+    Candidates are the number columns of ``features``, every place of its vector columns, and every one-hot place of the string columns
+    ``categories``, which are not encoded for it. What is chosen does not depend on how many values a category has.
     """
     vectors = vector_columns(df, features)
-    scored = [f for f in features if f not in vectors]
-    best = [r["feature"] for r in f_scores(df, scored, target).limit(min(k, len(scored))).collect()] if scored else []
-    return [*best, *vectors]
+    numbers = [f for f in features if f not in vectors]
+    key = "feature string, score double, column string, value string, place int"
+    none = lambda kind: F.lit(None).cast(kind)
+    scored = df.sparkSession.createDataFrame([], key)
+    if numbers:
+        scored = scored.unionByName(f_scores(df, numbers, target).select("feature", "score", F.col("feature").alias("column"), none("string").alias("value"), none("int").alias("place")))
+    if categories:
+        scored = scored.unionByName(category_scores(df, categories, target).select("feature", "score", "column", "value", none("int").alias("place")))
+    if vectors:
+        scored = scored.unionByName(vector_scores(df, list(vectors), target).select("feature", "score", "column", none("string").alias("value"), "place"))
+    chosen = {}
+    for row in scored.orderBy(F.col("score").desc_nulls_last(), "feature").limit(k).collect():
+        source = F.col(quoted(row["column"]))
+        if row["value"] is not None:
+            chosen[row["feature"]] = F.coalesce((source == F.lit(row["value"])).cast("double"), F.lit(0.0))
+        elif row["place"] is not None:
+            chosen[row["feature"]] = _place(row["column"], row["place"])
+        else:
+            chosen[row["feature"]] = source
+    return chosen
+
+
+def _place(vector: str, place: int) -> Column:
+    hit = F.filter(_active(vector), lambda e: e["place"] == place)
+    return F.coalesce(F.get(hit, F.lit(0))["x"], F.lit(0.0))
+
+
+def select_k_best(df: DataFrame, features: Sequence[str], target: str, k: int = 10) -> list[str]:
+    """The names of the k best features by F score, best first; places of vector columns are named ``vector[place]``."""
+    return list(best_features(df, features, target, k))
 
 
 def vector_columns(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
@@ -247,61 +339,72 @@ def _evaluator(task: str, target: str):
     return RegressionEvaluator(labelCol=target, metricName="r2")
 
 
-def _eliminate(train: DataFrame, features: list[str], target: str, config: EngineConfig, step: int,
-               stop: int, score_on: DataFrame | None, vectors: Mapping[str, int]) -> tuple[list[list[str]], list[float]]:
-    """Fit, score, drop the weakest ``step``, repeat down to ``stop`` features."""
-    left, kept, scores = list(features), [], []
-    evaluator = _evaluator(config.task, target)
+def _eliminate(train: DataFrame, slots: Sequence[int], config: EngineConfig, step: int | None, stop: int, score_on: DataFrame | None) -> tuple[list[list[int]], list[float]]:
+    """Fit, score, drop the weakest, repeat down to ``stop`` places of the vector ``all``."""
+    left, kept, scores = list(slots), [], []
+    evaluator = _evaluator(config.task, "y")
     while True:
-        model = _forest(config.task, config, "features", target).fit(assemble_vector(train, left))
+        slicer = VectorSlicer(inputCol="all", outputCol="features", indices=left)
+        model = _forest(config.task, config, "features", "y").fit(slicer.transform(train).select("features", "y"))
         kept.append(list(left))
         if score_on is not None:
-            scores.append(evaluator.evaluate(model.transform(assemble_vector(score_on, left))))
+            scores.append(evaluator.evaluate(model.transform(slicer.transform(score_on))))
         if len(left) <= stop:
             return kept, scores
-        importances, at, weight = model.featureImportances.toArray(), 0, {}
-        for f in left:  # a vector counts with all its places
-            width = vectors.get(f, 1)
-            weight[f] = importances[at : at + width].sum()
-            at += width
-        drop = min(step, len(left) - stop)
-        weakest = sorted(left, key=lambda f: (weight[f], -features.index(f)))[:drop]
-        left = [f for f in left if f not in weakest]
+        weight = dict(zip(left, model.featureImportances.toArray()))
+        gone = step or max(1, len(left) // 10)
+        weakest = set(sorted(left, key=lambda i: (weight[i], -i))[: min(gone, len(left) - stop)])
+        left = [i for i in left if i not in weakest]
 
 
 def recursive_elimination(
     df: DataFrame, features: Sequence[str], target: str, fold: str,
-    config: EngineConfig = EngineConfig(), step: int = 1, min_features: int = 1,
+    config: EngineConfig = EngineConfig(), step: int | None = None, min_features: int = 1,
 ) -> tuple[list[str], dict[str, int]]:
     """Recursive elimination with cross-validation over the ``fold`` column: (kept, ranking).
 
     Each fold eliminates on its training rows and scores every subset on its held-out rows; the size
     with the best mean score (the smallest on a tie) is then eliminated to on all rows. Kept features
-    rank 1, the others by the round that dropped them. All fits run on Spark, folds side by side.
+    rank 1, the others by the round that dropped them. A vector column counts as one feature per place, named ``vector[place]``, like the
+    columns it stands for. A round drops ``step`` features, by default one of up to 19 and a tenth of more. Rows are assembled and written once; every fit reads them, folds side by side.
     """
     features = list(features)
     vectors = vector_columns(df, features)
-    cols = [F.col(quoted(c)) if c in vectors else F.col(quoted(c)).cast("double").alias(c) for c in [*features, target]]
-    cols.append(F.col(quoted(fold)).alias(fold))
-    data = df.select(*cols).persist()
-    try:
-        def run(i: int) -> tuple[list[list[str]], list[float]]:
-            held = data.filter(F.col(quoted(fold)) == i)
-            return _eliminate(data.filter(F.col(quoted(fold)) != i), features, target, config, step, min_features, held, vectors)
-
-        with ThreadPoolExecutor(config.parallel_fits) as pool:
-            runs = list(pool.map(run, range(config.folds)))
-        sizes = [len(s) for s in runs[0][0]]
-        totals = [sum(scores[i] for _, scores in runs) for i in range(len(sizes))]
-        best = max(range(len(sizes)), key=lambda i: (totals[i], -sizes[i]))
-        kept, _ = _eliminate(data, features, target, config, step, sizes[best], None, vectors)
-        final = kept[-1]
-        ranking = {f: 1 for f in final}
-        for rank, subset in enumerate(reversed(kept[:-1]), start=2):
-            ranking |= {f: rank for f in subset if f not in ranking}
-        return final, ranking
-    finally:
-        data.unpersist()
+    names = [n for f in features for n in ([f"{f}[{i}]" for i in range(vectors[f])] if f in vectors else [f])]
+    cols = [F.col(quoted(c)) if c in vectors else F.col(quoted(c)).cast("double").alias(c) for c in features]
+    rows = assemble_vector(df.select(*cols, F.col(quoted(target)).cast("double").alias("_y"), F.col(quoted(fold)).alias("_part")), features, "_all")
+    data = materialise(rows.select(F.col("_all").alias("all"), F.col("_y").alias("y"), F.col("_part").alias("part")), "elimination")
+
+    def run(i: int) -> tuple[list[list[int]], list[float]]:
+        return _eliminate(data.filter(F.col("part") != i), range(len(names)), config, step, min_features, data.filter(F.col("part") == i))
+
+    with ThreadPoolExecutor(config.parallel_fits) as pool:
+        runs = list(pool.map(run, range(config.folds)))
+    sizes = [len(s) for s in runs[0][0]]
+    totals = [sum(scores[i] for _, scores in runs) for i in range(len(sizes))]
+    best = max(range(len(sizes)), key=lambda i: (totals[i], -sizes[i]))
+    kept, _ = _eliminate(data, range(len(names)), config, step, sizes[best], None)
+    ranking = {names[i]: 1 for i in kept[-1]}
+    for rank, subset in enumerate(reversed(kept[:-1]), start=2):
+        ranking |= {names[i]: rank for i in subset if names[i] not in ranking}
+    return [names[i] for i in kept[-1]], ranking
+
+
+def with_places(df: DataFrame, names: Sequence[str], features: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with a column for every name that is a place of a vector of ``features``, and the names of its feature columns.
+
+    A vector all of whose places are named stays as it is.
+    """
+    names, wanted = list(names), set(names)
+    for v, width in vector_columns(df, features).items():
+        places = [f"{v}[{i}]" for i in range(width)]
+        if width and wanted.issuperset(places):
+            at = min(names.index(p) for p in places)
+            own = set(places)
+            names = [n for n in names[:at] if n not in own] + [v] + [n for n in names[at:] if n not in own]
+        else:
+            df = df.withColumns({p: _place(v, i) for i, p in enumerate(places) if p in wanted} or {v: F.col(quoted(v))})
+    return df, names
 
 
 def selectable_features(df: DataFrame, target: str, exclude: Sequence[str] = ()) -> list[str]:

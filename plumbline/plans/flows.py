@@ -67,7 +67,9 @@ def build_features(
     if fit_on == "train":
         # The split needs the values as they came, so it is taken before encoding and scaling.
         df = df.withColumn("_test", models.is_test_row(keys or [*numeric_columns(df), *categorical], config.test_share, config.seed))
-    df = feats.encode(df, categorical, config.encoding)
+    by_score = select and config.selection == "selectkbest" and config.encoding == "onehot"
+    if not by_score:  # else the places of categories are scored from counts, and only chosen ones become columns
+        df = feats.encode(df, categorical, config.encoding)
     train = df.filter(~F.col("_test")) if fit_on == "train" else None
     df = feats.scale(df, scalable, config.scaling, train)
     df = df.drop("_test")
@@ -75,9 +77,11 @@ def build_features(
     df = feats.fill_features(df, names)
     if select and config.selection == "rfecv":
         folded = df.withColumn("_fold", models.hash_fold(keys or names, config.folds, config.seed))
-        names, ranking = feats.recursive_elimination(folded, names, target, "_fold", config)
+        chosen, ranking = feats.recursive_elimination(folded, names, target, "_fold", config)
+        df, names = feats.with_places(df, chosen, names)
     elif select and config.selection == "selectkbest":
-        names = feats.select_k_best(df, names, target)
+        best = feats.best_features(df, names, target, categories=categorical if by_score else ())
+        df, names = df.withColumns(best) if best else df, list(best)
     elif select:
         raise ValueError(f"unknown selection {config.selection!r}; use 'rfecv' or 'selectkbest'")
     return Features(feats.feature_table(df, [*keys, *names], target), names, target, keys, ranking)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import EngineConfig
 from plumbline.operators import features
-from plumbline.plans import roles
+from plumbline.plans import flows, roles
 from plumbline.sources.tables import load_table
 
 
@@ -86,6 +86,79 @@ def test_f_scores(spark):
     assert features.select_k_best(df, ["b", "a", "flat"], "y", 2) == ["a", "b"]
 
 
+def place_score(values, y):
+    """ANOVA F of one column, written out."""
+    groups = [values[y == g] for g in np.unique(y)]
+    between = sum(len(g) * (g.mean() - values.mean()) ** 2 for g in groups) / (len(groups) - 1)
+    within = sum(((g - g.mean()) ** 2).sum() for g in groups) / (len(values) - len(groups))
+    return between / within if within > 1e-15 else None
+
+
+@pytest.fixture(scope="module")
+def coded(spark):
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 3, 400)
+    code = np.where(rng.random(400) < 0.6, y, rng.integers(0, 7, 400))
+    pdf = pd.DataFrame({"id": np.arange(400), "y": y, "c": [f"v{i}" for i in code], "x": rng.normal(size=400) + 0.3 * y, "z": rng.normal(size=400), "d": np.where(y == 1, "in", "out")})
+    pdf.loc[::50, "c"] = None
+    return spark.createDataFrame(pdf), pdf
+
+
+def test_place_scores_from_counts(coded):
+    df, pdf = coded
+    rows = {r["feature"]: r["score"] for r in features.category_scores(df, ["c", "d"], "y").collect()}
+    assert set(rows) == {f"c_v{i}" for i in range(1, 7)} | {"d_out"} and rows["d_out"] == math.inf
+    y = pdf["y"].to_numpy()
+    for i in range(1, 7):
+        assert math.isclose(rows[f"c_v{i}"], place_score((pdf["c"] == f"v{i}").to_numpy().astype(float), y), rel_tol=1e-9)
+    wide = features.encode_onehot_vector(df, "c")
+    scores = {r["feature"]: r["score"] for r in features.vector_scores(wide, ["c_onehot"], "y").collect()}
+    assert all(math.isclose(scores[f"c_onehot[{i - 1}]"], rows[f"c_v{i}"], rel_tol=1e-9) for i in range(1, 7))
+    dense = features.assemble_vector(df, ["x", "z"], "v")
+    scores = {r["feature"]: r["score"] for r in features.vector_scores(dense, ["v"], "y").collect()}
+    assert math.isclose(scores["v[0]"], place_score(pdf["x"].to_numpy(), y), rel_tol=1e-9)
+    assert features.category_scores(df.limit(0), ["c"], "y").count() == 0
+    assert features.category_scores(df.withColumn("y", F.lit(1)), ["c"], "y").filter("score IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("limit", [3, 100])
+def test_selection_does_not_depend_on_the_number_of_values(coded, limit, monkeypatch):
+    df, pdf = coded
+    monkeypatch.setattr(features, "ONEHOT_COLUMNS", limit)
+    made = flows.build_features(df, EngineConfig(selection="selectkbest"), target="y", keys=["id"])
+    y = pdf["y"].to_numpy()
+    columns = {f"c_v{i}": (pdf["c"] == f"v{i}").to_numpy().astype(float) for i in range(1, 7)} | {"x": pdf["x"].to_numpy(), "z": pdf["z"].to_numpy()}
+    wanted = sorted(columns, key=lambda c: -place_score(columns[c], y))
+    assert made.names == ["d_out", *wanted]  # what the target determines comes first
+    rows = made.table.orderBy("id").toPandas()
+    assert all((rows[c] == columns[c]).all() for c in columns if c.startswith("c_"))
+
+
+def test_the_k_best_of_a_vector(coded):
+    df, _ = coded
+    wide = features.encode_onehot_vector(df, "c")
+    best = features.best_features(wide, ["x", "z", "c_onehot"], "y", 3)
+    assert len(best) == 3 and list(best) == features.select_k_best(wide, ["x", "z", "c_onehot"], "y", 3)
+    rows = wide.select("c", *[e.alias(n) for n, e in best.items()]).toPandas()
+    for n in best:
+        if n.startswith("c_onehot"):
+            assert (rows[n] == (rows["c"] == f"v{int(n[9:-1]) + 1}")).all()
+
+
+def test_elimination_counts_places_alike_in_both_forms(coded):
+    df, _ = coded
+    config = EngineConfig(task="classification", forest_trees=5, forest_depth=4, folds=2, parallel_fits=2)
+    narrow = features.encode_onehot(df, ["c"]).withColumn("fold", (F.col("id") % 2).cast("int"))
+    wide = features.encode_onehot_vector(df, "c").withColumn("fold", (F.col("id") % 2).cast("int"))
+    kept, ranking = features.recursive_elimination(narrow, ["x", *[f"c_v{i}" for i in range(1, 7)]], "y", "fold", config, step=2)
+    same, places = features.recursive_elimination(wide, ["x", "c_onehot"], "y", "fold", config, step=2)
+    plain = lambda n: n if n == "x" else f"c_v{int(n[9:-1]) + 1}"
+    assert [plain(n) for n in same] == kept and {plain(n): r for n, r in places.items()} == ranking
+    shown, names = features.with_places(wide, ["c_onehot[2]", "x"], ["x", "c_onehot"])
+    assert names == ["c_onehot[2]", "x"] and shown.select(F.sum("`c_onehot[2]`")).first()[0] == df.filter("c = 'v3'").count()
+    assert features.with_places(wide, [f"c_onehot[{i}]" for i in range(6)] + ["x"], ["x", "c_onehot"])[1] == ["c_onehot", "x"]
+
+
 def test_recursive_elimination_keeps_signal(spark):
     df = spark.range(400).select(
         (F.pmod(F.xxhash64("id"), F.lit(100)) / 10.0).alias("signal"),
