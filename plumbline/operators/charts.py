@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import fixed_values as fixed
@@ -163,47 +167,70 @@ def lines(df: DataFrame, x: str, y: str) -> DataFrame:
     return bars(df, x, y).orderBy("x")
 
 
-def _poisson_one(u: Column) -> Column:
-    """Poisson(1) weight for a uniform number: inverse of the distribution function."""
-    weight, density_, cumulative = F.lit(0), np.exp(-1.0), np.exp(-1.0)
-    steps = []
-    for k in range(1, 16):
-        steps.append((cumulative, k))
+def poisson_bounds(most: int = 15) -> list[float]:
+    """A uniform number has the Poisson(1) weight k when it is at or above k of these."""
+    density_, total, bounds = float(np.exp(-1.0)), 0.0, []
+    for k in range(1, most + 1):
+        total += density_
+        bounds.append(total)
         density_ /= k
-        cumulative += density_
-    for bound, k in steps:
-        weight = weight + (u >= F.lit(float(bound))).cast("int")
-    return weight
+    return bounds
+
+
+@lru_cache(maxsize=4)
+def resampling_weights(blocks: int, resamples: int, seed: int) -> np.ndarray:
+    """(block, draw) Poisson(1) weights from hashes of their numbers: the same in every task, on every run."""
+    uniform = np.fromiter(
+        (int(hashlib.md5(f"{b}|{r}|{seed}".encode()).hexdigest()[:8], 16) for b in range(blocks) for r in range(resamples)), dtype=np.float64, count=blocks * resamples
+    ).reshape(blocks, resamples) / 2.0**32
+    return np.searchsorted(np.array(poisson_bounds()), uniform, side="right").astype(np.float64)
 
 
 def bootstrap_intervals(
     df: DataFrame, x: str, y: str, key: Sequence[str] | None = None,
-    resamples: int = fixed.BOOTSTRAP_RESAMPLES, blocks: int = 1024, seed: int = 42,
+    resamples: int = fixed.BOOTSTRAP_RESAMPLES, blocks: int = 1024, seed: int = 42, estimator: str = "mean",
 ) -> DataFrame:
-    """(x, n, mean, low, high): bootstrap 95 % interval of the mean per group.
+    """(x, n, mean, low, high): bootstrap 95 % interval of the mean per group, or (x, n, sum, low, high) of the sum.
 
     Every row goes to one of ``blocks`` hash blocks of its group and the blocks are resampled with
-    Poisson(1) weights. Random blocks leave the variance of the mean unchanged in expectation, and the
-    resampling work depends on groups and blocks, not on rows. Weights are hashes of
-    (group, block, resample, seed), so results repeat. ``key`` should identify rows; all columns by default.
+    Poisson(1) weights. Random blocks leave the variance of the mean unchanged in expectation. Counts and sums of the blocks are all that is shuffled,
+    combined in each task first; then a group is one row of arrays, and all its resamples are one product with the matrix of weights,
+    which all groups share. ``key`` should identify rows; all columns by default.
     """
+    if estimator not in ("mean", "sum"):
+        raise ValueError(f"unknown estimator {estimator!r}; use 'mean' or 'sum'")
     names = list(key) if key else [n for n, t in df.dtypes if not t.startswith("map")]
-    block = F.pmod(F.xxhash64(*[F.col(quoted(n)) for n in names], F.lit(seed)), F.lit(blocks))
-    rows = df.select(F.col(quoted(x)).alias("x"), F.col(quoted(y)).cast("double").alias("y"), block.alias("block")).dropna()
-    sums = rows.groupBy("x", "block").agg(F.count("*").alias("c"), F.sum("y").alias("s"))
-    draws = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = F.pmod(F.xxhash64("x", "block", "draw", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    weighted = draws.withColumn("w", _poisson_one(u))
-    per_draw = weighted.groupBy("x", "draw").agg(
-        F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c"))).alias("m"),
-        F.sum("c").alias("n"), F.sum("s").alias("total"),
-    )
-    return per_draw.groupBy("x").agg(
-        F.max("n").alias("n"),
-        (F.max("total") / F.max("n")).alias("mean"),
-        F.percentile("m", F.lit(0.025)).alias("low"),
-        F.percentile("m", F.lit(0.975)).alias("high"),
-    )
+    text = F.concat_ws("|", *[F.col(quoted(n)).cast("string") for n in names], F.lit(str(seed)))
+    block = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % blocks
+    rows = df.select(F.col(quoted(x)).alias("x"), F.col(quoted(y)).cast("double").alias("y"), block.cast("int").alias("block")).dropna()
+    kind = rows.schema["x"].dataType.simpleString()
+    sums = rows.groupBy("x", "block").agg(F.count("*").cast("double").alias("c"), F.sum("y").alias("s"))
+    sums = sums.groupBy("x").agg(F.collect_list(F.struct("block", "c", "s")).alias("b"))  # at most one entry per block
+    sums = sums.select("x", F.col("b.block").alias("block"), F.col("b.c").alias("c"), F.col("b.s").alias("s"))
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = None
+        for batch in batches:
+            if weights is None:
+                weights = resampling_weights(blocks, resamples, seed)
+            for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
+                counts, totals = np.zeros((part.num_rows, blocks)), np.zeros((part.num_rows, blocks))
+                at = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)), part.column(1).flatten().to_numpy(zero_copy_only=False)
+                counts[at], totals[at] = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in (2, 3))
+                n, total = counts.sum(axis=1), totals.sum(axis=1)
+                value = total / n if estimator == "mean" else total
+                drawn = totals @ weights
+                if estimator == "mean":
+                    drawn_rows = counts @ weights
+                    drawn = np.divide(drawn, drawn_rows, out=np.full_like(drawn, np.nan), where=drawn_rows > 0)
+                low, high = np.nanpercentile(drawn, [2.5, 97.5], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), *map(pa.array, (value, low, high))], ["x", "n", estimator, "low", "high"])
+
+    return sums.mapInArrow(resample, f"x {kind}, n long, {estimator} double, low double, high double")
+
+
+def _bands(df: DataFrame, x: str, y: str, estimator: str = "mean") -> DataFrame:
+    return bootstrap_intervals(df, x, y, estimator=estimator).withColumnRenamed(estimator, "value")
 
 
 CHARTS = {
@@ -213,7 +240,10 @@ CHARTS = {
     "bar": bars,
     "line": lines,
     "heatmap": lambda df, x, y: correlations(df),
+    "density": lambda df, x, y: density(df, x),
 }
+# With ``"interval": "bootstrap"`` in a spec.
+BOOTSTRAPPED = {"bar": _bands, "line": lambda df, x, y: _bands(df, x, y).orderBy("x")}
 
 
 def valid_specs(columns: Sequence[str], specs: Sequence[Mapping]) -> tuple[list[dict], list[dict]]:
@@ -225,17 +255,19 @@ def valid_specs(columns: Sequence[str], specs: Sequence[Mapping]) -> tuple[list[
     for spec in specs:
         kind, title = spec.get("chart_type"), spec.get("title")
         x, y = spec.get("x_axis") or None, spec.get("y_axis") or None
-        if kind in ("histogram", "heatmap"):
+        if kind in ("histogram", "heatmap", "density"):
             y = None
         if kind == "heatmap":
             x = None
-        needed = {"histogram": [x], "heatmap": []}.get(kind, [x, y])
+        needed = {"histogram": [x], "density": [x], "heatmap": []}.get(kind, [x, y])
         if not spec.get("recommended", True):
             reason = "not recommended"
         elif not kind or not title:
             reason = "no chart type or title"
         elif kind not in CHARTS:
             reason = f"unsupported chart type {kind}"
+        elif spec.get("interval") not in (None, "normal", *(["bootstrap"] if kind in BOOTSTRAPPED else [])):
+            reason = f"unsupported interval {spec['interval']}"
         elif missing := [c for c in needed if c not in columns]:
             reason = f"no such column: {missing[0]}"
         elif (kind, x, y) in seen:
@@ -251,4 +283,5 @@ def valid_specs(columns: Sequence[str], specs: Sequence[Mapping]) -> tuple[list[
 def chart_data(df: DataFrame, specs: Sequence[Mapping]) -> tuple[list[tuple[dict, DataFrame]], list[dict]]:
     """The data of each valid chart spec, and the specs that were skipped."""
     accepted, skipped = valid_specs(df.columns, specs)
-    return [(s, CHARTS[s["chart_type"]](df, s["x_axis"], s["y_axis"])) for s in accepted], skipped
+    draw = lambda spec: (BOOTSTRAPPED if spec.get("interval") == "bootstrap" else CHARTS)[spec["chart_type"]]
+    return [(s, draw(s)(df, s["x_axis"], s["y_axis"])) for s in accepted], skipped

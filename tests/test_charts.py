@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -98,10 +99,29 @@ def test_bootstrap_interval_is_near_the_normal_one(table):
         assert 0.7 < (r["high"] - r["low"]) / (n["high"] - n["low"]) < 1.35
 
 
-def test_poisson_weights(spark):
-    u = spark.range(20_000).select(((F.col("id") + 0.5) / 20_000).alias("u"))
-    mean, var, top = u.select(charts._poisson_one(F.col("u")).alias("w")).agg(F.avg("w"), F.var_pop("w"), F.max("w")).first()
-    assert math.isclose(mean, 1.0, abs_tol=0.01) and math.isclose(var, 1.0, abs_tol=0.02) and 6 <= top <= 9
+def test_poisson_weights():
+    weights = charts.resampling_weights(40, 500, 42)
+    assert math.isclose(weights.mean(), 1.0, abs_tol=0.03) and math.isclose(weights.var(), 1.0, abs_tol=0.05) and 5 <= weights.max() <= 9
+    assert (weights == charts.resampling_weights(40, 500, 42)).all() and (weights != charts.resampling_weights(40, 500, 1)).any()
+
+
+@pytest.mark.parametrize("estimator", ["mean", "sum"])
+def test_bootstrap_written_out(spark, estimator):
+    """Against weights drawn row by row in plain Python."""
+    rows = [(i, None if i % 31 == 0 else f"g{i * i % 11}", None if i % 17 == 0 else (i * 7 % 23) - 3.5) for i in range(400)]
+    found = charts.bootstrap_intervals(spark.createDataFrame(rows, "id int, g string, v double").repartition(3), "g", "v", ["id"], 50, 8, 7, estimator)
+    hashed = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    weight = lambda u: next(k for k in range(20) if u < sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)))
+    weights = [[weight(hashed(f"{b}|{r}|7") / 2**32) for r in range(50)] for b in range(8)]
+    assert found.count() == len({g for _, g, v in rows if g and v is not None})
+    for row in found.collect():
+        own = [(v, weights[hashed(f"{i}|7") % 8]) for i, g, v in rows if g == row["x"] and v is not None]
+        sums = [(sum(v * w[r] for v, w in own), sum(w[r] for _, w in own)) for r in range(50)]
+        drawn = [s / n for s, n in sums if n] if estimator == "mean" else [s for s, _ in sums]
+        value = sum(v for v, _ in own) / (len(own) if estimator == "mean" else 1)
+        assert row["n"] == len(own) and math.isclose(row[estimator], value)
+        assert np.allclose([row["low"], row["high"]], np.percentile(drawn, [2.5, 97.5]))
+    assert charts.bootstrap_intervals(spark.createDataFrame([], "id int, g string, v double"), "g", "v").count() == 0
 
 
 def test_specs(table):
@@ -116,11 +136,15 @@ def test_specs(table):
         {"chart_type": "line", "title": "l", "x_axis": "w", "y_axis": "v", "recommended": False},
         {"chart_type": "scatter", "title": "half", "x_axis": "w"},
         {"chart_type": "heatmap", "title": "all", "x_axis": "数值", "y_axis": None},
+        {"chart_type": "line", "title": "bands", "x_axis": "w", "y_axis": "v", "interval": "bootstrap"},
+        {"chart_type": "density", "title": "curve", "x_axis": "v", "y_axis": "频率"},
+        {"chart_type": "histogram", "title": "odd", "x_axis": "w", "interval": "bootstrap"},
     ]
     drawn, skipped = charts.chart_data(df, specs)
-    assert [s["title"] for s, _ in drawn] == ["h", "b", "all"]
+    assert [s["title"] for s, _ in drawn] == ["h", "b", "all", "bands", "curve"]
     assert [s["reason"] for s in skipped] == [
         "duplicate", "no such column: nope", "unsupported chart type pie", "no chart type or title",
-        "not recommended", "no such column: None",
+        "not recommended", "no such column: None", "unsupported interval bootstrap",
     ]
-    assert drawn[0][1].count() == 20 and drawn[2][1].count() == 9
+    assert drawn[0][1].count() == 20 and drawn[2][1].count() == 9 and drawn[3][1].columns == drawn[1][1].columns and drawn[4][1].count() == 200
+    assert [r["x"] for r in drawn[3][1].collect()] == [r["x"] for r in charts.lines(df, "w", "v").collect()]

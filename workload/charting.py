@@ -1,6 +1,8 @@
 """Queries for the data behind charts."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators import charts
 from workload.tables import SALES_KEYS, SALES_SQL, rounded, sales, table
@@ -62,13 +64,39 @@ SQL["bars_sum"] = _bars_sql("region", "quantity", "sum(quantity)", "stddev_samp(
 QUERIES["lines"] = lambda s, d: rounded(charts.lines(sales(s, d), "sale_date", "profit"), 4)
 SQL["lines"] = _bars_sql("sale_date", "profit", "avg(profit)", "stddev_samp(profit) / sqrt(count(*))")
 
-QUERIES["bootstrap_intervals"] = lambda s, d: charts.bootstrap_intervals(sales(s, d), "category", "profit", SALES_KEYS)
+_WEIGHT = " + ".join(f"CAST(u >= {bound!r} AS INTEGER)" for bound in charts.poisson_bounds())
+
+
+def _bootstrap_sql(x, y, value="mean"):
+    """The same blocks and weights, from the same hashes."""
+    hashed = lambda text: f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
+    drawn, form = ("sum(w * s) / nullif(sum(w * c), 0)", "sum(s) / sum(c)") if value == "mean" else ("sum(w * s)", "sum(s)")
+    return f"""WITH {SALES_SQL}, b AS (SELECT {x} AS x, {hashed("concat_ws('|', " + ", ".join(SALES_KEYS) + ", '42')")} % 1024 AS block, count(*) AS c, sum({y}) AS s FROM sales GROUP BY ALL),
+  w AS (SELECT block, draw, {_WEIGHT} AS w FROM (SELECT block, draw, {hashed("block || '|' || draw || '|42'")} / 4294967296.0 AS u
+    FROM (SELECT unnest(range(1024)) AS block), (SELECT unnest(range(1000)) AS draw))),
+  m AS (SELECT x, draw, {drawn} AS m FROM b JOIN w USING (block) GROUP BY x, draw),
+  q AS (SELECT x, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY x)
+  SELECT x, CAST(sum(c) AS BIGINT) AS n, round({form} + 1e-7, 4) AS {value}, round(any_value(low) + 1e-7, 4) AS low, round(any_value(high) + 1e-7, 4) AS high FROM b JOIN q USING (x) GROUP BY x"""
+
+
+def _bootstrapped(x, y, estimator="mean"):
+    """Off the halves, which means of few amounts often are and which rounding sends either way."""
+    return lambda s, d: rounded(charts.bootstrap_intervals(sales(s, d), x, y, SALES_KEYS, estimator=estimator).withColumns({c: F.col(c) + 1e-7 for c in (estimator, "low", "high")}), 4)
+
+
+QUERIES["bootstrap_intervals"] = _bootstrapped("category", "profit")
+SQL["bootstrap_intervals"] = _bootstrap_sql("category", "profit")
+QUERIES["bootstrap_sums"] = _bootstrapped("region", "quantity", "sum")
+SQL["bootstrap_sums"] = _bootstrap_sql("region", "quantity", "sum")
+QUERIES["bootstrap_lines"] = _bootstrapped("sale_date", "profit")
+SQL["bootstrap_lines"] = _bootstrap_sql("sale_date", "profit")
 
 _SPECS = [
     {"chart_type": "histogram", "title": "quantities", "x_axis": "quantity", "y_axis": "frequency"},
     {"chart_type": "bar", "title": "profit by region", "x_axis": "region", "y_axis": "profit"},
     {"chart_type": "bar", "title": "twice", "x_axis": "region", "y_axis": "profit"},
     {"chart_type": "line", "title": "missing", "x_axis": "nothing", "y_axis": "profit"},
+    {"chart_type": "bar", "title": "bands", "x_axis": "category", "y_axis": "profit", "interval": "bootstrap"},
 ]
 
 
@@ -78,9 +106,10 @@ def _specs(s, d):
         df.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_marks")).select(F.lit(spec["title"]).alias("title"), "n_rows", "n_marks")
         for spec, df in drawn
     ]
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 QUERIES["chart_specs"] = _specs
 SQL["chart_specs"] = f"""WITH {SALES_SQL} SELECT 'quantities' AS title, count(*) AS n_rows, CAST(20 AS BIGINT) AS n_marks FROM sales
-  UNION ALL SELECT 'profit by region', count(*), count(DISTINCT region) FROM sales"""
+  UNION ALL SELECT 'profit by region', count(*), count(DISTINCT region) FROM sales
+  UNION ALL SELECT 'bands', count(*), count(DISTINCT category) FROM sales"""
