@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from numbers import Real
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline import fixed_values as fixed
 from plumbline.plans.roles import key_figure_roles, name_has, numeric_columns, quoted
@@ -99,75 +102,85 @@ def what_if(df: DataFrame, specs: Sequence[Mapping], mode: str = "comparable") -
     adjusted revenue and profit columns against revenue alone (else profit, else 0), as published
     reports do; unchanged data then already shows a change.
 
-    The adjustments are affine in the column, so sums and counts give every total, and a threshold
-    needs one conditional sum: the table is read once whatever the size of the grid.
+    The adjustments are affine in the column, so sums and counts give every total; a threshold needs the sum of the values below it. All thresholds
+    of a column part its values into buckets, a search over them puts each value into one, and sums from the first bucket up to a
+    threshold are its sum: the table is read once whatever the size of the grid, and neither plan nor work per row grows with it.
     """
     if mode not in ("comparable", "reference"):
         raise ValueError(f"unknown mode {mode!r}")
     numeric = numeric_columns(df)
     totals = [c for c in numeric if any(part in c for part in fixed.TOTAL_NAME_PARTS)] or numeric
-    sums: dict[str, Column] = {}
-
-    def once(name: str, expression: Column) -> Column:
-        sums.setdefault(name, F.coalesce(expression, F.lit(0.0)).alias(name))
-        return F.col(name)
-
-    place = {c: i for i, c in enumerate(numeric)}
-    value = {c: F.col(quoted(c)).cast("double") for c in numeric}
-
-    def column_sum(c: str) -> Column:
-        return once(f"sum{place[c]}", F.sum(value[c]))
+    grid, limits = [], {}
+    for position, kind, title, parameter, v in grid_rows(specs):
+        touched, effect = set(), None
+        if isinstance(v, Real):
+            touched = set(touched_columns(parameter, numeric)) & set(totals)
+            effect = adjustment(parameter, v)
+            if effect[0] == "lift_below":
+                for c in touched:
+                    limits.setdefault(c, set()).add(float(effect[1]))
+        grid.append((position, kind, title, parameter, v, touched, effect))
+    schema = (
+        "position int, scenario_type string, title string, parameter string, value double,"
+        " current_total double, scenario_total double, change double, change_pct double"
+    )
+    if not grid:
+        return df.sparkSession.createDataFrame([], schema)
+    sums, counts, below = _column_sums(df, sorted(set(totals), key=numeric.index), limits)
 
-    def adjusted(c: str, effect: tuple[str, float]) -> Column:
+    def gain(c: str, effect: tuple[str, float]) -> float:
         kind, amount = effect
         if kind == "scale":
-            return column_sum(c) * F.lit(float(amount))
+            return sums[c] * (float(amount) - 1.0)
         if kind == "shift":
-            return column_sum(c) + once(f"count{place[c]}", F.count(value[c]).cast("double")) * F.lit(float(amount))
-        name = limits.setdefault((c, amount), f"below{len(limits)}")
-        below = once(name, F.sum(F.when(value[c] < F.lit(float(amount)), value[c])))
-        return column_sum(c) + below * F.lit(fixed.THRESHOLD_FACTOR - 1)
-
-    limits: dict[tuple[str, float], str] = {}
-
-    def total_of(parts: Sequence[Column]) -> Column:
-        out = F.lit(0.0)
-        for part in parts:
-            out = out + part
-        return out
+            return counts[c] * float(amount)
+        return below[c, float(amount)] * (fixed.THRESHOLD_FACTOR - 1)
 
+    whole = sum(sums[c] for c in totals)
     if mode == "comparable":
-        current = total_of([column_sum(c) for c in totals])
+        current = whole
     else:
         found = key_figure_roles(df)
         named = [found[r] for r in ("revenue", "profit") if found.get(r) in fixed.CURRENT_TOTAL_COLUMNS]
-        current = column_sum(named[0]) if named else F.lit(0.0)
-
-    entries = []
-    for i, kind, title, parameter, v in grid_rows(specs):
-        is_number = isinstance(v, Real)
-        touched = set(touched_columns(parameter, numeric)) if is_number else set()
-        effect = adjustment(parameter, v) if is_number else None
-        after = total_of([adjusted(c, effect) if c in touched else column_sum(c) for c in totals])
+        current = sums[named[0]] if named and named[0] in sums else 0.0
+    rows = []
+    for position, kind, title, parameter, v, touched, effect in grid:
+        after = whole + sum(gain(c, effect) for c in totals if c in touched)
         change = after - current
-        pct = F.when(current == 0, F.lit(0.0)).otherwise(F.try_divide(change, current) * 100)
-        entries.append(
-            F.struct(
-                F.lit(i).alias("position"), F.lit(kind).alias("scenario_type"), F.lit(title).alias("title"),
-                F.lit(parameter).alias("parameter"),
-                F.lit(float(v) if is_number else None).cast("double").alias("value"),
-                current.alias("current_total"), after.alias("scenario_total"),
-                change.alias("change"), pct.alias("change_pct"),
-            )
-        )
-    if not entries:
-        schema = (
-            "position int, scenario_type string, title string, parameter string, value double,"
-            " current_total double, scenario_total double, change double, change_pct double"
-        )
-        return df.sparkSession.createDataFrame([], schema)
-    sums = sums or {"rows": F.count("*").alias("rows")}
-    return df.agg(*sums.values()).select(F.inline(F.array(*entries)))
+        rows.append((position, kind, title, parameter, float(v) if effect else None, current, after, change, change / current * 100 if current else 0.0))
+    return df.sparkSession.createDataFrame(pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")]).astype({"value": "float64"}), schema).replace(float("nan"), None, ["value"])
+
+
+def _column_sums(df: DataFrame, columns: Sequence[str], limits: Mapping[str, set[float]]) -> tuple[dict, dict, dict]:
+    """Sum and count of every column, and the sum of its values below each of its limits, from one pass."""
+    values = [F.col(quoted(c)).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+    if not limits:
+        aggregates = [f(f"x{i}").cast("double").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("s", F.sum), ("n", F.count))]
+        row = df.select(*values).agg(*aggregates).first() if columns else {}
+        return {c: row[f"s{i}"] or 0.0 for i, c in enumerate(columns)}, {c: row[f"n{i}"] for i, c in enumerate(columns)}, {}
+    edges = [np.array(sorted(limits.get(c, ()))) for c in columns]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(len(e) + 1) for e in edges]
+        counts = [np.zeros(len(e) + 1, dtype=np.int64) for e in edges]
+        for batch in batches:
+            for i, e in enumerate(edges):
+                x = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                bucket = np.searchsorted(e, x, side="right")  # the first limit above the value
+                sums[i] += np.bincount(bucket, x, len(e) + 1)
+                counts[i] += np.bincount(bucket, minlength=len(e) + 1)
+        for i, (s, n) in enumerate(zip(sums, counts)):
+            filled = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(filled), i, dtype=np.int32)), pa.array(filled.astype(np.int32)), pa.array(s[filled]), pa.array(n[filled])], ["c", "b", "s", "n"])
+
+    partial = df.select(*values).mapInArrow(add_up, "c int, b int, s double, n long")
+    found = partial.groupBy("c", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()  # at most a row for each limit given, and one a column
+    sums, counts = [np.zeros(len(e) + 1) for e in edges], [0] * len(edges)
+    for r in found:
+        sums[r["c"]][r["b"]] = r["s"]
+        counts[r["c"]] += r["n"]
+    below = {(c, float(limit)): float(x) for c, e, s in zip(columns, edges, sums) for limit, x in zip(e, np.cumsum(s))}
+    return {c: float(s.sum()) for c, s in zip(columns, sums)}, dict(zip(columns, counts)), below
 
 
 def business_scenarios(

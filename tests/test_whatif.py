@@ -1,7 +1,10 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from plumbline import fixed_values as fixed
 from plumbline.operators import whatif
 from plumbline.sources.tables import load_table
 from tests.goldens.scenarios import CHANGES_PCT, SPECS, TOTALS
@@ -78,3 +81,23 @@ def test_business_scenarios(spark):
     assert math.isclose(rows["sales_increase", 10.0]["profit_change_pct"], 10.0)
     assert math.isclose(rows["cost_reduction", 10.0]["profit"], 40 - 16 * 0.9)
     assert rows["price_change", 0.0]["profit_change"] == 0.0
+
+
+def test_many_thresholds_in_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"profit": rng.normal(size=500).round(1), "revenue": rng.integers(-3, 9, 500).astype(float), "note": "x"})
+    pdf.loc[::9, "profit"] = None
+    limits = [float(x) for x in rng.integers(-30, 90, 300) / 10] + [-1e9, 1e9, 3.0, 3.0]
+    specs = [{"title": "t", "parameters": {"promotion_profit_margin_threshold": limits, "profit_shift": [5], "price_change_range": ["n/a"]}}]
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "profit double, revenue double, note string").repartition(3)
+    calls = []
+    monkeypatch.setattr(whatif, "_column_sums", lambda *a, real=whatif._column_sums: calls.append(1) or real(*a))
+    rows = whatif.what_if(df, specs).collect()
+    whole, lift = pdf["profit"].sum() + pdf["revenue"].sum(), fixed.THRESHOLD_FACTOR - 1
+    assert len(calls) == 1 and len(rows) == len(limits) + 2
+    for row, limit in zip(rows, limits):
+        below = sum(pdf[c][pdf[c] < limit].sum() for c in ("profit", "revenue"))
+        assert row["value"] == limit and np.isclose(row["scenario_total"], whole + lift * below) and np.isclose(row["current_total"], whole)
+    assert np.isclose(rows[-2]["change"], 0.05 * pdf["profit"].notna().sum()) and (rows[-1]["value"], rows[-1]["change"]) == (None, 0.0)
+    empty = whatif.what_if(df.limit(0), specs).collect()
+    assert len(empty) == len(rows) and {r["scenario_total"] for r in empty} == {0.0}

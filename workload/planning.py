@@ -60,6 +60,25 @@ QUERIES["what_if"] = lambda s, d: _grid(sales(s, d).select(*SALES_NUMBERS), "com
 SQL["what_if"] = f"WITH {SALES_SQL} {_grid_sql('sales', f'({_ALL})', f'({_ALL})')}"
 
 
+# Ten thousand thresholds at once, on both columns that they touch.
+_LIMITS = [round(i * 7.5, 1) for i in range(10_000)]
+
+
+def _many_limits(s, d):
+    specs = [{"scenario_type": "limits", "title": "limits", "parameters": {"promotion_profit_margin_threshold": _LIMITS}}]
+    off_halves = {c: F.col(c) + 0.0001 for c in ("scenario_total", "change")}  # a twentieth of cents is often half a cent
+    return rounded(whatif.what_if(sales(s, d).select(*SALES_NUMBERS), specs).select("value", *off_halves).withColumns(off_halves), 2, *off_halves)
+
+
+QUERIES["what_if_thresholds"] = _many_limits
+SQL["what_if_thresholds"] = f"""WITH {SALES_SQL}, g AS (SELECT CAST(unnest(range(10000)) * 7.5 AS DOUBLE) AS value),
+  x AS (SELECT revenue AS v FROM sales UNION ALL SELECT profit FROM sales),
+  b AS (SELECT floor(v / 7.5) AS i, sum(v) AS s FROM x WHERE v < 74992.5 GROUP BY 1),
+  k AS (SELECT value, sum(coalesce(s, 0)) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM g LEFT JOIN b ON i = value / 7.5),
+  t AS (SELECT {_ALL} AS total FROM sales)
+  SELECT value, round(total + 0.05 * coalesce(below, 0) + 0.0001, 2) AS scenario_total, round(0.05 * coalesce(below, 0) + 0.0001, 2) AS change FROM k, t"""
+
+
 def _reference(s, d):
     df = sales(s, d).select(F.col("revenue").alias("销售额"), F.col("profit").alias("利润"), F.col("price").alias("价格"))
     specs = [{"scenario_type": "risk", "title": "risk", "parameters": {
