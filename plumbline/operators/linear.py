@@ -15,16 +15,15 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plumbline.functions.sums import summed
+
 # Widest matrix of products that is kept; wider models are fitted by descent on the rows, with the same optimum.
 WIDEST = 2_048
-# Numbers that travel in one row.
-_BLOCK = 16_384
 # Below this share of its own spread, what the other features leave of a feature is rounding.
 _RANK = 1e-10
 _ROUNDS = 200
@@ -67,7 +66,7 @@ class Moments:
 def moments(rows: DataFrame, part: Column, features: str = "features", label: str = "label") -> dict[int, Moments]:
     """The moments of the rows of every ``part`` (a small number); rows without a label take no part.
 
-    Each task adds up its rows and hands on its sums in blocks, which are added in a shuffle.
+    Each task adds up its rows and hands on its sums, which are added in a shuffle.
     """
     given = rows.select(part.cast("int").alias("part"), vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y")).filter("y IS NOT NULL AND part IS NOT NULL")
     first = given.select("x", "y").first()
@@ -77,7 +76,7 @@ def moments(rows: DataFrame, part: Column, features: str = "features", label: st
     width = len(origin)
     upper = np.triu_indices(width)
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         held: dict[int, list] = {}
         for batch in batches:
             if not batch.num_rows:
@@ -91,18 +90,10 @@ def moments(rows: DataFrame, part: Column, features: str = "features", label: st
                 total[0] += len(own)
                 total[1] += own.sum(axis=0)
                 total[2] += own.T @ own
-        for p, (n, sums, products) in held.items():
-            flat = np.concatenate([[n], sums, products[upper]])
-            for b, a in enumerate(range(0, len(flat), _BLOCK)):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([b], pa.int32()), pa.array([flat[a : a + _BLOCK]], pa.list_(pa.float64()))], ["part", "block", "v"])
-
-    partial = given.mapInArrow(add_up, "part int, block int, v array<double>").select("part", "block", array_to_vector("v").alias("v"))
-    blocks: dict[int, dict[int, np.ndarray]] = {}
-    for row in partial.groupBy("part", "block").agg(Summarizer.sum(F.col("v")).alias("v")).collect():
-        blocks.setdefault(row["part"], {})[row["block"]] = row["v"].toArray()
+        return {p: np.concatenate([[n], sums, products[upper]]) for p, (n, sums, products) in held.items()}
+
     found = {}
-    for p, held in blocks.items():
-        flat = np.concatenate([held[b] for b in sorted(held)])
+    for p, flat in summed(given, add_up).items():
         products = np.zeros((width, width))
         products[upper] = flat[width + 1 :]
         found[p] = Moments(float(round(flat[0])), origin, flat[1 : width + 1], products + np.triu(products, 1).T)

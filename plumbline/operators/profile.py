@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline import fixed_values as fixed
 from plumbline.functions.quantiles import MAP_LIMIT, column_quantiles
+from plumbline.functions.sums import summed
 from plumbline.plans.roles import (
     name_has,
     numeric_columns,
@@ -21,8 +22,9 @@ from plumbline.plans.roles import (
 )
 
 QUARTILES = (0.25, 0.5, 0.75)
-# More columns than this without nulls are correlated as vectors.
+# More columns than this are correlated by matrix products.
 WIDE_MATRIX = 8
+_ORIGIN_ROWS = 1_000
 
 
 def _plain_length(fmt: str) -> int | None:
@@ -174,9 +176,11 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
     First one pass for null counts, ranges and means, then plain sums of the centred values and their
     products. A column without nulls is summed once; only pairs with nulls need sums of their own. Many
-    columns without nulls are multiplied as vectors instead, since that many single sums are slow.
+    columns are multiplied as matrices instead, since that many single sums are slow.
     """
     cols = list(cols if cols is not None else numeric_columns(df))
+    if len(cols) > WIDE_MATRIX:
+        return _wide_correlations(df, cols)
     value = {c: F.col(quoted(c)).cast("double") for c in cols}
     aggs = []
     for i, v in enumerate(value.values()):
@@ -187,14 +191,6 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     # Centring first keeps the sums accurate for columns far from zero.
     centred = {c: value[c] - F.lit(first[f"mean{i}"] or 0.0) for i, c in enumerate(cols)}
     place = {c: i for i, c in enumerate(cols)}
-    known: dict[tuple[str, str], float] = {}
-    full = [c for c in cols if varies[c] and not gaps[c]]
-    if len(full) > WIDE_MATRIX:
-        # Constant columns and gaps are left out above, so every entry is defined.
-        parts = df.select(*[centred[c].alias(f"x{i}") for i, c in enumerate(full)])
-        vectors = VectorAssembler(inputCols=parts.columns, outputCol="v").transform(parts)
-        matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
-        known = {(a, b): float(matrix[i, j]) for i, a in enumerate(full) for j, b in enumerate(full)}
     sums: dict[str, Column] = {}
 
     def total(name: str, expression: Column) -> Column:
@@ -213,8 +209,6 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     def r(a: str, b: str) -> Column:
         if not (varies[a] and varies[b]):
             return F.lit(None).cast("double")
-        if (a, b) in known:
-            return F.lit(max(-1.0, min(1.0, known[a, b])))
         i, j = place[a], place[b]
         both = value[a].isNotNull() & value[b].isNotNull()
         if gaps[a] or gaps[b]:
@@ -241,6 +235,47 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.agg(*sums.values()).select(F.inline(F.array(*entries)))
 
 
+def _wide_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The same matrix from one pass of matrix products, gaps included.
+
+    With values, from an origin near them and 0 where missing, and masks of what is present, four products hold all that the pairs need: rows
+    shared, sums and sums of squares over the shared rows, sums of products. A column's values on the rows shared with another count as constant
+    when their spread is lost in rounding.
+    """
+    values = [F.col(quoted(c)).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
+    rows, width = df.select(*values), len(cols)
+    matrix = lambda batch: np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
+    some = matrix(rows.limit(_ORIGIN_ROWS).toArrow().combine_chunks())  # any origin gives the same result; one near the data keeps its digits
+    held = ~np.isnan(some)
+    origin = np.where(held, some, 0.0).sum(axis=0) / np.maximum(held.sum(axis=0), 1)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        totals = np.zeros((4, width, width))
+        for batch in batches:
+            for part in (batch.slice(a, 4096) for a in range(0, batch.num_rows, 4096)):
+                x = matrix(part) - origin
+                there = ~np.isnan(x)
+                x, mask = np.where(there, x, 0.0), there.astype(np.float64)
+                for i, (left, right) in enumerate(((mask, mask), (x, mask), (x * x, mask), (x, x))):
+                    totals[i] += left.T @ right
+        return {0: totals.reshape(-1)}
+
+    found = summed(rows, add_up).get(0, np.zeros(4 * width * width))
+    n, s, q, p = found.reshape(4, width, width)
+    n = np.round(n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = q - s * s / n  # spread of the row's column over the rows it shares with the column's
+        varies = (n > 1) & (own > 1e-12 * q) & (own > n * (1e-13 * origin[:, None]) ** 2)
+        r = (p - s * s.T / n) / np.sqrt(own * own.T)
+    r = np.clip(np.where(varies & varies.T, r, np.nan), -1.0, 1.0)
+    r[np.diag_indices(width)] = np.where(varies.diagonal(), 1.0, np.nan)
+    a, b = np.divmod(np.arange(width * width), width)
+    names = pa.array(list(cols), pa.string())
+    flat = r.reshape(-1)
+    table = pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b)), "r": pa.array(flat, mask=np.isnan(flat))})
+    return df.sparkSession.createDataFrame(table, schema="a string, b string, r double")
+
+
 def target_correlations(matrix: DataFrame, target: str) -> DataFrame:
     """The target's row of the matrix, strongest positive first, NULLs last."""
     return (

@@ -5,6 +5,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F, types as T
 
 from plumbline.config import EngineConfig
+from plumbline.functions import sums
 from plumbline.operators import linear, models
 
 
@@ -89,7 +90,7 @@ def rows(spark, data):
 
 
 def test_moments_of_parts(rows, data, monkeypatch):
-    monkeypatch.setattr(linear, "_BLOCK", 7)
+    monkeypatch.setattr(sums, "BLOCK", 7)
     z = np.column_stack(data)
     found = linear.moments(rows, F.when(F.col("part") < 3, F.col("part")))
     assert set(found) == {0, 1, 2}

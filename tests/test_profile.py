@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,26 @@ def test_correlations_match_golden(processed):
                 assert math.isclose(rows[a, b], expected, abs_tol=1e-9)
 
 
+def test_wide_correlations_with_gaps(spark):
+    """Against pandas: columns far from zero, constant ones, without a value, constant on the rows shared with another."""
+    rng = np.random.default_rng(9)
+    n, width = 400, 60
+    base = rng.normal(size=(n, 4))
+    x = base @ rng.normal(size=(4, width)) + rng.normal(size=(n, width)) + rng.choice([0, 1e6, -3e3], width)
+    x[rng.random((n, width)) < rng.random(width) * 0.6] = np.nan
+    x[:, 5], x[:, 6], x[:, 7] = 4.25, np.nan, 0.1
+    x[:, 8], x[:, 9] = np.where(np.arange(n) < 200, 2.0, np.arange(n)), np.where(np.arange(n) < 200, np.arange(n), np.nan)
+    x[1:, 10] = np.nan  # one value
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(width)])
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in pdf)).repartition(5)
+    found = profile.correlations(df).toPandas().pivot(index="a", columns="b", values="r").loc[list(pdf), list(pdf)].to_numpy()
+    assert np.allclose(found, found.T, equal_nan=True) and np.isnan(found[5]).all() and np.isnan(found[7]).all() and np.isnan(found[8, 9]) and np.isnan(found[10]).all()
+    expected = pdf.corr(min_periods=2).to_numpy()
+    plain = [i for i in range(width) if i not in (5, 6, 7, 8, 9, 10)]
+    assert np.allclose(found[np.ix_(plain, plain)], expected[np.ix_(plain, plain)], atol=1e-9, equal_nan=True)
+    assert profile.correlations(df.limit(0)).filter("r IS NOT NULL").count() == 0
+
+
 def test_target_correlations_order(processed):
     matrix = profile.correlations(processed, ["价格", "销量", "成本", "销售月份"])
     assert [r["column"] for r in profile.target_correlations(matrix, "价格").collect()] == ["价格", "成本", "销量", "销售月份"]

@@ -244,6 +244,21 @@ _CORR_SQL = f"""WITH {SALES_SQL}, gapped AS (SELECT price, quantity, profit,
 ) + ")"
 QUERIES["correlations"] = lambda s, d: rounded(profile.correlations(_gapped_sales(s, d)), 6)
 SQL["correlations"] = f"{_CORR_SQL} SELECT a, b, CAST(r AS DOUBLE) AS r FROM m"
+# Forty columns, each with gaps of its own: 780 pairs.
+_WIDE = [(f"x{i}", f"{'price quantity cost revenue profit'.split()[i % 5]} * {i % 7 + 1} + {'discount quantity price'.split()[i % 3]} * {i * i % 11}", i % 4 + 2, i) for i in range(40)]
+
+
+def _wide_sales(s, d):
+    columns = [F.expr(f"CASE WHEN (l_orderkey + l_linenumber * {i}) % {gap} > 0 THEN {value} END").alias(c) for c, value, gap, i in _WIDE]
+    return sales(s, d).select(*columns)
+
+
+QUERIES["correlations_wide"] = lambda s, d: rounded(profile.correlations(_wide_sales(s, d)), 6)
+SQL["correlations_wide"] = f"""WITH {SALES_SQL}, w AS (SELECT {", ".join(f"CASE WHEN (l_orderkey + l_linenumber * {i}) % {gap} > 0 THEN {value} END AS {c}" for c, value, gap, i in _WIDE)} FROM sales),
+  m AS (SELECT {", ".join(f"corr({a[0]}, {b[0]}) AS {a[0]}_{b[0]}" for k, a in enumerate(_WIDE) for b in _WIDE[k + 1:])} FROM w),
+  u AS (UNPIVOT m ON * INTO NAME pair VALUE r), p AS (SELECT split_part(pair, '_', 1) AS a, split_part(pair, '_', 2) AS b, round(r, 6) AS r FROM u)
+  SELECT a, b, r FROM p UNION ALL SELECT b, a, r FROM p UNION ALL SELECT c, c, 1.0 FROM (SELECT unnest({[c for c, *_ in _WIDE]}) AS c)"""
+
 QUERIES["target_correlations"] = lambda s, d: rounded(
     profile.target_correlations(profile.correlations(_gapped_sales(s, d)), "profit"), 6
 )
