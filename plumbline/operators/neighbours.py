@@ -9,15 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.ranks import first_rows
+from plumbline.operators import pivots
 from plumbline.plans.roles import quoted
-from plumbline.session import materialise
 
 # Query vectors sent to every task: bounded in number and bytes.
 QUERY_ROWS = 10_000
 QUERY_BYTES = 64 << 20
 # Rows of one side that meet in one task of the join.
 BLOCK_ROWS = 20_000
-PIVOTS = 64
 _CHUNK_CELLS = 4_000_000
 
 
@@ -51,10 +50,6 @@ def closest(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int) -> t
     return np.concatenate(out_q), np.concatenate(out_b), np.concatenate(out_d)
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype("float64") if len(vectors) else np.empty((0, 0))
-
-
 def _top(rows: DataFrame, k: int) -> DataFrame:
     """The k smallest distances per query."""
     return first_rows(rows, ["query_id"], ["distance", "id"], k, "rank")
@@ -70,7 +65,7 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_
     size = sum(len(v) * 8 for v in table["v"])
     if len(table) > QUERY_ROWS or size > QUERY_BYTES:
         return knn_join(corpus, queries, k, corpus_id, query_id, vector)
-    wanted, names = _matrix(table["v"]), table["q"].to_numpy()
+    wanted, names = pivots.matrix(table["v"]), table["q"].to_numpy()
     kind = {f.name: f.dataType.simpleString() for f in corpus.schema}[corpus_id]
     query_kind = {f.name: f.dataType.simpleString() for f in queries.schema}[query_id]
     schema = f"query_id {query_kind}, id {kind}, distance double"
@@ -81,7 +76,7 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for batch in batches:
-            q, b, d = closest(wanted, _matrix(batch["v"]), batch["id"].to_numpy(), k)
+            q, b, d = closest(wanted, pivots.matrix(batch["v"]), batch["id"].to_numpy(), k)
             found = pd.DataFrame({"q": q, "id": batch["id"].to_numpy()[b], "distance": d})
             kept = found if kept is None else pd.concat([kept, found])
             kept = kept.sort_values(["q", "distance", "id"]).groupby("q").head(k)
@@ -93,17 +88,15 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_
 
 def knn_join(
     base: DataFrame, probes: DataFrame, k: int, base_id: str, probe_id: str, vector: str = "embedding",
-    block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS,
+    block_rows: int = BLOCK_ROWS, fan_out: int = pivots.FAN_OUT, leaves: int | None = None,
 ) -> DataFrame:
     """(query_id, id, distance, rank): each probe's k nearest base rows, exact, both sides of any size.
 
-    Base rows fall into the cells of a few pivot vectors. The triangle inequality bounds each probe's
-    k-th distance and drops every cell that cannot hold a nearer row. What remains meets in blocks of at
-    most about ``block_rows`` rows per side: a full cell is split, so a cell with a third of all rows is
-    many tasks. Copies of one vector are thinned to the k that can matter before they are shuffled.
-    Blocks keep k rows per probe and never emit all pairs.
+    A tree of pivots (``pivots.build``) parts the base rows into leaves of at most ``block_rows``. Probes go down it and keep the leaves that may
+    hold a near enough row, so the rows compared with a probe depend on its surroundings and not on the size of the table. Rows and
+    probes of a leaf meet in blocks of at most about ``block_rows`` a side. Copies of one vector are thinned to the k that can matter first.
+    Blocks keep k rows per probe and never emit all pairs. ``leaves`` bounds the leaves a probe looks into, for speed at some loss.
     """
-    spark = base.sparkSession
     id_kind = base.schema[base_id].dataType.simpleString()
     probe_kind = probes.schema[probe_id].dataType.simpleString()
     base = base.select(F.col(quoted(base_id)).alias("id"), F.col(quoted(vector)).cast("array<double>").alias("v")).dropna()
@@ -112,79 +105,18 @@ def knn_join(
 
     # Of the copies of one vector only the k smallest ids can be among the k nearest.
     base = first_rows(base, ["v"], ["id"], k, "copy").drop("copy")
-
-    # Any rows do as pivots; a hash order makes the choice repeatable.
-    chosen = base.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(pivots).toPandas()
-    if not len(chosen):
-        return spark.createDataFrame([], result + ", rank int")
-    centres = _matrix(chosen["v"])
-
-    def to_pivots(m: np.ndarray) -> np.ndarray:
-        return np.sqrt(((m[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 1024):
-                part = batch.iloc[start : start + 1024]
-                d = to_pivots(_matrix(part["v"]))
-                cell = d.argmin(axis=1)
-                yield part.assign(cell=cell.astype("int32"), radius=d[np.arange(len(part)), cell])
-
-    # Read three times from here on.
-    placed = materialise(base.mapInPandas(place, f"id {id_kind}, v array<double>, cell int, radius double"), "placed")
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect()
-    near = (
-        first_rows(placed.select("cell", "radius", "id"), ["cell"], ["radius", "id"], k, "place")
-        .select("cell", "radius")
-        .collect()
-    )  # at most pivots * k rows
-    low, high = np.full(len(centres), np.inf), np.full(len(centres), -np.inf)
-    for r in stats:
-        low[r["cell"]], high[r["cell"]] = r["lo"], r["hi"]
-    near_cell = np.array([r["cell"] for r in near])
-    near_radius = np.array([r["radius"] for r in near])
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 1024):
-                part = batch.iloc[start : start + 1024]
-                d = to_pivots(_matrix(part["v"]))
-                reach = d[:, near_cell] + near_radius[None, :]
-                bound = np.partition(reach, k - 1, axis=1)[:, k - 1] if reach.shape[1] >= k else np.full(len(part), np.inf)
-                least = np.maximum(0.0, np.maximum(d - high[None, :], low[None, :] - d))
-                hit, cell = np.nonzero(least <= bound[:, None] * (1 + 1e-9) + 1e-9)
-                yield pd.DataFrame(
-                    {"query_id": part["query_id"].to_numpy()[hit], "v": part["v"].to_numpy()[hit], "cell": cell.astype("int32")}
-                )
-
-    routed = materialise(probes.mapInPandas(route, f"query_id {probe_kind}, v array<double>, cell int"), "routed")
-    probe_counts = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
-    splits = spark.createDataFrame(
-        [(r["cell"], -(-r["n"] // block_rows), -(-probe_counts.get(r["cell"], 0) // block_rows)) for r in stats],
-        "cell int, base_splits int, probe_splits int",
-    ).filter("probe_splits > 0")
-    cells = F.broadcast(splits)  # one row per pivot
-    left = (
-        placed.join(cells, "cell")
-        .withColumn("bs", F.pmod(F.xxhash64("id"), F.col("base_splits")).cast("int"))
-        .withColumn("ps", F.explode(F.sequence(F.lit(0), F.col("probe_splits") - 1)))
-        .select("cell", "bs", "ps", "id", "v")
-    )
-    right = (
-        routed.join(cells, "cell")
-        .withColumn("ps", F.pmod(F.xxhash64("query_id"), F.col("probe_splits")).cast("int"))
-        .withColumn("bs", F.explode(F.sequence(F.lit(0), F.col("base_splits") - 1)))
-        .select("cell", "bs", "ps", "query_id", "v")
-    )
+    index = pivots.build(base, block_rows, block_rows, fan_out)
+    routed = pivots.route(index, probes, k, block_rows, leaves)
+    left, right = pivots.blocks_of(index.rows, routed, block_rows)
 
     def meet(base_block: pd.DataFrame, probe_block: pd.DataFrame) -> pd.DataFrame:
         ids, names = base_block["id"].to_numpy(), probe_block["query_id"].to_numpy()
         if not len(ids) or not len(names):
             return pd.DataFrame({"query_id": names[:0], "id": ids[:0], "distance": np.empty(0)})
-        q, b, d = closest(_matrix(probe_block["v"]), _matrix(base_block["v"]), ids, k)
+        q, b, d = closest(pivots.matrix(probe_block["v"]), pivots.matrix(base_block["v"]), ids, k)
         return pd.DataFrame({"query_id": names[q], "id": ids[b], "distance": d})
 
-    block = ["cell", "bs", "ps"]
+    block = ["node", "bs", "ps"]
     pairs = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(meet, result)
     return _top(pairs, k)
 

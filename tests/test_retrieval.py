@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import neighbours, retrieval, sequences
+from plumbline.operators import neighbours, pivots, retrieval, sequences
 
 
 def brute(base, probes, k):
@@ -37,13 +37,39 @@ def test_search_is_exact(vectors):
     assert neighbours.search(corpus.limit(3), queries, 7, "id", "id").count() == 3 * 60
 
 
-@pytest.mark.parametrize("block_rows, pivots", [(20_000, 64), (25, 5), (7, 40)])
-def test_join_is_exact(vectors, block_rows, pivots):
+@pytest.mark.parametrize("block_rows, fan_out", [(20_000, 64), (25, 3), (40, 64)])
+def test_join_is_exact(vectors, block_rows, fan_out):
     corpus, queries, base, probes = vectors
-    found = neighbours.knn_join(corpus, queries, 5, "id", "id", block_rows=block_rows, pivots=pivots)
+    found = neighbours.knn_join(corpus, queries, 5, "id", "id", block_rows=block_rows, fan_out=fan_out)
     assert ranked(found) == brute(base, probes, 5)
 
 
+def test_the_tree_of_pivots(spark):
+    """Leaves are bounded, whatever holds a third of the rows; balls hold their rows; probes see a share of the rows that shrinks as there are more."""
+    rng = np.random.default_rng(6)
+    seen = {}
+    for n in (600, 2400):
+        points = rng.normal(size=(n, 3)) * 2 + 10 * rng.integers(0, 4, (n, 1))
+        points[: n // 3] = points[0]
+        base = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+        index = pivots.build(base, 40, 100, 4)
+        leaves = {r["node"]: r for r in index.nodes.filter("leaf").collect()}
+        rows = index.rows.collect()
+        assert len(rows) == n and all(r["n"] <= 40 or r["radius"] == 0 for r in leaves.values()) and index.levels > 2
+        assert all(np.linalg.norm(np.array(r["v"]) - leaves[r["node"]]["v"]) <= leaves[r["node"]]["radius"] + 1e-9 for r in rows)
+        asked = spark.createDataFrame([(i, points[-i].tolist()) for i in range(1, 41)], "query_id long, v array<double>")
+        routed = pivots.route(index, asked, 3, 20).collect()
+        seen[n] = sum(min(leaves[r["node"]]["n"], 40) for r in routed) / 40 / n
+    assert seen[2400] < 0.9 * seen[600] and seen[2400] < 0.2
+
+
+def test_few_leaves_find_most(vectors):
+    corpus, queries, base, probes = vectors
+    exact = brute(base, probes, 5)
+    found = ranked(neighbours.knn_join(corpus, queries, 5, "id", "id", block_rows=30, leaves=4))
+    assert sum(len(set(found[q]) & set(exact[q])) for q in exact) >= 0.9 * sum(map(len, exact.values()))
+
+
 def test_many_queries_take_the_join(vectors, monkeypatch):
     corpus, queries, base, probes = vectors
     monkeypatch.setattr(neighbours, "QUERY_ROWS", 10)
