@@ -17,13 +17,13 @@ from pyspark.sql.types import BooleanType
 
 from plumbline.config import EngineConfig
 from plumbline.functions.lookup import BROADCAST_ROWS, attach, bounded_copy
+from plumbline.functions.ranks import with_rank
 from plumbline.operators.profile import unpivot
 from plumbline.plans.roles import datetime_columns, numeric_columns, quoted
 from plumbline.session import materialise
 
 # Widest one-hot block written as separate columns; beyond it the sparse vector form applies.
 ONEHOT_COLUMNS = 2_000
-_RANK_BUCKETS = 1_000
 
 
 def category_values(df: DataFrame, cols: Sequence[str], limit: int) -> dict[str, list[str] | None]:
@@ -69,36 +69,18 @@ def encode_onehot_vector(df: DataFrame, column: str, output: str | None = None)
     return encoder.fit(size).transform(indexed).drop("_index")
 
 
-def label_ranks(df: DataFrame, column: str, buckets: int = _RANK_BUCKETS, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def label_ranks(df: DataFrame, column: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(column, label, n): 0-based rank of each sorted distinct value.
 
-    Few values are ranked in one small window. Many are split at sampled boundary values into buckets
-    that are ranked apart and shifted by the sizes of the buckets before, so no task sorts them all.
+    Few values are ranked in one small window. Many are put in order by one range partitioning, whose partition sizes give the ranks,
+    so no task sorts them all and no value is compared with more than its neighbours.
     """
     counts = df.filter(F.col(quoted(column)).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     small = bounded_copy(counts, max_rows)
     if small is not None:
         order = Window.partitionBy(F.lit(0)).orderBy(column)
         return small.select(column, (F.row_number().over(order) - 1).cast("bigint").alias("label"), "n")
-
-    counts = materialise(counts, "ranks")  # read several times from here on
-    # Boundary values only place the cuts; ranks are exact whatever they are.
-    by_hash = F.xxhash64(column)
-    picked = counts.select(column).orderBy(by_hash, column).limit(buckets * 20).collect()
-    values = sorted(r[0] for r in picked)
-    cuts = values[:: max(1, len(values) // buckets)]
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.col(quoted(column))))
-    placed = counts.withColumn("_bucket", bucket)
-    sizes = placed.groupBy("_bucket").count().orderBy("_bucket").collect()  # at most buckets + 1 rows
-    offsets, before = [], 0
-    for r in sizes:
-        offsets.append((r["_bucket"], before))
-        before += r["count"]
-    shift = df.sparkSession.createDataFrame(offsets, "_bucket int, _before bigint")
-    order = Window.partitionBy("_bucket").orderBy(column)
-    return placed.join(F.broadcast(shift), "_bucket").select(
-        column, (F.col("_before") + F.row_number().over(order) - 1).alias("label"), "n"
-    )
+    return with_rank(counts, [quoted(column)], "label").select(column, "label", "n")
 
 
 def encode_label(df: DataFrame, cols: Sequence[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -162,3 +162,19 @@ def test_sequences(series, segment_rows, key):
 
 def test_default_steps():
     assert sequences.default_steps(42) == 4 and sequences.default_steps(10_000) == 30
+
+
+@pytest.mark.parametrize("segment_rows", [10_000, 50])
+def test_packed_windows_hold_no_copies(spark, segment_rows):
+    """The same samples as windows, from at most twice the rows; a key is NULL, one holds a third of the rows, one has too few."""
+    rows = [(None if i % 5 == 0 else "hot" if i % 3 == 0 else f"k{i % 7}", i // 2, i, float(i * 37 % 101), None if i % 11 == 0 else i) for i in range(900)] + [("few", 0, 1000, 1.0, 1)]
+    df = spark.createDataFrame(rows, "k string, t int, id int, x double, y int").repartition(4)
+    for steps, pack in ((1, 1), (4, 16), (60, 8)):
+        packed = sequences.packed_windows(df, ["t", "id"], ["x", "t"], "y", steps, "k", segment_rows, pack)
+        key = lambda r: (r["k"] or "", r["id"])
+        found, wanted = sequences.expanded(packed, steps), sequences.sequence_windows(df, ["t", "id"], ["x", "t"], "y", steps, "k")
+        assert found.columns == wanted.columns and sorted(found.collect(), key=key) == sorted(wanted.collect(), key=key)
+        assert packed.select(F.sum(F.size("x"))).first()[0] <= 2 * len(rows)
+    assert sequences.expanded(sequences.packed_windows(df.limit(0), ["t"], ["x"], "y", 3), 3).count() == 0
+    with pytest.raises(ValueError):
+        sequences.packed_windows(df, ["t"], ["x"], "y", 0)

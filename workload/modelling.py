@@ -269,6 +269,31 @@ QUERIES["sequence_windows_segmented"] = _windows(40)
 SQL["sequence_windows_segmented"] = _WINDOWS_SQL
 
 
+def _packed(key, steps, segment_rows=sequences.SEGMENT_ROWS):
+    """Packed segments, read back sample by sample."""
+
+    def run(s, d):
+        packed = sequences.packed_windows(table(s, d, "events"), ["ts", "event_id"], ["value"], "value", steps, key, segment_rows)
+        out = sequences.expanded(packed, steps)
+        total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x[0])
+        return rounded(out.select("event_id", "label", F.size("window").alias("steps"), total.alias("total"), F.element_at("window", 1)[0].alias("first"), F.element_at("window", -1)[0].alias("last")), 4, "total")
+
+    return run
+
+
+def _packed_sql(key, steps):
+    window = f"WINDOW w AS ({f'PARTITION BY {key} ' if key else ''}ORDER BY ts, event_id ROWS BETWEEN {steps} PRECEDING AND 1 PRECEDING)"
+    return f"""WITH o AS (SELECT event_id, value AS label, CAST(count(*) OVER w AS INTEGER) AS steps, sum(value) OVER w AS total, first_value(value) OVER w AS first, last_value(value) OVER w AS last FROM events {window})
+  SELECT event_id, label, steps, round(total, 4) AS total, first, last FROM o WHERE steps = {steps}"""
+
+
+QUERIES["sequence_packed"] = _packed("user_id", 5)
+SQL["sequence_packed"] = _packed_sql("user_id", 5)
+# Long windows over one series, in segments ranked apart.
+QUERIES["sequence_packed_long"] = _packed(None, 200, 700)
+SQL["sequence_packed_long"] = _packed_sql(None, 200)
+
+
 def _null_key_windows(s, d):
     """A third of all rows has no key and is cut into segments."""
     df = table(s, d, "events").withColumn("user_id", F.expr("CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END"))
