@@ -20,7 +20,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.config import EngineConfig
 from plumbline.functions.lookup import attach
@@ -290,8 +290,12 @@ class NearestNeighbours:
         self.k = k
 
     def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``prediction``; rows are told apart by ``id``, which is made up where there is none."""
+        given = rows.columns
+        if "id" not in given:
+            rows = materialise(rows.withColumn("id", F.monotonically_increasing_id().cast("string")), "probes")
         probes = rows.select("id", vector_to_array("features").alias("v"))
-        return rows.join(knn_classify(self.train, probes, "label", "id", "v", self.k), "id")
+        return rows.join(knn_classify(self.train, probes, "label", "id", "v", self.k), "id").select(*given, "prediction")
 
 
 CLASSIFIERS: dict[str, Callable] = {
@@ -353,6 +357,29 @@ def _mean_and_deviation(scores: Sequence[float | None]) -> tuple[float, float]:
     return mean, (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
 
 
+@dataclass
+class NeighbourPipeline:
+    """Assembler and nearest neighbours: transforms like a pipeline; its training rows are saved with it."""
+
+    assembler: VectorAssembler
+    model: NearestNeighbours
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.model.transform(self.assembler.transform(rows))
+
+    def save(self, path: str) -> None:
+        PipelineModel([self.assembler]).write().overwrite().save(f"{path}/assembler")
+        self.model.train.withColumn("k", F.lit(self.model.k)).write.mode("overwrite").parquet(f"{path}/neighbours")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "NeighbourPipeline":
+        rows = spark.read.parquet(f"{path}/neighbours")
+        first = rows.select("k").first()
+        model = NearestNeighbours.__new__(NearestNeighbours)
+        model.train, model.k = rows.drop("k"), first["k"] if first else 5
+        return cls(PipelineModel.load(f"{path}/assembler").stages[0], model)
+
+
 @dataclass
 class Leaderboard:
     table: DataFrame
@@ -360,9 +387,12 @@ class Leaderboard:
     best: str
     data: ModelData
 
-    def best_pipeline(self) -> PipelineModel:
+    def best_pipeline(self) -> PipelineModel | NeighbourPipeline:
         """Assembler and winner as one saveable model."""
-        return PipelineModel([self.data.assembler, self.models[self.best]])
+        winner = self.models[self.best]
+        if isinstance(winner, NearestNeighbours):
+            return NeighbourPipeline(self.data.assembler, winner)
+        return PipelineModel([self.data.assembler, winner])
 
 
 def _linear_board(data: ModelData, names: Sequence[str], config: EngineConfig) -> tuple[dict, dict[str, dict[str, float | None]]]:

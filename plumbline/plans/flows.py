@@ -122,16 +122,12 @@ def time_series_samples(
 
 
 def save_all(results: Mapping[str, DataFrame], board: models.Leaderboard, config: EngineConfig, folder: str) -> dict[str, str]:
-    """Writes what ``run_all`` returns: the cleaned table, the features, every report under ``folder``, the best model.
-
-    A winner that is no stage of a saved pipeline (nearest neighbours hold their training rows) is left out.
-    """
+    """Writes what ``run_all`` returns: the cleaned table, the features, every report under ``folder``, the best model whatever it is."""
     kind = lambda path: "parquet" if ".parquet" in path else "csv"
     flat = {"cleaned": config.processed_path, "features": config.features_path}
     paths = {name: save_table(results[name], path, kind(path)) for name, path in flat.items()}
     paths |= save_results({n.replace(": ", "-"): t for n, t in results.items() if n not in flat}, folder, "parquet")
-    if not isinstance(board.models[board.best], models.NearestNeighbours):
-        paths["model"] = save_model(board.best_pipeline(), config.model_path)
+    paths["model"] = save_model(board.best_pipeline(), config.model_path)
     return paths
 
 

@@ -72,14 +72,25 @@ def save_results(tables: Mapping[str, DataFrame], folder: str, fmt: str = "csv")
     return {name: save_table(df, f"{folder.rstrip('/')}/{name}", fmt) for name, df in tables.items()}
 
 
-def save_model(model: PipelineModel, path: str | None = None, config: EngineConfig = EngineConfig()) -> str:
+def save_model(model, path: str | None = None, config: EngineConfig = EngineConfig()) -> str:
+    """A pipeline of Spark's, or any model that saves itself; training rows that are part of a model are written with it."""
     path = path or config.model_path
-    model.write().overwrite().save(path)
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(path)
+    else:
+        model.save(path)
     return path
 
 
-def load_model(path: str | None = None, config: EngineConfig = EngineConfig()) -> PipelineModel:
-    return PipelineModel.load(path or config.model_path)
+def load_model(path: str | None = None, config: EngineConfig = EngineConfig()):
+    """The model saved at ``path``, ready to transform."""
+    path = path or config.model_path
+    spark = SparkSession.active()
+    if _exists(spark, f"{path}/neighbours"):
+        from plumbline.operators.models import NeighbourPipeline
+
+        return NeighbourPipeline.load(spark, path)
+    return PipelineModel.load(path)
 
 
 # Largest file that is read as one document.

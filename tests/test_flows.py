@@ -7,7 +7,7 @@ from plumbline.operators import derive, features, models, neighbours
 from plumbline.config import EngineConfig
 from plumbline.plans import flows
 from plumbline.session import materialise
-from plumbline.sources.tables import load_model, load_table
+from plumbline.sources.tables import load_model, load_table, save_model
 from tests.goldens.scenarios import SPECS
 
 FAST = EngineConfig(selection="selectkbest", forest_trees=3, forest_depth=4, boosting_stages=3, folds=3)
@@ -121,3 +121,16 @@ def test_saved_results(spark, raw, tmp_path):
     assert load_table(spark, paths["leaderboard"], "parquet").count() == 2
     scored = load_model(paths["model"]).transform(load_table(spark, paths["features"]))
     assert scored.filter("prediction IS NOT NULL").count() == scored.count() > 0
+
+
+def test_a_neighbour_that_wins_is_saved(spark, tmp_path):
+    df = spark.range(120).selectExpr("id", "CAST(id % 12 AS double) AS a", "CAST(id % 5 AS double) AS b", "CAST(id % 12 < 6 AS int) + 2 * CAST(id % 12 % 2 AS int) AS kind")
+    config = replace(FAST, task="classification")
+    data = models.prepare(df, ["a", "b"], "kind", ["id"], config)
+    board = models.leaderboard(data, config, ["nearest_neighbours"])
+    path = save_model(board.best_pipeline(), str(tmp_path / "model"))
+    rows = df.select("id", "a", "b")
+    again = {r["id"]: r["prediction"] for r in load_model(path).transform(rows).collect()}
+    assert again == {r["id"]: r["prediction"] for r in board.best_pipeline().transform(rows).collect()} and len(again) == 120
+    without = load_model(path).transform(rows.select("a", "b"))
+    assert without.columns == ["a", "b", "features", "prediction"] and without.count() == 120
