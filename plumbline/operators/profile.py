@@ -27,23 +27,28 @@ WIDE_MATRIX = 8
 _ORIGIN_ROWS = 1_000
 
 
-def _plain_length(fmt: str) -> int | None:
-    """Length of every text a purely numeric pattern can parse; None for other patterns."""
+def _plain_shape(fmt: str) -> str | None:
+    """What every text that a purely numeric pattern can parse looks like with its digits as 0; None for other patterns."""
     fields = re.findall(r"[A-Za-z]+", fmt.replace("'T'", " "))
-    return len(fmt.replace("'T'", "T")) if set(fields) <= {"yyyy", "MM", "dd", "HH", "mm", "ss", "yyyyMMdd"} else None
+    return re.sub(r"[A-SU-Za-z]", "0", fmt.replace("'T'", "T")) if set(fields) <= {"yyyy", "MM", "dd", "HH", "mm", "ss", "yyyyMMdd"} else None
 
 
 def parsed_datetime(column: str, formats: Sequence[str] = fixed.DATETIME_FORMATS) -> Column:
     """The first accepted pattern that parses; NULL when none does, never an error.
 
-    A failed parse is costly, so a pattern is only tried on texts of its length.
+    A failed parse is costly, so the shape of a text, its digits as 0, chooses the patterns that are tried on it: with patterns of
+    different shapes one at most, and none on a text that looks like no date.
     """
     text = F.trim(F.col(quoted(column)))
-    tries = []
-    for f in formats:
-        parsed, length = F.try_to_timestamp(text, F.lit(f)), _plain_length(f)
-        tries.append(F.when(F.length(text) == length, parsed) if length else parsed)
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    shape = F.translate(text, "123456789", "0" * 9)
+    shapes = [_plain_shape(f) for f in formats]
+    parse = lambda f: F.try_to_timestamp(text, F.lit(f))
+    if all(shapes):
+        chosen = F.lit(None).cast("timestamp")
+        for known in reversed(list(dict.fromkeys(shapes))):
+            chosen = F.when(shape == known, F.coalesce(*[parse(f) for f, s in zip(formats, shapes) if s == known])).otherwise(chosen)
+        return chosen.cast("timestamp_ntz")
+    return F.coalesce(*[F.when(shape == s, parse(f)) if s else parse(f) for f, s in zip(formats, shapes)]).cast("timestamp_ntz")
 
 
 def unparsed(column: str, formats: Sequence[str] = fixed.DATETIME_FORMATS) -> Column:

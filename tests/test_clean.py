@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import clean
+from plumbline.operators import clean, profile
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +96,14 @@ def test_nominal(spark):
     assert rows == {"few": (3, True), "ten_with_null": (10, False), "many": (100, False)}
     tagged = clean.tag_nominal(df)
     assert [clean.is_nominal(tagged, c) for c in df.columns] == [True, False, False]
+
+
+def test_a_text_is_parsed_by_formats_of_its_shape_only(spark):
+    formats = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyyMMdd"]
+    texts = ["2024-02-29", "2023-02-29", "12/31/2024", "31/12/2024", "2024-01-02T03:04:05", "20240102", " 2024-01-02 ", "2024/01/02", "n/a", "", None, "0000-00-00", "２０２４-01-02"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    show = lambda f: [None if r[0] is None else str(r[0]) for r in df.select(profile.parsed_datetime("t", f)).collect()]
+    day = lambda d, t="00:00:00": f"{d} {t}"
+    wanted = [day("2024-02-29"), None, day("2024-12-31"), day("2024-12-31"), day("2024-01-02", "03:04:05"), day("2024-01-02"), day("2024-01-02")] + [None] * 6
+    assert show(formats) == wanted
+    assert show([*formats, "d MMM yyyy"]) == wanted  # next to a pattern that has no single shape
