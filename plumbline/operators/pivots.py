@@ -43,6 +43,7 @@ class PivotIndex:
     rows: DataFrame
     nodes: DataFrame
     levels: int
+    total: int
 
 
 def _split(rows: DataFrame, other: DataFrame, count: str, size: int, salt: str) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +64,7 @@ def build(base: DataFrame, leaf_rows: int, block_rows: int, fan_out: int = FAN_O
     root = spark.createDataFrame([(0, None, 0, None, float("inf"), total, total <= leaf_rows)], "node long, parent long, level int, v array<double>, radius double, n long, leaf boolean")
     done, nodes, level = [], [root], 0
     if total <= leaf_rows:
-        return PivotIndex(large, root, 0)
+        return PivotIndex(large, root, 0, total)
 
     def nearest(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
@@ -95,7 +96,7 @@ def build(base: DataFrame, leaf_rows: int, block_rows: int, fan_out: int = FAN_O
             break
         large = kinds.filter("NOT leaf").select("id", "v", "node")
     union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    return PivotIndex(union(done), union(nodes), level)
+    return PivotIndex(union(done), union(nodes), level, total)
 
 
 def _bounded(found: DataFrame, k: int) -> DataFrame:
@@ -112,8 +113,9 @@ def route(index: PivotIndex, probes: DataFrame, k: int, block_rows: int, leaves:
     Exact, unless ``leaves`` says how many of the nearest leaves a probe looks into at most.
     """
     kind = probes.schema["query_id"].dataType.simpleString()
-    root = index.nodes.filter("level = 0").select("node", "n", "leaf")
-    at = probes.crossJoin(F.broadcast(root)).withColumns({"low": F.lit(0.0), "high": F.lit(float("inf"))})  # one row
+    # The root's number is computed, as a join on a literal would have no key left.
+    root = {"node": F.pmod(F.xxhash64("query_id"), F.lit(1).cast("long")), "n": F.lit(index.total).cast("long"), "leaf": F.lit(not index.levels), "low": F.lit(0.0), "high": F.lit(float("inf"))}
+    at = probes.select("query_id", "v").withColumns(root)
 
     def descend(asked: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "v", "node", "n", "leaf", "low", "high"]
