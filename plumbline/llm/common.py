@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Sequence
@@ -23,6 +24,14 @@ def once(key, make):
     return held[key]
 
 
+def give_back() -> None:
+    """Hands memory that a task has freed back to the system: workers wait beside the shuffles and joins of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def body(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column), F.lit(""))

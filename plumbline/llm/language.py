@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.llm.common import once, pieces_of
+from plumbline.llm.common import give_back, once, pieces_of
 
 SLOTS = 1 << 16  # counters for contexts of three letters, and as many for four
 PENALTY = 12.0
@@ -211,6 +211,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
                 kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("label", pa.string())]))
                 arrays, names = [*arrays, pa.array(runs, kind)], [*names, "spans"]
             yield pa.RecordBatch.from_arrays(arrays, names)
+            del found, arrays
+        give_back()
 
     shape = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"]
     return given.mapInArrow(predict, ", ".join(shape + (["spans array<struct<first:int,words:int,label:string>>"] if spans else [])))

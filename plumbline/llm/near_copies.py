@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import body, narrow, pieces_of, with_rows, without
+from plumbline.llm.common import body, give_back, narrow, pieces_of, with_rows, without
 from plumbline.session import materialise
 
 BANDS = 9  # hashes in each of the two collections; their square is the number of tables
@@ -95,6 +95,8 @@ def _signatures(size: int, bands: int, rows: int):
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.int64()), pa.array(others, pa.int64()), pa.array(bands_of, pa.list_(pa.int64()))],
                 ["_id", "_n", "_p", "_o", "_bands"],
             )
+        known.clear()
+        give_back()
 
     return signed
 
@@ -105,6 +107,9 @@ def _sets(size: int):
         for batch in (part for whole in batches for part in pieces_of(whole, "_text", 4 << 20)):
             sets = [shingle_set(text.as_py(), known, size).astype(np.int64) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_id", "_set"])
+            del sets
+        known.clear()
+        give_back()
 
     return made
 
