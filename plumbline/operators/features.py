@@ -7,13 +7,13 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PCA, OneHotEncoder, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from plumbline.config import EngineConfig
 from plumbline.functions.lookup import BROADCAST_ROWS, attach, bounded_copy
@@ -60,13 +60,21 @@ def encode_onehot_vector(df: DataFrame, column: str, output: str | None = None)
     Position i stands for the (i+1)-th sorted value; the smallest value and NULL are all zeros.
     """
     ranks = label_ranks(df, column)
-    last = ranks.count() - 1
-    # The encoder drops its last index, so the smallest value and NULL get that one.
-    index = F.when(F.col("label") > 0, F.col("label") - 1).otherwise(F.lit(last))
-    indexed = attach(df, ranks, [column], "n").withColumn("_index", index.cast("double")).drop("label")
-    size = df.sparkSession.createDataFrame([(float(max(last, 0)),)], "_index double")
-    encoder = OneHotEncoder(inputCols=["_index"], outputCols=[output or f"{column}_onehot"], dropLast=True)
-    return encoder.fit(size).transform(indexed).drop("_index")
+    width = max(ranks.count() - 1, 0)
+    coded = attach(df, ranks, [column], "n")
+    hot = F.col("label") > 0
+    place = F.when(hot, F.array((F.col("label") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    one = F.when(hot, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>"))
+    parts = F.struct(F.lit(0).alias("type"), F.lit(width).alias("size"), place.alias("indices"), one.alias("values"))
+    # The encoder of MLlib names every place in the column's metadata, on the driver; here it only knows how many there are.
+    name = output or f"{column}_onehot"
+    kept = [F.col(quoted(c)) for c in df.columns if c != name]
+    return coded.select(*kept, _sparse(parts).alias(name, metadata={"ml_attr": {"num_attrs": width}}))
+
+
+def _sparse(parts: Column) -> Column:
+    """A sparse vector from the struct of its stored form (type 0, size, indices, values); only JSON reads a struct into a type of the user's."""
+    return F.from_json(F.to_json(F.struct(parts.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
 
 
 def label_ranks(df: DataFrame, column: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:

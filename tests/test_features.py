@@ -45,6 +45,19 @@ def test_onehot_edges(spark):
     assert [list(r["s_onehot"].toArray()) for r in vectors] == [[0.0], [0.0], [1.0]]
 
 
+def test_a_wide_onehot_vector_names_no_places(spark):
+    """The column's description does not grow with its values; places, the first value and NULL are as in a narrow one."""
+    df = spark.range(3000).select("id", F.when(F.col("id") < 2990, F.format_string("v%05d", F.col("id"))).alias("s"))
+    wide = features.encode_onehot_vector(df, "s")
+    assert wide.columns == ["id", "s", "s_onehot"] and len(wide.schema["s_onehot"].json()) < 1000
+    for r in wide.collect():
+        assert r["s_onehot"].size == 2989 and list(r["s_onehot"].indices) == ([r["id"] - 1] if 0 < r["id"] < 2990 else [])
+        assert list(r["s_onehot"].values) == [1.0] * (0 < r["id"] < 2990)
+    single = features.encode_onehot_vector(df.filter("id > 2988"), "s").collect()
+    assert len(single) == 11 and all(r["s_onehot"].size == 0 for r in single)
+    assert features.assemble_vector(wide, ["s_onehot", "id"]).first()["features"].size == 2990
+
+
 @pytest.mark.parametrize("max_rows", [50_000, 3])
 def test_label_encoding(spark, max_rows):
     df = spark.range(400).select("id", F.concat(F.lit("v"), (F.col("id") * 7 % 60).cast("string")).alias("s"))
