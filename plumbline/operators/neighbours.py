@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,36 +18,49 @@ QUERY_ROWS = 10_000
 QUERY_BYTES = 64 << 20
 # Rows of one side that meet in one task of the join.
 BLOCK_ROWS = 20_000
-_CHUNK_CELLS = 4_000_000
+# Leaves that a table of any size is parted into at least; beyond that, leaves grow up to BLOCK_ROWS before there are more of them.
+MOST_LEAVES = 16
+# Hits (queries times k) that a task keeps at most.
+KEPT_HITS = 1_000_000
+_CHUNK_CELLS = 1_000_000
 
 
 def closest(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, base position, distance) of each query's k nearest rows, ties to the smaller id.
 
     A matrix product finds candidates; their distances are then taken directly, so results do not
-    depend on how rows were batched.
+    depend on how rows were batched. The k-th of a part of the rows bounds what the others are worth.
     """
     if not len(base) or not len(queries):
         return np.empty(0, int), np.empty(0, int), np.empty(0)
     norms = np.einsum("ij,ij->i", base, base)
+    order = np.argsort(ids, kind="stable")
+    places = np.empty(len(ids), int)
+    places[order] = np.arange(len(ids))  # compared in place of the ids, which may be texts
+    turned = np.ascontiguousarray(-2.0 * base.T)
+    part_of = len(base) if len(base) <= 16 * k else max(16 * k, 1_000)
     out_q, out_b, out_d = [], [], []
-    step = max(1, _CHUNK_CELLS // len(base))
+    step = max(1, min(_CHUNK_CELLS // len(base), _CHUNK_CELLS // (16 * k)))
     for start in range(0, len(queries), step):
         part = queries[start : start + step]
-        own = np.einsum("ij,ij->i", part, part)
-        rough = own[:, None] + norms[None, :] - 2.0 * (part @ base.T)
-        slack = 1e-9 * (1.0 + own + norms.max())
+        rough = part @ turned
+        rough += norms
+        slack = 1e-9 * (1.0 + np.einsum("ij,ij->i", part, part) + norms.max())
         if len(base) > k:
-            kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+            kth = np.partition(rough[:, :part_of], k - 1, axis=1)[:, k - 1]
         else:
             kth = np.full(len(part), np.inf)
-        for i in range(len(part)):
-            near = np.flatnonzero(rough[i] <= kth[i] + slack[i])
-            exact = np.sqrt(((base[near] - part[i]) ** 2).sum(axis=1))
-            best = np.lexsort((ids[near], exact))[:k]
-            out_q.append(np.full(len(best), start + i))
-            out_b.append(near[best])
-            out_d.append(exact[best])
+        row, near = np.nonzero(rough <= (kth + slack)[:, None])
+        del rough
+        exact = np.concatenate([
+            np.sqrt(((base[near[i : i + 50_000]] - part[row[i : i + 50_000]]) ** 2).sum(axis=1)) for i in range(0, len(near), 50_000)
+        ])
+        best = np.lexsort((places[near], exact, row))
+        first = np.searchsorted(row, np.arange(len(part)))  # a query's candidates stay together
+        best = best[np.arange(len(best)) - first[row[best]] < k]
+        out_q.append(start + row[best])
+        out_b.append(near[best])
+        out_d.append(exact[best])
     return np.concatenate(out_q), np.concatenate(out_b), np.concatenate(out_d)
 
 
@@ -59,31 +73,43 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_
     """(query_id, id, distance, rank): the k rows of ``corpus`` nearest to each query, ascending, exact.
 
     ``queries`` within QUERY_ROWS and QUERY_BYTES go to every task, which scans its part of the corpus
-    once and keeps k rows per query. More queries take the blocked join.
+    once and keeps k rows per query. Queries that would have it keep more than KEPT_HITS rows are parted, and every part scans the corpus.
+    More queries take the blocked join.
     """
     table = queries.select(F.col(quoted(query_id)).alias("q"), F.col(quoted(vector)).alias("v")).dropna().limit(QUERY_ROWS + 1).toPandas()
     size = sum(len(v) * 8 for v in table["v"])
     if len(table) > QUERY_ROWS or size > QUERY_BYTES:
         return knn_join(corpus, queries, k, corpus_id, query_id, vector)
-    wanted, names = pivots.matrix(table["v"]), table["q"].to_numpy()
     kind = {f.name: f.dataType.simpleString() for f in corpus.schema}[corpus_id]
     query_kind = {f.name: f.dataType.simpleString() for f in queries.schema}[query_id]
     schema = f"query_id {query_kind}, id {kind}, distance double"
     if not len(table):
         return corpus.sparkSession.createDataFrame([], schema + ", rank int")
     rows = corpus.select(F.col(quoted(corpus_id)).alias("id"), F.col(quoted(vector)).alias("v")).dropna()
+    step = max(1, KEPT_HITS // k)
+    parts = [_scanned(rows, pivots.matrix(table["v"][i : i + step]), table["q"].to_numpy()[i : i + step], k, schema) for i in range(0, len(table), step)]
+    return _top(reduce(DataFrame.unionByName, parts), k)
+
+
+def _scanned(rows: DataFrame, wanted: np.ndarray, names: np.ndarray, k: int, schema: str) -> DataFrame:
+    """(query_id, id, distance): the k nearest of each task's ``rows`` to every vector of ``wanted``."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+        q, ids, d = np.empty(0, int), None, np.empty(0)
         for batch in batches:
-            q, b, d = closest(wanted, pivots.matrix(batch["v"]), batch["id"].to_numpy(), k)
-            found = pd.DataFrame({"q": q, "id": batch["id"].to_numpy()[b], "distance": d})
-            kept = found if kept is None else pd.concat([kept, found])
-            kept = kept.sort_values(["q", "distance", "id"]).groupby("q").head(k)
-        if kept is not None:
-            yield pd.DataFrame({"query_id": names[kept["q"]], "id": kept["id"], "distance": kept["distance"]})
+            found, b, apart = closest(wanted, pivots.matrix(batch["v"]), batch["id"].to_numpy(), k)
+            if ids is None:
+                q, ids, d = found, batch["id"].to_numpy()[b], apart
+                continue
+            q, ids, d = np.concatenate([q, found]), np.concatenate([ids, batch["id"].to_numpy()[b]]), np.concatenate([d, apart])
+            best = np.lexsort((ids, d, q))
+            first = np.searchsorted(q[best], np.arange(len(wanted)))
+            best = best[np.arange(len(best)) - first[q[best]] < k]
+            q, ids, d = q[best], ids[best], d[best]
+        for i in range(0, len(q), 100_000):
+            yield pd.DataFrame({"query_id": names[q[i : i + 100_000]], "id": ids[i : i + 100_000], "distance": d[i : i + 100_000]})
 
-    return _top(rows.mapInPandas(scan, schema), k)
+    return rows.mapInPandas(scan, schema)
 
 
 def knn_join(
@@ -92,9 +118,10 @@ def knn_join(
 ) -> DataFrame:
     """(query_id, id, distance, rank): each probe's k nearest base rows, exact, both sides of any size.
 
-    A tree of pivots (``pivots.build``) parts the base rows into leaves of at most ``block_rows``. Probes go down it and keep the leaves that may
-    hold a near enough row, so the rows compared with a probe depend on its surroundings and not on the size of the table. Rows and
-    probes of a leaf meet in blocks of at most about ``block_rows`` a side. Copies of one vector are thinned to the k that can matter first.
+    A tree of pivots (``pivots.build``) parts the base rows into leaves of at most ``block_rows``, or a share of 1 / MOST_LEAVES of the rows if that is
+    more. Probes go down it and keep the leaves that may hold a near enough row, so the rows compared with a probe depend on its surroundings.
+    Where vectors are so alike in distance that no leaf can be left out, every probe meets every row. Rows and
+    probes of a leaf meet in blocks of at most about BLOCK_ROWS a side. Copies of one vector are thinned to the k that can matter first.
     Blocks keep k rows per probe and never emit all pairs. ``leaves`` bounds the leaves a probe looks into, for speed at some loss.
     """
     id_kind = base.schema[base_id].dataType.simpleString()
@@ -105,9 +132,9 @@ def knn_join(
 
     # Of the copies of one vector only the k smallest ids can be among the k nearest.
     base = first_rows(base, ["v"], ["id"], k, "copy").drop("copy")
-    index = pivots.build(base, block_rows, block_rows, fan_out)
-    routed = pivots.route(index, probes, k, block_rows, leaves)
-    left, right = pivots.blocks_of(index.rows, routed, block_rows)
+    index = pivots.build(base, block_rows, BLOCK_ROWS, fan_out, None if leaves is not None else MOST_LEAVES)
+    routed = pivots.route(index, probes, k, BLOCK_ROWS, leaves)
+    left, right = pivots.blocks_of(index.rows, routed, BLOCK_ROWS, probe_rows=max(1, min(BLOCK_ROWS, KEPT_HITS // k)))
 
     def meet(base_block: pd.DataFrame, probe_block: pd.DataFrame) -> pd.DataFrame:
         ids, names = base_block["id"].to_numpy(), probe_block["query_id"].to_numpy()

@@ -55,12 +55,18 @@ def _split(rows: DataFrame, other: DataFrame, count: str, size: int, salt: str)
     return left, right
 
 
-def build(base: DataFrame, leaf_rows: int, block_rows: int, fan_out: int = FAN_OUT) -> PivotIndex:
-    """The index of ``base`` (id, v). Leaves hold at most ``leaf_rows`` rows, unless they are copies of one vector."""
+def build(base: DataFrame, leaf_rows: int, block_rows: int, fan_out: int = FAN_OUT, most_leaves: int | None = None) -> PivotIndex:
+    """The index of ``base`` (id, v). Leaves hold at most ``leaf_rows`` rows, unless they are copies of one vector.
+
+    With ``most_leaves`` they may hold that share of the rows, up to ``block_rows``, so that a probe which no ball turns away is not sent to
+    ever more of them.
+    """
     spark = base.sparkSession
     id_kind = base.schema["id"].dataType.simpleString()
     large = materialise(base.select("id", "v", F.lit(0).cast("long").alias("node")), "pivot-rows")
     total = large.count()
+    if most_leaves is not None:
+        leaf_rows = max(leaf_rows, min(block_rows, -(-total // most_leaves)))
     root = spark.createDataFrame([(0, None, 0, None, float("inf"), total, total <= leaf_rows)], "node long, parent long, level int, v array<double>, radius double, n long, leaf boolean")
     done, nodes, level = [], [root], 0
     if total <= leaf_rows:
@@ -101,9 +107,9 @@ def build(base: DataFrame, leaf_rows: int, block_rows: int, fan_out: int = FAN_O
 
 def _bounded(found: DataFrame, k: int) -> DataFrame:
     """Without the nodes that cannot hold one of the k nearest rows: as many rows as k are certain within the bound of the others."""
-    reach = F.when(F.sum("n").over(Window.partitionBy("query_id").orderBy("high", "node").rowsBetween(Window.unboundedPreceding, 0)) >= k, F.col("high"))
+    reach = F.when(F.sum("n").over(Window.partitionBy("probe").orderBy("high", "node").rowsBetween(Window.unboundedPreceding, 0)) >= k, F.col("high"))
     held = found.withColumn("_reach", reach)
-    bound = F.coalesce(F.min("_reach").over(Window.partitionBy("query_id")), F.lit(float("inf")))
+    bound = F.coalesce(F.min("_reach").over(Window.partitionBy("probe")), F.lit(float("inf")))
     return held.withColumn("_bound", bound).filter(F.col("low") <= F.col("_bound") * (1 + _SLACK) + _SLACK).drop("_reach", "_bound")
 
 
@@ -112,40 +118,48 @@ def route(index: PivotIndex, probes: DataFrame, k: int, block_rows: int, leaves:
 
     Exact, unless ``leaves`` says how many of the nearest leaves a probe looks into at most.
     """
-    kind = probes.schema["query_id"].dataType.simpleString()
+    # Only numbers of probes travel with the nodes; their vectors are joined where they are needed.
+    probes = materialise(probes.select("query_id", "v").withColumn("probe", F.monotonically_increasing_id()), "probes")
     # The root's number is computed, as a join on a literal would have no key left.
-    root = {"node": F.pmod(F.xxhash64("query_id"), F.lit(1).cast("long")), "n": F.lit(index.total).cast("long"), "leaf": F.lit(not index.levels), "low": F.lit(0.0), "high": F.lit(float("inf"))}
-    at = probes.select("query_id", "v").withColumns(root)
+    root = {"node": F.pmod(F.xxhash64("probe"), F.lit(1).cast("long")), "n": F.lit(index.total).cast("long"), "leaf": F.lit(not index.levels), "low": F.lit(0.0), "high": F.lit(float("inf"))}
+    at = probes.select("probe").withColumns(root)
 
     def descend(asked: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "v", "node", "n", "leaf", "low", "high"]
+        """One row per probe, its children in arrays, without those that the others rule out."""
+        names = ["probe", "node", "n", "leaf", "low", "high"]
         if not len(asked) or not len(children):
-            return pd.DataFrame({c: asked[c][:0] for c in names})
+            return pd.DataFrame({c: pd.Series([], dtype="object") for c in names})
         apart = distances(matrix(asked["v"]), matrix(children["c"]))
-        radius = children["radius"].to_numpy()
+        radius, sizes = children["radius"].to_numpy(), children["n"].to_numpy()
         low = np.maximum(asked["low"].to_numpy()[:, None], np.maximum(apart - radius, 0.0))
-        rows, cols = np.indices(apart.shape).reshape(2, -1)
-        return pd.DataFrame({
-            "query_id": asked["query_id"].to_numpy()[rows], "v": asked["v"].to_numpy()[rows], "node": children["child"].to_numpy()[cols], "n": children["n"].to_numpy()[cols],
-            "leaf": children["leaf"].to_numpy()[cols], "low": low.reshape(-1), "high": (apart + radius).reshape(-1),
-        })[names]
+        high = apart + radius
+        order = high.argsort(axis=1, kind="stable")
+        certain = sizes[order].cumsum(axis=1) >= k
+        first = np.take_along_axis(high, np.take_along_axis(order, certain.argmax(axis=1)[:, None], 1), 1)
+        bound = np.where(certain[:, -1:], first, np.inf)
+        near = low <= bound * (1 + _SLACK) + _SLACK
+        found = {"node": children["child"].to_numpy(), "n": sizes, "leaf": children["leaf"].to_numpy()}
+        out = {name: [values[keep] for keep in near] for name, values in found.items()}
+        return pd.DataFrame({"probe": asked["probe"].to_numpy(), **out, "low": [x[keep] for x, keep in zip(low, near)], "high": [x[keep] for x, keep in zip(high, near)]})
 
     for level in range(1, index.levels + 1):
         children = index.nodes.filter(F.col("level") == level).select(F.col("parent").alias("node"), F.col("node").alias("child"), F.col("v").alias("c"), "radius", "n", "leaf")
-        left, right = _split(at.filter("NOT leaf"), children, "blocks", max(1, block_rows // 8), "query_id")
-        shape = f"query_id {kind}, v array<double>, node long, n long, leaf boolean, low double, high double"
-        below = left.groupBy("node", "block").cogroup(right.groupBy("node", "block")).applyInPandas(descend, shape)
+        asked = at.filter("NOT leaf").select("probe", "node", "low").join(probes.select("probe", "v"), "probe")
+        left, right = _split(asked, children, "blocks", max(1, block_rows // 8), "probe")
+        shape = "probe long, node array<long>, n array<long>, leaf array<boolean>, low array<double>, high array<double>"
+        packed = left.groupBy("node", "block").cogroup(right.groupBy("node", "block")).applyInPandas(descend, shape)
+        below = packed.select("probe", F.inline(F.arrays_zip("node", "n", "leaf", "low", "high")))
         at = materialise(_bounded(at.filter("leaf").select(*below.columns).unionByName(below), k), "pivot-routes")
     if leaves is not None:
-        at = first_rows(at, ["query_id"], ["low", "high", "node"], leaves, "_place")
-    return at.select("query_id", "v", "node")
+        at = first_rows(at, ["probe"], ["low", "high", "node"], leaves, "_place")
+    return at.select("probe", "node").join(probes, "probe").select("query_id", "v", "node")
 
 
-def blocks_of(rows: DataFrame, routed: DataFrame, block_rows: int, names: Sequence[str] = ("id", "query_id")) -> tuple[DataFrame, DataFrame]:
+def blocks_of(rows: DataFrame, routed: DataFrame, block_rows: int, names: Sequence[str] = ("id", "query_id"), probe_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides dealt over blocks of bounded size; every block of a leaf's rows meets every block of the probes routed to it."""
     row_id, probe_id = names
     counts = rows.groupBy("node").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("bs_n"))
-    counts = counts.join(routed.groupBy("node").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("ps_n")), "node")
+    counts = counts.join(routed.groupBy("node").agg(F.ceil(F.count("*") / (probe_rows or block_rows)).cast("int").alias("ps_n")), "node")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cell = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
     left = rows.join(counts, "node").withColumn("bs", cell(row_id, "bs_n")).withColumn("ps", every("ps_n")).select("node", "bs", "ps", row_id, "v")

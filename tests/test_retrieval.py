@@ -76,6 +76,40 @@ def test_many_queries_take_the_join(vectors, monkeypatch):
     assert ranked(neighbours.search(corpus, queries, 3, "id", "id")) == brute(base, probes, 3)
 
 
+def test_vectors_alike_in_distance_are_not_sent_to_ever_more_leaves(spark, monkeypatch):
+    """No ball turns a probe away in 48 dimensions: what a probe is sent to stays bounded, whatever leaves were asked for, and results are exact."""
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(1500, 48))
+    base = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embedding array<double>").cache()
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 300)  # leaves meet the probes in several blocks
+    asked = base.filter("id % 5 = 0")
+    index = pivots.build(base.toDF("id", "v"), 10, 300, most_leaves=neighbours.MOST_LEAVES)
+    sent = pivots.route(index, asked.toDF("query_id", "v"), 3, 300)
+    found = ranked(neighbours.knn_join(base, asked, 3, "id", "id", block_rows=10))
+    assert found == brute(list(enumerate(points)), [(i, points[i]) for i in range(0, 1500, 5)], 3)
+    assert sent.count() < 300 * 5 * neighbours.MOST_LEAVES
+
+
+def test_closest_takes_ties_by_id_whatever_is_bounded_first():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 3, (2500, 4)).astype(float)
+    ids = np.array([f"i{x}" for x in rng.permutation(2500)], dtype=object)
+    asked = base[:40] + 0.0
+    q, b, d = neighbours.closest(asked, base, ids, 30)
+    for i in range(40):
+        apart = np.sqrt(((base - asked[i]) ** 2).sum(axis=1))
+        wanted = sorted(zip(apart, ids))[:30]
+        assert list(zip(d[q == i], ids[b[q == i]])) == wanted
+
+
+def test_a_scan_keeps_a_bounded_number_of_hits(vectors, monkeypatch):
+    corpus, queries, base, probes = vectors
+    monkeypatch.setattr(neighbours, "KEPT_HITS", 100)
+    found = neighbours.search(corpus, queries, 7, "id", "id")
+    assert ranked(found) == brute(base, probes, 7)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 5  # 60 queries, 14 a scan
+
+
 def test_classify_votes(vectors):
     corpus, queries, base, probes = vectors
     train = corpus.withColumn("y", (F.col("id") % 4).cast("int"))
