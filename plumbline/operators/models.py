@@ -268,8 +268,19 @@ def _is_binary(train: DataFrame) -> bool:
     return train.agg(F.max("label")).first()[0] <= 1.0
 
 
+# Numbers of the feature vectors in one task of a fit that passes over the rows hundreds of times.
+_TASK_CELLS = 8_000_000
+
+
+def _few_tasks(train: DataFrame, rows: int) -> DataFrame:
+    """``train`` in no more tasks than its size asks for: each step of a fit is a job, and starting tasks costs more than short ones take."""
+    return train.coalesce(max(1, -(-rows * linear.width_of(train, "features") // _TASK_CELLS)))
+
+
 def _linear_svm(train: DataFrame, config: EngineConfig):
-    machine = LinearSVC(regParam=1.0 / max(1, train.count()), maxIter=50, tol=1e-4)
+    rows = train.count()
+    train = _few_tasks(train, rows)
+    machine = LinearSVC(regParam=1.0 / max(1, rows), maxIter=50, tol=1e-4)
     return (machine if _is_binary(train) else OneVsRest(classifier=machine, parallelism=config.parallel_fits)).fit(train)
 
 

@@ -156,6 +156,21 @@ def test_classification_leaderboard(table, target):
             assert r["test_roc_auc"] > 0.7, (name, r)
 
 
+def test_machines_are_fitted_in_as_few_tasks_as_the_size_asks_for(table, monkeypatch):
+    """Hundreds of passes over few rows: one task each, with the same machine; more rows keep more tasks."""
+    df, pdf = table
+    data = models.prepare(df.repartition(8), ["a", "b", "c"], "flag", ["id"], EngineConfig(task="classification"))
+    rows, seen = data.rows.repartition(8), []
+    whole = models.LinearSVC(regParam=1.0 / 400, maxIter=50, tol=1e-4).fit(rows)
+    fit = models.LinearSVC.fit
+    monkeypatch.setattr(models.LinearSVC, "fit", lambda self, train: seen.append(train.rdd.getNumPartitions()) or fit(self, train))
+    model = models._linear_svm(rows, FAST)
+    assert seen == [1] and np.allclose(model.coefficients.toArray(), whole.coefficients.toArray(), rtol=1e-3, atol=1e-3)
+    monkeypatch.setattr(models, "_TASK_CELLS", 400)
+    models._linear_svm(rows, FAST)
+    assert seen == [1, 3]
+
+
 def test_logistic_matches_newton(table):
     df, pdf = table
     data = models.prepare(df, ["a", "b", "c"], "flag", ["id"], EngineConfig(task="classification"))
