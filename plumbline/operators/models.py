@@ -26,7 +26,7 @@ from plumbline.config import EngineConfig
 from plumbline.functions.lookup import attach
 from plumbline.functions.quantiles import MAP_LIMIT, order_statistics
 from plumbline.functions.ranks import with_rank
-from plumbline.operators import linear
+from plumbline.operators import cells, linear
 from plumbline.operators.features import label_ranks, vector_columns
 from plumbline.operators.neighbours import knn_classify
 from plumbline.plans.roles import quoted
@@ -237,13 +237,38 @@ def _least(train: DataFrame, name: str, solver: Callable, label: str = "label",
     return linear.fit(train, solver, features, label)
 
 
+def _counted(train: DataFrame, trees: int, config: EngineConfig) -> cells.Cells | None:
+    """Training rows counted by bins and fold, where rows are told apart and share bins."""
+    if "id" not in train.columns:
+        return None
+    return cells.counted(train, F.col("fold") if "fold" in train.columns else F.lit(0), F.col("id"), trees, config.seed)
+
+
+def _cell_forest(counted: cells.Cells, config: EngineConfig):
+    return cells.forest(counted, config.forest_trees, config.forest_depth, config.seed)
+
+
+def _cell_boosted(counted: cells.Cells, config: EngineConfig):
+    return cells.boosted(counted, config.boosting_stages, 3, 0.1, config.seed)
+
+
+# Fits that need no more than counted cells.
+_FROM_CELLS = {"random_forest": _cell_forest, "gradient_boosting": _cell_boosted}
+
+
 def _forest_regressor(train: DataFrame, config: EngineConfig):
+    counted = _counted(train, config.forest_trees, config)
+    if counted is not None:
+        return _cell_forest(counted, config)
     return RandomForestRegressor(
         numTrees=config.forest_trees, maxDepth=config.forest_depth, featureSubsetStrategy="all", seed=config.seed
     ).fit(train)
 
 
 def _boosted_regressor(train: DataFrame, config: EngineConfig):
+    counted = _counted(train, 0, config)
+    if counted is not None:
+        return _cell_boosted(counted, config)
     return GBTRegressor(maxIter=config.boosting_stages, maxDepth=3, stepSize=0.1, seed=config.seed).fit(train)
 
 
@@ -406,6 +431,22 @@ class Leaderboard:
         return PipelineModel([self.data.assembler, winner])
 
 
+def _errors(models: Mapping[str, object], data: ModelData) -> dict[str, dict[str, float | None]]:
+    """Scores of fitted regressors on both parts, all from one pass over the rows."""
+    predicted = data.rows
+    for name, model in models.items():
+        predicted = model.copy().setPredictionCol(f"_{name}").transform(predicted)
+    y, aggregates = F.col("label"), []
+    for name in models:
+        off = y - F.col(f"_{name}")
+        aggregates += [F.avg(off * off).alias(f"{name}_mse"), F.avg(F.abs(off)).alias(f"{name}_mae"), (1 - F.try_divide(F.avg(off * off), F.var_pop(y))).alias(f"{name}_r2")]
+    scores: dict[str, dict[str, float | None]] = {name: {} for name in models}
+    for row in predicted.filter(y.isNotNull()).groupBy("is_test").agg(*aggregates).collect():
+        for name in models:
+            scores[name] |= {f"{'test' if row['is_test'] else 'train'}_{m}": row[f"{name}_{m}"] for m in ("mse", "mae", "r2")}
+    return scores
+
+
 def _linear_board(data: ModelData, names: Sequence[str], config: EngineConfig) -> tuple[dict, dict[str, dict[str, float | None]]]:
     """Models and scores of the linear ones: all folds of all of them from one pass, their errors from another."""
     parts = linear.moments(data.rows, F.when(F.col("is_test"), F.lit(-1)).otherwise(F.col("fold")))
@@ -415,17 +456,7 @@ def _linear_board(data: ModelData, names: Sequence[str], config: EngineConfig) -
         raise ValueError("no training rows to fit models on")
     models = {name: linear.as_model(data.rows.sparkSession, *linear.SOLVERS[name](whole)) for name in names}
 
-    predicted = data.rows
-    for name in names:
-        predicted = models[name].copy().setPredictionCol(f"_{name}").transform(predicted)
-    y, aggregates = F.col("label"), []
-    for name in names:
-        off = y - F.col(f"_{name}")
-        aggregates += [F.avg(off * off).alias(f"{name}_mse"), F.avg(F.abs(off)).alias(f"{name}_mae"), (1 - F.try_divide(F.avg(off * off), F.var_pop(y))).alias(f"{name}_r2")]
-    scores: dict[str, dict[str, float | None]] = {name: {} for name in names}
-    for row in predicted.filter(y.isNotNull()).groupBy("is_test").agg(*aggregates).collect():
-        for name in names:
-            scores[name] |= {f"{'test' if row['is_test'] else 'train'}_{m}": row[f"{name}_{m}"] for m in ("mse", "mae", "r2")}
+    scores = _errors(models, data)
     for name in names:
         held = []
         for f in range(config.folds):
@@ -435,6 +466,27 @@ def _linear_board(data: ModelData, names: Sequence[str], config: EngineConfig) -
     return models, scores
 
 
+def _tree_board(data: ModelData, names: Sequence[str], config: EngineConfig) -> tuple[dict, dict[str, dict[str, float | None]]]:
+    """Models and scores of tree ensembles, all fits from one count of cells; none where the rows share no cells."""
+    counted = _counted(data.train, config.forest_trees if "random_forest" in names else 0, config)
+    if counted is None:
+        return {}, {}
+
+    def held(task: tuple[str, int]) -> float | None:
+        name, fold = task
+        return cells.r2(_FROM_CELLS[name](counted.without(fold), config), counted.only(fold))
+
+    tasks = [(name, fold) for name in names for fold in range(config.folds)]
+    with ThreadPoolExecutor(config.parallel_fits) as pool:
+        whole = {name: pool.submit(_FROM_CELLS[name], counted, config) for name in names}
+        parts = dict(zip(tasks, pool.map(held, tasks)))
+        models = {name: fit.result() for name, fit in whole.items()}
+    scores = _errors(models, data)
+    for name in names:
+        scores[name]["cv_mean"], scores[name]["cv_std"] = _mean_and_deviation([parts[name, fold] for fold in range(config.folds)])
+    return models, scores
+
+
 def leaderboard(data: ModelData, config: EngineConfig = EngineConfig(), names: Sequence[str] | None = None) -> Leaderboard:
     """Fit every model, score it on both parts, cross-validate it, rank by test R2 or accuracy."""
     fits = REGRESSORS if config.task == "regression" else CLASSIFIERS
@@ -443,6 +495,10 @@ def leaderboard(data: ModelData, config: EngineConfig = EngineConfig(), names: S
     names = list(names if names is not None else fits)
     summed = [n for n in names if fits is REGRESSORS and n in linear.SOLVERS and len(data.slots) <= linear.WIDEST]
     models, scores = _linear_board(data, summed, config) if summed else ({}, {})
+    grown = [n for n in names if fits is REGRESSORS and n in _FROM_CELLS]
+    if grown:
+        from_cells = _tree_board(data, grown, config)
+        models, scores = models | from_cells[0], scores | from_cells[1]
     for name in names:
         if name not in models:
             models[name] = fits[name](data.train, config)
