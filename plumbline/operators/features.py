@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -18,6 +19,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from plumbline.config import EngineConfig
 from plumbline.functions.lookup import BROADCAST_ROWS, attach, bounded_copy
 from plumbline.functions.ranks import with_rank
+from plumbline.operators import cells
 from plumbline.operators.profile import unpivot
 from plumbline.plans.roles import datetime_columns, numeric_columns, quoted
 from plumbline.session import materialise
@@ -329,16 +331,14 @@ def _evaluator(task: str, target: str):
     return RegressionEvaluator(labelCol=target, metricName="r2")
 
 
-def _eliminate(train: DataFrame, slots: Sequence[int], config: EngineConfig, step: int | None, stop: int, score_on: DataFrame | None) -> tuple[list[list[int]], list[float]]:
-    """Fit, score, drop the weakest, repeat down to ``stop`` places of the vector ``all``."""
+def _eliminate(fit: Callable, score: Callable | None, slots: Sequence[int], step: int | None, stop: int) -> tuple[list[list[int]], list[float]]:
+    """Fit, score, drop the weakest, repeat down to ``stop`` places; ``fit`` and ``score`` are told the places left."""
     left, kept, scores = list(slots), [], []
-    evaluator = _evaluator(config.task, "y")
     while True:
-        slicer = VectorSlicer(inputCol="all", outputCol="features", indices=left)
-        model = _forest(config.task, config, "features", "y").fit(slicer.transform(train).select("features", "y"))
+        model = fit(left)
         kept.append(list(left))
-        if score_on is not None:
-            scores.append(evaluator.evaluate(model.transform(slicer.transform(score_on))))
+        if score is not None:
+            scores.append(score(model, left))
         if len(left) <= stop:
             return kept, scores
         weight = dict(zip(left, model.featureImportances.toArray()))
@@ -356,24 +356,42 @@ def recursive_elimination(
     Each fold eliminates on its training rows and scores every subset on its held-out rows; the size
     with the best mean score (the smallest on a tie) is then eliminated to on all rows. Kept features
     rank 1, the others by the round that dropped them. A vector column counts as one feature per place, named ``vector[place]``, like the
-    columns it stands for. A round drops ``step`` features, by default one of up to 19 and a tenth of more. Rows are assembled and written once; every fit reads them, folds side by side.
+    columns it stands for. A round drops ``step`` features, by default one of up to 19 and a tenth of more. Rows are assembled and written once; every fit reads them,
+    or for regression their counted cells (``cells.counted``) where rows share them, folds side by side.
     """
     features = list(features)
     vectors = vector_columns(df, features)
     names = [n for f in features for n in ([f"{f}[{i}]" for i in range(vectors[f])] if f in vectors else [f])]
     cols = [F.col(quoted(c)) if c in vectors else F.col(quoted(c)).cast("double").alias(c) for c in features]
     rows = assemble_vector(df.select(*cols, F.col(quoted(target)).cast("double").alias("_y"), F.col(quoted(fold)).alias("_part")), features, "_all")
-    data = materialise(rows.select(F.col("_all").alias("all"), F.col("_y").alias("y"), F.col("_part").alias("part")), "elimination")
+    rows = rows.select(F.col("_all").alias("all"), F.col("_y").alias("y"), F.col("_part").alias("part"), F.monotonically_increasing_id().alias("row"))
+    data = materialise(rows, "elimination")
+    counted = None if config.task == "classification" else cells.counted(data, F.col("part"), F.col("row"), config.forest_trees, config.seed, "all", "y")
+    evaluator = _evaluator(config.task, "y")
+    slicer = lambda left: VectorSlicer(inputCol="all", outputCol="features", indices=left)
+
+    def fitted(part: int | None, left: list[int]):
+        if counted is not None:
+            train = counted if part is None else counted.without(part)
+            return cells.forest(train.places(left), config.forest_trees, config.forest_depth, config.seed)
+        train = data if part is None else data.filter(F.col("part") != part)
+        return _forest(config.task, config, "features", "y").fit(slicer(left).transform(train).select("features", "y"))
+
+    def scored(part: int, model, left: list[int]) -> float:
+        if counted is not None:
+            found = cells.r2(model, counted.only(part).places(left))
+            return float("nan") if found is None else found
+        return evaluator.evaluate(model.transform(slicer(left).transform(data.filter(F.col("part") == part))))
 
     def run(i: int) -> tuple[list[list[int]], list[float]]:
-        return _eliminate(data.filter(F.col("part") != i), range(len(names)), config, step, min_features, data.filter(F.col("part") == i))
+        return _eliminate(partial(fitted, i), partial(scored, i), range(len(names)), step, min_features)
 
     with ThreadPoolExecutor(config.parallel_fits) as pool:
         runs = list(pool.map(run, range(config.folds)))
     sizes = [len(s) for s in runs[0][0]]
     totals = [sum(scores[i] for _, scores in runs) for i in range(len(sizes))]
     best = max(range(len(sizes)), key=lambda i: (totals[i], -sizes[i]))
-    kept, _ = _eliminate(data, range(len(names)), config, step, sizes[best], None)
+    kept, _ = _eliminate(partial(fitted, None), None, range(len(names)), step, sizes[best])
     ranking = {names[i]: 1 for i in kept[-1]}
     for rank, subset in enumerate(reversed(kept[:-1]), start=2):
         ranking |= {names[i]: rank for i in subset if names[i] not in ranking}

@@ -8,7 +8,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from plumbline.config import EngineConfig
-from plumbline.operators import cells, models
+from plumbline.operators import cells, features, models
 from plumbline.sources.tables import load_model, save_model
 
 CONFIG = EngineConfig(forest_trees=6, forest_depth=4, boosting_stages=4, folds=3, parallel_fits=3)
@@ -76,12 +76,15 @@ def test_cells_do_not_grow_with_the_rows(spark, rows):
     assert cells.counted(apart, F.lit(0), F.col("id"), 2, 42) is None  # hardly two rows alike: the rows themselves are read
 
 
-def test_board_fits_on_cells(spark, monkeypatch):
+def test_board_and_elimination_fit_on_cells(spark, monkeypatch):
     df = rows_of(spark, 12_000)
-    for place, name in ((models, "RandomForestRegressor"), (models, "GBTRegressor")):
+    for place, name in ((models, "RandomForestRegressor"), (models, "GBTRegressor"), (features, "RandomForestRegressor")):
         monkeypatch.setattr(place, name, refuse)
     data = models.prepare(df, ["a", "b", "c"], "y", ["id"], CONFIG)
     board = models.leaderboard(data, CONFIG, ["random_forest", "gradient_boosting"])
     found = {r["model"]: r for r in board.table.collect()}
     assert found["random_forest"]["test_r2"] > 0.9 and found["random_forest"]["cv_mean"] > 0.9 and found["random_forest"]["train_mae"] > 0
     assert [r["feature"] for r in models.importance_ranking(df, board.models, data.features).filter("rank = 1").collect()] == ["a", "a"]
+    folded = df.withColumn("fold", (F.col("id") % 3).cast("int"))
+    kept, ranking = features.recursive_elimination(folded, ["c", "a", "b"], "y", "fold", CONFIG)
+    assert set(kept) == {"a", "b"} and ranking == {"a": 1, "b": 1, "c": 2}
