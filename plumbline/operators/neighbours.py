@@ -7,8 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from plumbline.functions.memory import give_back
 from plumbline.functions.ranks import first_rows
 from plumbline.operators import pivots
 from plumbline.plans.roles import quoted
@@ -23,6 +26,8 @@ MOST_LEAVES = 16
 # Hits (queries times k) that a task keeps at most.
 KEPT_HITS = 1_000_000
 _CHUNK_CELLS = 1_000_000
+# Candidates whose distances are taken at a time.
+_CHUNK_PAIRS = 10_000
 
 
 def closest(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,7 +42,7 @@ def closest(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int) -> t
     order = np.argsort(ids, kind="stable")
     places = np.empty(len(ids), int)
     places[order] = np.arange(len(ids))  # compared in place of the ids, which may be texts
-    turned = np.ascontiguousarray(-2.0 * base.T)
+    turned = np.multiply(base.T, -2.0, order="C")
     part_of = len(base) if len(base) <= 16 * k else max(16 * k, 1_000)
     out_q, out_b, out_d = [], [], []
     step = max(1, min(_CHUNK_CELLS // len(base), _CHUNK_CELLS // (16 * k)))
@@ -53,7 +58,7 @@ def closest(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int) -> t
         row, near = np.nonzero(rough <= (kth + slack)[:, None])
         del rough
         exact = np.concatenate([
-            np.sqrt(((base[near[i : i + 50_000]] - part[row[i : i + 50_000]]) ** 2).sum(axis=1)) for i in range(0, len(near), 50_000)
+            np.sqrt(((base[near[i : i + _CHUNK_PAIRS]] - part[row[i : i + _CHUNK_PAIRS]]) ** 2).sum(axis=1)) for i in range(0, len(near), _CHUNK_PAIRS)
         ])
         best = np.lexsort((places[near], exact, row))
         first = np.searchsorted(row, np.arange(len(part)))  # a query's candidates stay together
@@ -136,15 +141,17 @@ def knn_join(
     routed = pivots.route(index, probes, k, BLOCK_ROWS, leaves)
     left, right = pivots.blocks_of(index.rows, routed, BLOCK_ROWS, probe_rows=max(1, min(BLOCK_ROWS, KEPT_HITS // k)))
 
-    def meet(base_block: pd.DataFrame, probe_block: pd.DataFrame) -> pd.DataFrame:
-        ids, names = base_block["id"].to_numpy(), probe_block["query_id"].to_numpy()
-        if not len(ids) or not len(names):
-            return pd.DataFrame({"query_id": names[:0], "id": ids[:0], "distance": np.empty(0)})
-        q, b, d = closest(pivots.matrix(probe_block["v"]), pivots.matrix(base_block["v"]), ids, k)
-        return pd.DataFrame({"query_id": names[q], "id": ids[b], "distance": d})
+    types = to_arrow_type(probes.schema["query_id"].dataType), to_arrow_type(base.schema["id"].dataType)
+
+    def meet(base_block: pa.Table, probe_block: pa.Table) -> pa.Table:
+        if not base_block.num_rows or not probe_block.num_rows:
+            return pa.table({})
+        q, b, d = closest(pivots.dense(probe_block["v"]), pivots.dense(base_block["v"]), base_block["id"].to_numpy(), k)
+        give_back()
+        return pa.table({"query_id": probe_block["query_id"].take(pa.array(q)).cast(types[0]), "id": base_block["id"].take(pa.array(b)).cast(types[1]), "distance": d})
 
     block = ["node", "bs", "ps"]
-    pairs = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(meet, result)
+    pairs = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(meet, result)
     return _top(pairs, k)
 
 

@@ -13,8 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from plumbline.functions.memory import give_back
 from plumbline.functions.ranks import first_rows
 from plumbline.session import materialise
 
@@ -22,17 +26,35 @@ FAN_OUT = 64
 # Levels after which a node stays as it is; each divides the rows by up to FAN_OUT.
 MOST_LEVELS = 16
 _SLACK = 1e-9
+# Rows whose distances are taken at a time.
+_STRIP = 4_096
 
 
 def matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype("float64") if len(vectors) else np.empty((0, 0))
 
 
+def dense(vectors: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a list column as rows of a matrix, without an object for each of them."""
+    if not len(vectors):
+        return np.empty((0, 0))
+    widths = pc.min_max(pc.list_value_length(vectors)).as_py()
+    if widths["min"] != widths["max"]:
+        raise ValueError(f"vectors of {widths['min']} to {widths['max']} numbers in one column")
+    out, done = np.empty((len(vectors), widths["min"])), 0
+    for part in vectors.chunks:
+        out[done : done + len(part)] = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1 if widths["min"] else 0)
+        done += len(part)
+    return out
+
+
 def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Euclidean, taken directly so that equal vectors are at distance 0."""
     out = np.empty((len(left), len(right)))
-    for i, v in enumerate(right):
-        out[:, i] = np.sqrt(((left - v) ** 2).sum(axis=1))
+    for start in range(0, len(left), _STRIP):
+        strip = left[start : start + _STRIP]
+        for i, v in enumerate(right):
+            out[start : start + _STRIP, i] = np.sqrt(((strip - v) ** 2).sum(axis=1))
     return out
 
 
@@ -67,20 +89,29 @@ def build(base: DataFrame, leaf_rows: int, block_rows: int, fan_out: int = FAN_O
     total = large.count()
     if most_leaves is not None:
         leaf_rows = max(leaf_rows, min(block_rows, -(-total // most_leaves)))
-    root = spark.createDataFrame([(0, None, 0, None, float("inf"), total, total <= leaf_rows)], "node long, parent long, level int, v array<double>, radius double, n long, leaf boolean")
+    # Made by Spark: rows given by Python would keep a second set of workers on every executor.
+    root = {"node": F.lit(0).cast("long"), "parent": F.lit(None).cast("long"), "level": F.lit(0), "v": F.lit(None).cast("array<double>")}
+    root |= {"radius": F.lit(float("inf")), "n": F.lit(total).cast("long"), "leaf": F.lit(total <= leaf_rows)}
+    root = spark.range(1).select(*[value.alias(name) for name, value in root.items()])
     done, nodes, level = [], [root], 0
     if total <= leaf_rows:
         return PivotIndex(large, root, 0, total)
 
-    def nearest(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({"id": rows["id"], "v": rows["v"], "node": [], "pivot": [], "radius": []})
-        pivots = pivots.sort_values("place")
-        apart = distances(matrix(rows["v"]), matrix(pivots["v"]))
+    id_type, vector_type = to_arrow_type(base.schema["id"].dataType), pa.list_(pa.field("element", pa.float64()))
+
+    def nearest(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({})
+        pivots = pivots.sort_by("place")
+        apart = distances(dense(rows["v"]), dense(pivots["v"]))
         at = apart.argmin(axis=1)
-        chosen = pivots["place"].to_numpy()[at]
         parent = rows["node"].to_numpy()
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "v": rows["v"].to_numpy(), "node": parent * (fan_out + 1) + chosen, "pivot": pivots["v"].to_numpy()[at], "radius": apart[np.arange(len(rows)), at], "parent": parent})
+        radius = apart[np.arange(len(at)), at]
+        del apart
+        give_back()
+        node = parent * (fan_out + 1) + pivots["place"].to_numpy()[at]
+        pivot = pivots["v"].take(pa.array(at)).cast(vector_type)
+        return pa.table({"id": rows["id"].cast(id_type), "v": rows["v"].cast(vector_type), "node": node, "pivot": pivot, "radius": radius, "parent": parent})
 
     while level < MOST_LEVELS:
         level += 1
@@ -91,7 +122,7 @@ def build(base: DataFrame, leaf_rows: int, block_rows: int, fan_out: int = FAN_O
         picked = picked.join(sizes, "node").filter(F.col("place") <= F.col("wanted")).select("node", "place", "v")
         left, right = _split(large, picked, "blocks", block_rows, "id")
         shape = f"id {id_kind}, v array<double>, node long, pivot array<double>, radius double, parent long"
-        placed = materialise(left.groupBy("node", "block").cogroup(right.groupBy("node", "block")).applyInPandas(nearest, shape), "pivot-rows")
+        placed = materialise(left.groupBy("node", "block").cogroup(right.groupBy("node", "block")).applyInArrow(nearest, shape), "pivot-rows")
         made = placed.groupBy("node").agg(F.first("parent").alias("parent"), F.lit(level).alias("level"), F.first("pivot").alias("v"), F.max("radius").alias("radius"), F.count("*").alias("n"))
         last = F.lit(level == MOST_LEVELS)
         made = materialise(made.withColumn("leaf", (F.col("n") <= leaf_rows) | (F.col("radius") == 0) | last), "pivot-nodes")
@@ -124,12 +155,11 @@ def route(index: PivotIndex, probes: DataFrame, k: int, block_rows: int, leaves:
     root = {"node": F.pmod(F.xxhash64("probe"), F.lit(1).cast("long")), "n": F.lit(index.total).cast("long"), "leaf": F.lit(not index.levels), "low": F.lit(0.0), "high": F.lit(float("inf"))}
     at = probes.select("probe").withColumns(root)
 
-    def descend(asked: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
-        """One row per probe, its children in arrays, without those that the others rule out."""
-        names = ["probe", "node", "n", "leaf", "low", "high"]
-        if not len(asked) or not len(children):
-            return pd.DataFrame({c: pd.Series([], dtype="object") for c in names})
-        apart = distances(matrix(asked["v"]), matrix(children["c"]))
+    def descend(asked: pa.Table, children: pa.Table) -> pa.Table:
+        """One row per probe and child, without the children that the others rule out."""
+        if not asked.num_rows or not children.num_rows:
+            return pa.table({})
+        apart = distances(dense(asked["v"]), dense(children["c"]))
         radius, sizes = children["radius"].to_numpy(), children["n"].to_numpy()
         low = np.maximum(asked["low"].to_numpy()[:, None], np.maximum(apart - radius, 0.0))
         high = apart + radius
@@ -138,17 +168,19 @@ def route(index: PivotIndex, probes: DataFrame, k: int, block_rows: int, leaves:
         first = np.take_along_axis(high, np.take_along_axis(order, certain.argmax(axis=1)[:, None], 1), 1)
         bound = np.where(certain[:, -1:], first, np.inf)
         near = low <= bound * (1 + _SLACK) + _SLACK
-        found = {"node": children["child"].to_numpy(), "n": sizes, "leaf": children["leaf"].to_numpy()}
-        out = {name: [values[keep] for keep in near] for name, values in found.items()}
-        return pd.DataFrame({"probe": asked["probe"].to_numpy(), **out, "low": [x[keep] for x, keep in zip(low, near)], "high": [x[keep] for x, keep in zip(high, near)]})
+        row, child = np.nonzero(near)
+        found = {name: children[column].to_numpy()[child] for name, column in (("node", "child"), ("n", "n"), ("leaf", "leaf"))}
+        found = pa.table({"probe": asked["probe"].to_numpy()[row], **found, "low": low[near], "high": high[near]})
+        del apart, low, high, order, certain, near, row, child
+        give_back()
+        return found
 
     for level in range(1, index.levels + 1):
         children = index.nodes.filter(F.col("level") == level).select(F.col("parent").alias("node"), F.col("node").alias("child"), F.col("v").alias("c"), "radius", "n", "leaf")
         asked = at.filter("NOT leaf").select("probe", "node", "low").join(probes.select("probe", "v"), "probe")
         left, right = _split(asked, children, "blocks", max(1, block_rows // 8), "probe")
-        shape = "probe long, node array<long>, n array<long>, leaf array<boolean>, low array<double>, high array<double>"
-        packed = left.groupBy("node", "block").cogroup(right.groupBy("node", "block")).applyInPandas(descend, shape)
-        below = packed.select("probe", F.inline(F.arrays_zip("node", "n", "leaf", "low", "high")))
+        shape = "probe long, node long, n long, leaf boolean, low double, high double"
+        below = left.groupBy("node", "block").cogroup(right.groupBy("node", "block")).applyInArrow(descend, shape)
         at = materialise(_bounded(at.filter("leaf").select(*below.columns).unionByName(below), k), "pivot-routes")
     if leaves is not None:
         at = first_rows(at, ["probe"], ["low", "high", "node"], leaves, "_place")
