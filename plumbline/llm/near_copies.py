@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.common import body, give_back, narrow, pieces_of, with_rows, without
 from plumbline.session import materialise
@@ -29,6 +29,8 @@ from plumbline.session import materialise
 BANDS = 9  # hashes in each of the two collections; their square is the number of tables
 ROWS = 2  # minhashes in a band, so a key holds twice as many
 SLOTS = 1 << 18  # counters that order shingles by rarity; a fixed size
+CELL = 16  # rows of a shingle that are compared with each other before the exact join
+TURNS = 12  # of cells at most; the exact join finds whatever they leave
 KEPT_WORDS = 200_000
 _BITS = [f"_s{i}" for i in range(8)]  # 64 parities of hashed shingles each
 
@@ -148,12 +150,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").filter(both * 100 >= union * percent).select("a", "b")
 
 
-def _rare_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs of differently labelled classes that can still be linked, by prefixes in a global order of rarity.
+def _fits(percent: int) -> Column:
+    """What two rows ``a`` and ``b`` of one shingle must meet for their sets to be linked yet; each pair in one order only."""
+    ordered = (F.col("_na") < F.col("_nb")) | ((F.col("_na") == F.col("_nb")) & (F.col("_ida") < F.col("_idb")))
+    sizes = (F.col("_nb") <= F.col("_mosta")) & (F.col("_na") <= F.col("_mostb")) & (F.col("_na") * 100 >= F.col("_nb") * percent)
+    # Every bit in which the parities differ stands for at least one shingle that only one of the sets has.
+    apart = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in _BITS), F.lit(0)) * (100 + percent)
+    return ordered & sizes & (F.col("_la") != F.col("_lb")) & (apart <= (F.col("_na") + F.col("_nb")) * (100 - percent))
+
+
+def _named(end: str) -> list[Column]:
+    return [F.col(c).alias(c + end) for c in ("_id", "_n", "_most", "_l", *_BITS)]
+
+
+def _pair() -> list[Column]:
+    return [F.least("_ida", "_idb").alias("a"), F.greatest("_ida", "_idb").alias("b")]
+
+
+def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
+    """For each set the shingles that come first in a global order of rarity, one of which it shares with whatever it can be linked with.
 
     If the first common shingle of two sets stands after ``p`` others of a set of ``n``, they share at most ``n - p``. That bounds the size of
-    a partner, so a shingle is only a reason to meet for partners up to that size: the smaller set of a pair must have
-    the shingle early in its order, and the larger one seeks it among sets of the sizes that its own place allows. Parities of hashed
+    a partner, so a shingle is only a reason to meet for partners up to that size, ``_most``. Parities of hashed
     shingles bound from below how much two sets differ, so pairs that differ too much are never made.
     """
     slot = lambda name: F.pmod(F.xxhash64(name), F.lit(SLOTS))
@@ -187,32 +205,87 @@ def _rare_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
 
     shape = ", ".join(f"{c} long" for c in ["_id", "_t", "_n", "_most", *_BITS])
     tokens = sets.select("_id", "_set", F.transform("_set", lambda x: F.pmod(F.xxhash64(x), F.lit(SLOTS))).alias("_slots")).mapInArrow(rarest, shape)
-    tokens = materialise(tokens.join(label, "_id", "left").withColumn("_l", F.coalesce("_l", "_id")), "tokens")
-    # Only shingles under two labels go on; the label with most members is not paired with itself.
+    return materialise(tokens, "tokens")
+
+
+def _under_labels(tokens: DataFrame, label: DataFrame) -> DataFrame:
+    """``tokens`` of the shingles under two labels, with their label, the number of the shingle's rows and its label with most rows."""
+    tokens = tokens.join(label, "_id", "left").withColumn("_l", F.coalesce("_l", "_id"))
     held = tokens.groupBy("_t", "_l").agg(F.count("*").alias("_c"))
-    mixed = held.groupBy("_t").agg(F.count("*").alias("_c"), F.max_by("_l", F.struct("_c", "_l")).alias("_main")).filter("_c > 1").select("_t", "_main")
-    kept = materialise(tokens.join(mixed, "_t"), "mixed")
+    main = F.max_by("_l", F.struct("_c", "_l")).alias("_main")
+    mixed = held.groupBy("_t").agg(F.count("*").alias("_labels"), F.sum("_c").alias("_held"), main).filter("_labels > 1")
+    return tokens.join(mixed.drop("_labels"), "_t")
+
+
+def _pairs_in_cells(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs within random cells of about ``CELL`` rows of a shingle, and for how many rows of the join of whole shingles each stands.
+
+    A row makes a bounded number of pairs however many share its shingle. Shingles of one cell are compared in full, in the first turn only.
+    """
+    dealt = mixed.withColumn("_cells", F.ceil(F.col("_held") / CELL)).filter("_cells > 1" if turn else "true")
+    dealt = dealt.withColumn("_cell", F.pmod(F.xxhash64("_id", "_t", F.lit(turn)), F.col("_cells")))
+    one, other = dealt.select("_t", "_cell", "_cells", *_named("a")), dealt.select(F.col("_t").alias("_tb"), F.col("_cell").alias("_cellb"), *_named("b"))
+    found = one.join(other, (F.col("_t") == F.col("_tb")) & (F.col("_cell") == F.col("_cellb")) & _fits(percent))
+    return found.select(*_pair(), "_cells").groupBy("a", "b").agg(F.sum("_cells").alias("_rows"))
+
+
+def _all_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """All pairs of differently labelled rows of a shingle that can still be linked.
+
+    The smaller set of a pair must have the shingle early in its order, and the larger one seeks it among sets of the sizes that its own place
+    allows. The label with most rows is not paired with itself.
+    """
     octave = lambda n: F.floor(F.log2(n) * 8).cast("int")
     least = F.ceil(F.col("_n") * percent / 100)
     largest = F.least("_n", "_most")
-    named = lambda end: [F.col(c).alias(c + end) for c in ("_id", "_n", "_most", "_l", *_BITS)]
     is_main = (F.col("_l") == F.col("_main")).alias("_is_main")
-    small = kept.filter("_most >= _n").select("_t", octave(F.col("_n")).alias("_o"), *named("a"), is_main)
-    large = kept.filter(largest >= least).select("_t", F.explode(F.sequence(octave(least), octave(largest))).alias("_o"), *named("b"), is_main)
-    sizes = (F.col("_na") <= F.col("_nb")) & (F.col("_nb") <= F.col("_mosta")) & (F.col("_na") <= F.col("_mostb")) & (F.col("_na") * 100 >= F.col("_nb") * percent)
-    # Every bit in which the parities differ stands for at least one shingle that only one of the sets has.
-    apart = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in _BITS), F.lit(0)) * (100 + percent)
-    fits = sizes & (F.col("_la") != F.col("_lb")) & (apart <= (F.col("_na") + F.col("_nb")) * (100 - percent))
+    small = mixed.filter("_most >= _n").select("_t", octave(F.col("_n")).alias("_o"), *_named("a"), is_main)
+    large = mixed.filter(largest >= least).select("_t", F.explode(F.sequence(octave(least), octave(largest))).alias("_o"), *_named("b"), is_main)
 
     def meet(one: DataFrame, other: DataFrame) -> DataFrame:
         one, other = one.drop("_is_main").withColumnsRenamed({"_t": "_ta", "_o": "_oa"}), other.drop("_is_main")
-        found = one.join(other, (F.col("_ta") == F.col("_t")) & (F.col("_oa") == F.col("_o")) & fits)
-        return found.select(F.least("_ida", "_idb").alias("a"), F.greatest("_ida", "_idb").alias("b"))
+        return one.join(other, (F.col("_ta") == F.col("_t")) & (F.col("_oa") == F.col("_o")) & _fits(percent)).select(*_pair())
 
     met = meet(small.filter("NOT _is_main"), large).unionByName(meet(small.filter("_is_main"), large.filter("NOT _is_main")))
     return met.distinct()
 
 
+def _rare_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs of differently labelled classes that can still be linked: none that is linked is missing."""
+    return _all_pairs(materialise(_under_labels(_rare_tokens(sets, percent), label), "mixed"), percent)
+
+
+def _merged(label: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, bool]:
+    """``label`` after the links among the written ``pairs``, and whether it has changed."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    links = _verified(pairs.select("a", "b"), sets.join(narrow(ends, ["_id"]), "_id", "left_semi"), percent)
+    of = lambda end: label.select(F.col("_id").alias(end), F.col("_l").alias("_l" + end))
+    links = links.join(of("a"), "a").join(of("b"), "b").select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
+    links = materialise(links.filter("a <> b").distinct(), "between")
+    if links.isEmpty():
+        return label, False
+    joined = narrow(components(links).withColumnRenamed("node", "_l"), ["_l", "component"])
+    return materialise(label.join(joined, "_l", "left").select("_id", F.coalesce("component", "_l").alias("_l")), "labels"), True
+
+
+def _finished(label: DataFrame, sets: DataFrame, open_sets: DataFrame, percent: int) -> DataFrame:
+    """``label`` after all links among ``open_sets``.
+
+    Of a large group that is linked in the end, an exact join would make every pair whose labels still differ. So labels are merged first,
+    in turns of random cells, until the join of whole shingles is expected to make no more rows than it reads; it then finds what is left.
+    """
+    held = materialise(_under_labels(_rare_tokens(open_sets, percent), label), "mixed")
+    mixed, tokens, read = held, held.drop("_l", "_held", "_main"), held.count()
+    for turn in range(TURNS):
+        pairs = materialise(_pairs_in_cells(mixed, turn, percent), "cells")
+        expected = pairs.agg(F.sum("_rows")).first()[0] or 0
+        label, changed = _merged(label, pairs, sets, percent)
+        mixed = _under_labels(tokens, label)
+        if not changed or expected <= read:
+            break
+    return _merged(label, materialise(_all_pairs(mixed, percent), "rest"), sets, percent)[0]
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``key, n_shingles, component_id, kept`` for each row: links need ``percent`` overlap of shingle sets of ``size`` words."""
     given = docs.select(F.col(key).cast("long").alias("_id"), body(text).alias("_text"))
@@ -235,16 +308,16 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     sets = materialise(sets, "sets")
     links = materialise(_verified(pairs, sets, percent), "verified")
     label = components(links).select(F.col("node").alias("_id"), F.col("component").alias("_l"))
+    label = materialise(ids.join(label, "_id", "left").select("_id", F.coalesce("_l", "_id").alias("_l")), "labels")
 
     # Buckets of three and more whose members are not all in one component: the pairs not yet compared.
-    told = met.filter("_c > 2").select("_k", F.col("_rep").alias("_id")).join(label, "_id", "left").withColumn("_l", F.coalesce("_l", "_id"))
+    told = met.filter("_c > 2").select("_k", F.col("_rep").alias("_id")).join(label, "_id")
     mixed = told.groupBy("_k").agg(F.min("_l").alias("_lo"), F.max("_l").alias("_hi")).filter("_lo <> _hi").select("_k")
     open_ids = materialise(told.join(mixed, "_k").select("_id").distinct(), "open")
     rest = sets.join(narrow(open_ids, ["_id"]), "_id", "left_semi")
-    more = _verified(_rare_pairs(rest, label, percent), sets, percent)
-    label = components(links.unionByName(more))
+    label = _finished(label, sets, rest, percent)
 
-    placed = classes.join(label, F.col("_rep") == F.col("node"), "left").select("_n", "_p", "_o", F.coalesce("component", "_rep").alias("_component"))
+    placed = classes.join(label, F.col("_rep") == F.col("_id"), "left").select("_n", "_p", "_o", F.coalesce("_l", "_rep").alias("_component"))
     same = (signed["_n"] == placed["_n"]) & (signed["_p"] == placed["_p"]) & (signed["_o"] == placed["_o"]) & (signed["_n"] > 0)
     out = signed.join(placed, same, "left").select(signed["_id"], signed["_n"], F.coalesce("_component", signed["_id"]).alias("_component"))
     return out.select(F.col("_id").alias(key), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), F.col("_id").eqNullSafe(F.col("_component")).alias("kept"))

@@ -121,6 +121,36 @@ def test_rare_pairs_miss_no_link(spark):
     assert linked <= met
 
 
+def pairs_compared(spark, monkeypatch, rows):
+    """Pairs compared after the first text's, for texts that are linked with each other but not with the first, which all buckets compare them with."""
+    base = [f"w{i}" for i in range(120)]
+    texts = [edited(base, range(0, 120, 6), "first")] + [edited(base, [i % 120], f"t{i}x") for i in range(rows)]
+    seen, verified = [], near_copies._verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(near_copies, "_verified", counted)
+        assert found(near_copies.near_copies(docs_of(spark, texts), bands=1, rows=0)) == brute(dict(enumerate(texts)), 5)
+    return sum(seen[1:])
+
+
+def test_pairs_of_a_large_group_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CELL", 4, raising=False)
+    few, many = (pairs_compared(spark, monkeypatch, rows) for rows in (100, 200))
+    assert many < 3 * few and many < 199 * 100  # all pairs: 4950 and 19900
+
+
+@pytest.mark.parametrize("turns", [0, 1, 3])
+def test_links_that_cells_leave_are_found(spark, monkeypatch, turns):
+    monkeypatch.setattr(near_copies, "CELL", 2)
+    monkeypatch.setattr(near_copies, "TURNS", turns)
+    texts = family()
+    assert found(near_copies.near_copies(docs_of(spark, texts), size=4, bands=1, rows=0)) == brute(dict(enumerate(texts)), 4)
+
+
 def test_near_copies_of_few_and_repeated_rows(spark):
     assert found(near_copies.near_copies(docs_of(spark, []))) == {}
     assert found(near_copies.near_copies(docs_of(spark, [None, ""]))) == {0: (0, 0), 1: (0, 1)}
