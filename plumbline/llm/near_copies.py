@@ -167,8 +167,8 @@ def _pair() -> list[Column]:
     return [F.least("_ida", "_idb").alias("a"), F.greatest("_ida", "_idb").alias("b")]
 
 
-def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """For each set the shingles that come first in a global order of rarity, one of which it shares with whatever it can be linked with.
+def _rare_tokens(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """For each set its label and the shingles that come first in a global order of rarity, one of which it shares with whatever it can be linked with.
 
     If the first common shingle of two sets stands after ``p`` others of a set of ``n``, they share at most ``n - p``. That bounds the size of
     a partner, so a shingle is only a reason to meet for partners up to that size, ``_most``. Parities of hashed
@@ -205,24 +205,23 @@ def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
 
     shape = ", ".join(f"{c} long" for c in ["_id", "_t", "_n", "_most", *_BITS])
     tokens = sets.select("_id", "_set", F.transform("_set", lambda x: F.pmod(F.xxhash64(x), F.lit(SLOTS))).alias("_slots")).mapInArrow(rarest, shape)
-    return materialise(tokens, "tokens")
+    return materialise(tokens.join(label, "_id", "left").withColumn("_l", F.coalesce("_l", "_id")), "tokens")
 
 
-def _under_labels(tokens: DataFrame, label: DataFrame) -> DataFrame:
-    """``tokens`` of the shingles under two labels, with their label, the number of the shingle's rows and its label with most rows."""
-    tokens = tokens.join(label, "_id", "left").withColumn("_l", F.coalesce("_l", "_id"))
+def _under_labels(tokens: DataFrame) -> DataFrame:
+    """``tokens`` of the shingles under two labels, with the number of the shingle's rows and its label with most rows."""
     held = tokens.groupBy("_t", "_l").agg(F.count("*").alias("_c"))
     main = F.max_by("_l", F.struct("_c", "_l")).alias("_main")
     mixed = held.groupBy("_t").agg(F.count("*").alias("_labels"), F.sum("_c").alias("_held"), main).filter("_labels > 1")
-    return tokens.join(mixed.drop("_labels"), "_t")
+    return materialise(tokens.join(mixed.drop("_labels"), "_t"), "mixed")
 
 
 def _pairs_in_cells(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs within random cells of about ``CELL`` rows of a shingle, and for how many rows of the join of whole shingles each stands.
 
-    A row makes a bounded number of pairs however many share its shingle. Shingles of one cell are compared in full, in the first turn only.
+    A row makes a bounded number of pairs however many share its shingle. Shingles of one cell are left to the join of whole shingles.
     """
-    dealt = mixed.withColumn("_cells", F.ceil(F.col("_held") / CELL)).filter("_cells > 1" if turn else "true")
+    dealt = mixed.filter(F.col("_held") > CELL).withColumn("_cells", F.ceil(F.col("_held") / CELL))
     dealt = dealt.withColumn("_cell", F.pmod(F.xxhash64("_id", "_t", F.lit(turn)), F.col("_cells")))
     one, other = dealt.select("_t", "_cell", "_cells", *_named("a")), dealt.select(F.col("_t").alias("_tb"), F.col("_cell").alias("_cellb"), *_named("b"))
     found = one.join(other, (F.col("_t") == F.col("_tb")) & (F.col("_cell") == F.col("_cellb")) & _fits(percent))
@@ -252,20 +251,23 @@ def _all_pairs(mixed: DataFrame, percent: int) -> DataFrame:
 
 def _rare_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Pairs of differently labelled classes that can still be linked: none that is linked is missing."""
-    return _all_pairs(materialise(_under_labels(_rare_tokens(sets, percent), label), "mixed"), percent)
+    return _all_pairs(_under_labels(_rare_tokens(sets, label, percent)), percent)
 
 
-def _merged(label: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, bool]:
-    """``label`` after the links among the written ``pairs``, and whether it has changed."""
+def _merged(label: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """``_l, _to`` for the labels that change by the links among the written ``pairs``; nothing when none does."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     links = _verified(pairs.select("a", "b"), sets.join(narrow(ends, ["_id"]), "_id", "left_semi"), percent)
     of = lambda end: label.select(F.col("_id").alias(end), F.col("_l").alias("_l" + end))
     links = links.join(of("a"), "a").join(of("b"), "b").select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
     links = materialise(links.filter("a <> b").distinct(), "between")
     if links.isEmpty():
-        return label, False
-    joined = narrow(components(links).withColumnRenamed("node", "_l"), ["_l", "component"])
-    return materialise(label.join(joined, "_l", "left").select("_id", F.coalesce("component", "_l").alias("_l")), "labels"), True
+        return None
+    return narrow(components(links).filter("node <> component").toDF("_l", "_to"), ["_l", "_to"])
+
+
+def _moved(rows: DataFrame, moves: DataFrame, column: str = "_l") -> DataFrame:
+    return rows.join(moves.toDF(column, "_to"), column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
 def _finished(label: DataFrame, sets: DataFrame, open_sets: DataFrame, percent: int) -> DataFrame:
@@ -274,16 +276,20 @@ def _finished(label: DataFrame, sets: DataFrame, open_sets: DataFrame, percent:
     Of a large group that is linked in the end, an exact join would make every pair whose labels still differ. So labels are merged first,
     in turns of random cells, until the join of whole shingles is expected to make no more rows than it reads; it then finds what is left.
     """
-    held = materialise(_under_labels(_rare_tokens(open_sets, percent), label), "mixed")
-    mixed, tokens, read = held, held.drop("_l", "_held", "_main"), held.count()
+    mixed = _under_labels(_rare_tokens(open_sets, label, percent))
+    read = mixed.count()
     for turn in range(TURNS):
         pairs = materialise(_pairs_in_cells(mixed, turn, percent), "cells")
         expected = pairs.agg(F.sum("_rows")).first()[0] or 0
-        label, changed = _merged(label, pairs, sets, percent)
-        mixed = _under_labels(tokens, label)
-        if not changed or expected <= read:
+        moves = _merged(label, pairs, sets, percent) if expected else None
+        if moves is None:
+            break
+        label = materialise(_moved(label, moves), "labels")
+        mixed = materialise(_moved(_moved(mixed, moves), moves, "_main"), "mixed")
+        if expected <= read:
             break
-    return _merged(label, materialise(_all_pairs(mixed, percent), "rest"), sets, percent)[0]
+    moves = _merged(label, materialise(_all_pairs(mixed, percent), "rest"), sets, percent)
+    return label if moves is None else _moved(label, moves)
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
